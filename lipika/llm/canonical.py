@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from lipika.session import cut_lineage
+
 # Letters of Cyrillic and Greek that have the shape of a Latin letter.
 LOOKALIKES = dict(
     zip(
@@ -121,7 +123,7 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs (item_a < item_b) whose texts are different strings of one canonical form.
 
     Only classes that hold two variants reach the self-join, and only digests travel. Ids repeat once."""
-    rows = look_classes(df, id_col, text_col).distinct()
+    rows = cut_lineage(look_classes(df, id_col, text_col).distinct())  # read three times below
     mixed = rows.groupBy("class").agg(F.min("variant").alias("lo"), F.max("variant").alias("hi")).where("lo <> hi").select("class")
     rows = rows.join(mixed, "class", "left_semi")
     a = rows.select("class", F.col("item").alias("item_a"), F.col("variant").alias("variant_a"))

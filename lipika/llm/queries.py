@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lipika.llm import canonical, lines, mixture, packing, tokens
+from lipika.llm import canonical, lines, mixture, packing, splitting, tokens, truncation
 from lipika.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,26 @@ def _pieces(spark: SparkSession, sf: str) -> tokens.Pieces:
     return tokens.load_pieces(spark, table(spark, sf, "tokenizer_vocab"))
 
 
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of the documents over 4 000 and the chunks over 800 code points."""
+    docs = splitting.split_items(table(spark, sf, "documents", "doc_id", "text"), splitting.DOCUMENT_LIMIT, 200, "doc_id")
+    chunks = splitting.split_items(table(spark, sf, "chunks", "chunk_id", "text"), splitting.CHUNK_LIMIT, 100, "chunk_id")
+    return docs.withColumn("item_kind", F.lit("document")).unionByName(chunks.withColumn("item_kind", F.lit("chunk")))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that had to be split, and the verses the pieces of verse chunks hold."""
+    docs = splitting.split_items(table(spark, sf, "documents", "doc_id", "text"), splitting.DOCUMENT_LIMIT, 200, "doc_id")
+    # the two stored kinds of chunk go through one split: with a verse column, and without
+    chunks = table(spark, sf, "chunks", "chunk_id", "text", "verse")
+    key = F.concat_ws(":", "chunk_id", F.col("verse").isNotNull().cast("string"))
+    parts = splitting.split_items(chunks.withColumn("key", key), splitting.CHUNK_LIMIT, 100, "key")
+    item, in_verse = F.split_part("item_id", F.lit(":"), F.lit(1)), F.split_part("item_id", F.lit(":"), F.lit(2)) == "true"
+    held = F.concat(F.array(F.lit(0)), F.when(in_verse, F.col("verses")).otherwise(F.array().cast("array<int>")))
+    chunk_rows = parts.select(F.lit("chunk").alias("item_kind"), item.alias("item_id"), F.explode(held).alias("verse_no"))
+    return docs.select(F.lit("document").alias("item_kind"), "item_id", F.lit(0).alias("verse_no")).unionByName(chunk_rows).distinct()
+
+
 def p2_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens by source, language and tradition."""
     docs = table(spark, sf, "documents", "source", "language", "tradition", "text")
@@ -95,6 +115,20 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.shares(*_mixed(spark, sf)).where("capped").select("source")
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.judged(table(spark, sf, "documents", "doc_id", "source", "n_chars", "text"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return _judged(spark, sf).where("truncated").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Truncated documents per source."""
+    return truncation.rates(_judged(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
