@@ -13,36 +13,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lipika.llm.labels import SPACE, site, strip
+from lipika.llm.labels import SPACE, site
+from lipika.session import cut_lineage
 
 MIN_CHARS, MIN_DOCS, MIN_SHARE = 20, 5, 0.10
 
 
 def line_form(line: Column) -> Column:
     """The form in which lines are compared."""
-    return F.regexp_replace(F.lower(strip(F.regexp_replace(line, f"{SPACE}+", " "))), "[0-9]+", "#")
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, f"{SPACE}+", " "))), "[0-9]+", "#")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, line_no, key) of every line long enough to count.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, site, keys): per line the 96-bit key of site and form, null for a line too short to count.
+
+    This is the only pass over the text; it is written to the shared folder, as counting and finding both read it."""
+    rows = docs.select("doc_id", site(F.col("source_url")).alias("site"), F.split("text", "\n", -1).alias("lines")).where("site is not null and lines is not null")
+
+    def key(form: Column) -> Column:
+        return F.when(F.length(form) >= MIN_CHARS, F.struct(F.xxhash64("site", form).alias("key"), F.hash(form, "site").alias("key2")))
 
-    `key` is 96 bits of hash over site and form, so the text itself is never shuffled."""
-    pieces = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    rows = docs.select("doc_id", site(F.col("source_url")).alias("site"), "text").where("site is not null and text is not null")
     # lower-casing makes a string at most three times as long: shorter lines cannot reach the minimum
-    rows = rows.select("doc_id", "site", pieces).where(F.length("line") * 3 >= MIN_CHARS)
-    rows = rows.select("doc_id", "site", (F.col("pos") + 1).alias("line_no"), line_form(F.col("line")).alias("form")).where(F.length("form") >= MIN_CHARS)
-    return rows.select("doc_id", "site", "line_no", F.xxhash64("site", "form").alias("key"), F.hash("form", "site").alias("key2"))
+    forms = F.transform("lines", lambda x: F.when(F.length(x) * 3 >= MIN_CHARS, line_form(x)))
+    return cut_lineage(rows.select("doc_id", "site", F.transform(forms, key).alias("keys")))
 
 
-def line_delta(docs: DataFrame) -> DataFrame:
-    """Line counts of one partition of documents: (site, key, key2, n_docs).
+def line_delta(lines: DataFrame) -> DataFrame:
+    """Line counts of one partition of `keyed` documents: (site, key, key2, n_docs).
 
     Distinctness within a document is settled before the exchange; the count is combined map-side."""
-    rows = docs.select("doc_id", site(F.col("source_url")).alias("site"), F.split("text", "\n", -1).alias("lines")).where("site is not null and lines is not null")
-    forms = F.array_distinct(F.transform(F.filter("lines", lambda x: F.length(x) * 3 >= MIN_CHARS), line_form))
-    rows = rows.select("site", F.explode(forms).alias("form")).where(F.length("form") >= MIN_CHARS)
-    return rows.groupBy("site", F.xxhash64("site", "form").alias("key"), F.hash("form", "site").alias("key2")).agg(F.count("*").alias("n_docs"))
+    rows = lines.select("site", F.explode(F.array_distinct(F.array_compact("keys"))).alias("k"))
+    return rows.groupBy("site", "k.key", "k.key2").agg(F.count("*").alias("n_docs"))
 
 
 def site_delta(docs: DataFrame) -> DataFrame:
@@ -66,14 +67,15 @@ def newly_crossed(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(before, ["site", "key", "key2"], "left_anti")
 
 
-def repeated_lines(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of the lines in `docs` whose key is among `keys`."""
-    return _lines(docs).join(keys.select("key", "key2"), ["key", "key2"], "left_semi").select("doc_id", "line_no")
+def repeated_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, line_no) of the lines of `keyed` documents whose key is among `keys`."""
+    rows = lines.select("doc_id", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", (F.col("pos") + 1).alias("line_no"), "k.key", "k.key2")
+    return rows.join(keys.select("key", "key2"), ["key", "key2"], "left_semi").select("doc_id", "line_no")
 
 
-def rebuild(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def rebuild(docs: DataFrame, lines: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, text, removed) of the documents that hold a line among `keys`, without those lines."""
-    found = repeated_lines(docs, keys).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    found = repeated_lines(lines, keys).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i + 1))
     return docs.join(found, "doc_id").select("doc_id", F.array_join(kept, "\n").alias("text"), F.size("gone").alias("removed"))
 
@@ -86,9 +88,9 @@ class LineCounts:
         self.sites: DataFrame | None = None
         self.over: DataFrame | None = None
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Merge a partition; returns the lines newly over the threshold."""
-        self.lines = merge_counts(self.lines, line_delta(docs), ["site", "key", "key2"], "n_docs")
+    def add(self, docs: DataFrame, lines: DataFrame) -> DataFrame:
+        """Merge a partition (documents and their `keyed` form); returns the lines newly over the threshold."""
+        self.lines = merge_counts(self.lines, line_delta(lines), ["site", "key", "key2"], "n_docs")
         self.sites = merge_counts(self.sites, site_delta(docs), ["site"], "site_docs")
         before, self.over = self.over, crossed(self.lines, self.sites)
         return self.over if before is None else newly_crossed(before, self.over)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lipika.llm import canonical, lines, mixture, packing, splitting, tokens, truncation
+from lipika.llm import canonical, language, lines, mixture, packing, splitting, tokens, truncation
 from lipika.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,23 +60,46 @@ def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines repeated on a site."""
     docs = table(spark, sf, "documents", "doc_id", "source_url", "text")
-    counts = lines.LineCounts()
-    return lines.repeated_lines(docs, counts.add(docs))
+    keyed = lines.keyed(docs)
+    return lines.repeated_lines(keyed, lines.LineCounts().add(docs, keyed))
 
 
 def p4_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The same state reached in two partitions, by time of retrieval; the documents rebuilt after the second."""
+    """The state reached in two partitions, by time of retrieval: documents rebuilt after the second, for the lines it made cross."""
     docs = table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")
     late = F.coalesce(F.col("retrieved_at") >= F.lit("2025-01-01").cast("timestamp"), F.lit(False))
     counts = lines.LineCounts()
-    counts.add(docs.where(~late))
-    return lines.rebuild(docs, counts.add(docs.where(late)))
+    early, added = docs.where(~late), docs.where(late)
+    first, second = lines.keyed(early), lines.keyed(added)
+    counts.add(early, first)
+    return lines.rebuild(docs, first.unionByName(second), counts.add(added, second))
 
 
 def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that lose lines, without them."""
     docs = table(spark, sf, "documents", "doc_id", "source_url", "text")
-    return lines.rebuild(docs, lines.LineCounts().add(docs))
+    keyed = lines.keyed(docs)
+    return lines.rebuild(docs, keyed, lines.LineCounts().add(docs, keyed))
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "language", "text")
+    return language.segments(docs, language.learn(docs))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages a document holds and its label doesn't name."""
+    return language.unnamed(_segments(spark, sf))
+
+
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of each document."""
+    return language.documents(_segments(spark, sf))
+
+
+def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of each stretch of each document."""
+    return _segments(spark, sf)
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,4 +154,4 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p6_found, p6_documents, p6_segments, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
