@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lipika.llm import canonical, language, lines, mixture, packing, splitting, tokens, truncation
+from lipika.llm import canonical, language, lines, mixture, packing, scans, splitting, tokens, truncation
 from lipika.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,16 @@ def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _segments(spark, sf)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of scans with their noise."""
+    return scans.noisy_lines(table(spark, sf, "documents", "doc_id", "source", "text"))
+
+
+def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Scans as continuous paragraphs."""
+    return scans.repaired(table(spark, sf, "documents", "doc_id", "source", "text"))
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, or its pieces, with its container."""
     return packing.pack(table(spark, sf, "documents", "doc_id", "text"), _pieces(spark, sf))
@@ -154,4 +164,4 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p6_found, p6_documents, p6_segments, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
