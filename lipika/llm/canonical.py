@@ -53,7 +53,7 @@ def _ranges(points: list[int]) -> str:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[int, str | None], re.Pattern[str]]:
+def _tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
     fold: dict[int, str | None] = {ord(a): b for a, b in LOOKALIKES.items()}
     fold |= {p: None for a, b in INVISIBLE for p in range(a, b + 1)}
     fold |= dict.fromkeys(map(ord, HYPHENS), "-")
@@ -84,14 +84,17 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern[str]]:
             marks.append(p)
     unstable |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals
     u, m = _ranges(sorted(unstable)), _ranges(marks)
-    return fold, re.compile(f"[^{u}\\n]?[{u}][{u}{m}]*|[^\\n][{m}]{{2,}}")
+    folding = sorted({p for p in unstable if unicodedata.is_normalized("NFC", chr(p)) and unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(p)).translate(fold)) != chr(p)} | set(fold))
+    return fold, re.compile(f"[{_ranges(folding)}]"), re.compile(f"[^{u}\\n]?[{u}][{u}{m}]*|[^\\n][{m}]{{2,}}")
 
 
 def canonical_text(text: str | None) -> str | None:
     """The one form of `text`."""
     if text is None or text.isascii():
         return text
-    fold, segments = _tables()
+    fold, folding, segments = _tables()
+    if not folding.search(text) and unicodedata.is_normalized("NFC", text):
+        return text
     return segments.sub(lambda s: unicodedata.normalize("NFC", unicodedata.normalize("NFD", s[0]).translate(fold)), text)
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from lipika.llm.labels import language_code
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 2500, 20_000
 #: N-grams of a profile, longest n-gram, share of a label's documents a script needs to have a profile.
 PROFILE, LONGEST, SCRIPT_SHARE = 400, 3, 0.12
+#: A second script's documents this near (as a ratio) to another language's profile are wrongly labelled.
+ALIKE = 1.2
 MIN_WORDS, WORD_CACHE = 6, 200_000
 FOUND_SHARE = 0.20
 
@@ -58,6 +61,9 @@ def clean(token: str) -> str:
     return w if w and not any(c.isdigit() for c in w) and any(c.isalpha() for c in w) else ""
 
 
+_LIVE: dict[str, Profiles] = {}
+
+
 class Profiles:
     """Ranks of n-grams per (language, script)."""
 
@@ -70,8 +76,16 @@ class Profiles:
         for row, k in enumerate(self.names):
             for r, g in enumerate(tops[k]):
                 self.ranks[row, self.ids[g]] = r
+        self.key = blake2b(repr((self.names, sorted(tops.items()))).encode(), digest_size=16).hexdigest()
         self._reset()
 
+    def live(self) -> "Profiles":
+        """This object, or the one of the same profiles a reused worker has measured words with."""
+        if self.key not in _LIVE:
+            _LIVE.clear()
+            _LIVE[self.key] = self
+        return _LIVE[self.key]
+
     def _reset(self) -> None:
         self.words: dict[str, int] = {"": 0}
         self.grams: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]
@@ -186,6 +200,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Profiles:
     seen = Counter((c, s) for c, s, _ in bags)
     label = Counter(c for c, _, _ in bags)
     kept = {k for k, n in seen.items() if n >= max(2, SCRIPT_SHARE * label[k[0]])} or set(seen)
+    kept = _own_scripts(bags, kept)
     profiles = _profiles(bags, kept)
     agreed = []
     for bag in bags:
@@ -195,6 +210,28 @@ def learn(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Profiles:
     return _profiles(agreed or bags, kept)
 
 
+def _own_scripts(bags: list[tuple[str, str, Counter[str]]], kept: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    """`kept` without profiles that wrong labels made: those whose documents lie as near to another language's profile
+    of that script, learnt without them, as that profile's own documents do."""
+    sizes = Counter(b[:2] for b in bags)
+    main = {max((k for k in kept if k[0] == code), key=lambda k: sizes[k]) for code, _ in kept}
+    for key in sorted(kept - main, key=lambda k: sizes[k]):
+        others = {k for k in kept if k[1] == key[1] and k[0] != key[0] and sizes[k] > sizes[key]}
+        if not others:
+            continue
+        profiles = _profiles(bags, others)
+        near: dict[tuple[str, str], list[float]] = defaultdict(list)
+        for bag in bags:
+            if bag[:2] in others or bag[:2] == key:
+                words = np.array([i for w, n in bag[2].items() for i in [profiles.word(w)] * min(n, 50)])
+                far = profiles.distance(words)
+                near[bag[:2]].append(float(far.min() if bag[:2] == key else far[profiles.names.index(bag[:2])]))
+        typical = float(np.median([np.median(near[k]) for k in others]))
+        if float(np.median(near[key])) <= ALIKE * typical:
+            kept = kept - {key}
+    return kept
+
+
 def _profiles(bags: list[tuple[str, str, Counter[str]]], kept: set[tuple[str, str]]) -> Profiles:
     counts: dict[tuple[str, str], Counter[str]] = {k: Counter() for k in kept}
     totals: dict[tuple[str, str], Counter[str]] = {k: Counter() for k in kept}
@@ -215,11 +252,12 @@ def segments(docs: DataFrame, profiles: Profiles) -> DataFrame:
     schema = pa.schema(fields)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = profiles.live()
         for b in batches:
             out = []
             for doc, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if text:
-                    out += [(doc, label, k, *row) for k, row in enumerate(profiles.segments(text))]
+                    out += [(doc, label, k, *row) for k, row in enumerate(known.segments(text))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 

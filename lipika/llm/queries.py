@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lipika.llm import canonical, language, lines, mixture, packing, scans, splitting, tokens, truncation
+from lipika.llm import canonical, language, lines, mixture, neighbours, packing, scans, splitting, tokens, truncation
 from lipika.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,25 @@ def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return lines.rebuild(docs, keyed, lines.LineCounts().add(docs, keyed))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks that are each among the other's 5 most similar, with cosine at least 0.90."""
+    vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
+    return neighbours.mutual_pairs(neighbours.neighbours(vectors, forest))
+
+
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar other chunks of every chunk, however similar."""
+    vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
+    return neighbours.neighbours(vectors, forest, least=-1.0)
+
+
+def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall against brute force over the ids whose hash is divisible by 100, against all rows."""
+    vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
+    asked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
+    return neighbours.recall(vectors, neighbours.neighbours(vectors, forest), asked)
+
+
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "language", "text")
     return language.segments(docs, language.learn(docs))
@@ -164,4 +183,4 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p5_found, p5_neighbours, p5_recall, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
