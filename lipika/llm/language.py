@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lipika.llm.canonical import canonical_text
-from lipika.llm.labels import language_code
+from lipika.llm.labels import hash_sample, language_code
 
 #: Bound of the training sample, in documents and in code points of one document.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 2500, 20_000
@@ -180,10 +180,9 @@ class Profiles:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Profiles:
-    """Profiles from at most `sample` labelled documents, chosen by hash of their id."""
-    labelled = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), language_code(F.col("language")).alias("code"), "text").where(F.col("code").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    edge = labelled.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = labelled.where(F.col("h") <= F.lit(edge)).limit(sample).select("code", "text").collect() if edge is not None else []
+    """Profiles from about `sample` documents, chosen by hash of their id; the labelled among them count."""
+    labelled = docs.select("doc_id", language_code(F.col("language")).alias("code"), "text").where(F.col("code").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    rows = hash_sample(labelled, "doc_id", sample, docs.count()).select("code", "text").collect()
     bags = []
     for code, text in rows:
         by_script: dict[str, Counter[str]] = defaultdict(Counter)

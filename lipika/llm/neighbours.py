@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lipika.llm.labels import hash_sample
 from lipika.session import cut_lineage
 
 MODEL, DIMENSIONS, K, MIN_COSINE = "mini-multi-64", 64, 5, 0.90
@@ -101,8 +102,8 @@ class Forest:
 def plant(vectors: DataFrame, trees: int = TREES) -> Forest:
     """A forest fitted on at most SAMPLE vectors, with ranges of about RANGE_ROWS vectors."""
     n = vectors.count()
-    rows = vectors.select(F.xxhash64("id").alias("h"), "vector").orderBy("h").limit(SAMPLE).collect()
-    sample = np.stack([np.frombuffer(r[1], dtype="<i2") for r in rows]) if rows else np.zeros((0, DIMENSIONS), dtype="<i2")
+    rows = hash_sample(vectors, "id", SAMPLE, n).select("vector").collect()
+    sample = np.stack([np.frombuffer(r[0], dtype="<i2") for r in rows]) if rows else np.zeros((0, DIMENSIONS), dtype="<i2")
     return Forest(_floats(sample) if rows else sample.astype(np.float32), -(-n // RANGE_ROWS), trees)
 
 
@@ -120,15 +121,15 @@ class _Window:
 
     def __init__(self, k: int, least: float) -> None:
         self.k, self.least = k, least
-        self.before: tuple[list[str], np.ndarray] | None = None
+        self.before: tuple[list[bytes], np.ndarray] | None = None
         self.before_found: list[tuple] = []
-        self.ids: list[str] = []
+        self.ids: list[bytes] = []
         self.rows: list[bytes] = []
-        self.run: list[str] = []
+        self.run: list[bytes] = []
         self.last = b""
-        self.out: list[tuple[str, str, float]] = []
+        self.out: list[tuple[bytes, bytes, float]] = []
 
-    def add(self, key: str, vector: bytes) -> None:
+    def add(self, key: bytes, vector: bytes) -> None:
         if vector == self.last:
             self.run.append(key)
             if len(self.run) > self.k + 1:  # a copy beyond those that stand for the run
@@ -182,7 +183,8 @@ class _Window:
         s = np.concatenate([f[2] for f in self.before_found])
         names = np.concatenate([np.array(f[3], dtype=object)[f[1]] for f in self.before_found])
         own = self.before[0]
-        _, code = np.unique(names.astype(str), return_inverse=True)
+        order = {x: i for i, x in enumerate(sorted(set(names)))}
+        code = np.array([order[x] for x in names])
         for p in _best(a, code, s, self.k):
             if s[p] > -2:
                 self.out.append((own[a[p]], names[p], float(s[p])))
@@ -195,6 +197,18 @@ class _Window:
         self.before, self.before_found, self.last, self.run = None, [], b"", []
 
 
+def _short(key: Column) -> Column:
+    """Ids in lower-case hex at half their size, others as they are; a first byte tells which. Keeps the order."""
+    hexed = (F.length(key) % 2 == 0) & key.rlike("^[0-9a-f]+$")
+    return F.when(hexed, F.concat(F.unhex(F.lit("01")), F.unhex(key))).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(key, "utf-8")))
+
+
+def _long(key: Column) -> Column:
+    """Inverse of `_short`."""
+    rest = F.substring(key, 2, F.length(key))
+    return F.when(F.substring(key, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "utf-8"))
+
+
 def neighbours(vectors: DataFrame, forest: Forest, k: int = K, least: float = MIN_COSINE) -> DataFrame:
     """(id, other, cosine, rank): up to k most similar others with at least the cosine `least`."""
     parts = forest.trees * forest.ranges
@@ -208,7 +222,7 @@ def neighbours(vectors: DataFrame, forest: Forest, k: int = K, least: float = MI
                 part = t * forest.ranges + np.searchsorted(forest.borders[t], h, side="right")
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h), b.column(0), b.column(1)], names=["part", "string", "id", "vector"])
 
-    rows = vectors.select("id", "vector").mapInArrow(strings, "part int, string bigint, id string, vector binary")
+    rows = vectors.select(_short(F.col("id")).alias("id"), "vector").mapInArrow(strings, "part int, string bigint, id binary, vector binary")
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "string", "vector", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +230,7 @@ def neighbours(vectors: DataFrame, forest: Forest, k: int = K, least: float = MI
 
         def batch() -> pa.RecordBatch:
             out, window.out = window.out, []
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.float32())], names=["id", "other", "cosine"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.float32())], names=["id", "other", "cosine"])
 
         for b in batches:
             for p, key, vector in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -230,10 +244,11 @@ def neighbours(vectors: DataFrame, forest: Forest, k: int = K, least: float = MI
         if window.out:
             yield batch()
 
-    found = rows.select("part", "id", "vector").mapInArrow(compare, "id string, other string, cosine float")
+    found = rows.select("part", "id", "vector").mapInArrow(compare, "id binary, other binary, cosine float")
     best = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    near = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.select(_long(F.col("id")).alias("id"), _long(F.col("other")).alias("other"), "cosine", "rank")
 
 
 def mutual_pairs(near: DataFrame) -> DataFrame:
