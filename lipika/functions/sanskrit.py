@@ -16,6 +16,7 @@ _UNITS = re.compile(f"([{''.join(fixed.CONSONANTS)}])([{fixed.VIRAMA}{''.join(fi
 _PLAIN = fixed.VOWELS | fixed.VOWEL_SIGNS | fixed.SIGNS | {fixed.VIRAMA: ""}
 _FOLD_IAST = str.maketrans(fixed.IAST_LETTERS, fixed.ASCII_LETTERS)
 _TOKEN = re.compile(r"\w+")
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c)) == "Mn") + "]+")  # non-spacing marks
 
 
 def to_iast(text: str | None) -> str:
@@ -44,7 +45,7 @@ def fold(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn").casefold()
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold()
 
 
 def tokenize(text: str | None) -> list[str]:

@@ -46,9 +46,12 @@ _META = "concat_ws(' ', nullif(title, ''), nullif(work, ''), nullif(locator, '')
 
 
 def _wide(x: str) -> str:
-    """Full-width signs and letters as their narrow forms, white space signs likewise."""
+    """Full-width signs and letters as their narrow forms, ligatures as their letters, the long s as s."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    return f"translate({x}, {_quote(wide)}, {_quote(''.join(chr(ord(c) - 0xFEE0) for c in wide))})"
+    narrow = f"translate({x}, {_quote(wide + 'ſ')}, {_quote(''.join(chr(ord(c) - 0xFEE0) for c in wide) + 's')})"
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        narrow = f"replace({narrow}, '{ligature}', '{letters}')"
+    return narrow
 
 
 def _tokens(x: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lipika.functions import refs, text as T
 from lipika.functions.sanskrit import fold_col, iast_col, spellings_col
 from lipika.operators import catalog, chunking, dedupe, evaluation, hybrid, lexical, ranking, records, status, units, vectors, verses
+from lipika.session import cut_lineage
 from lipika.sources.corpus import hymn_manifest
 from lipika.tables import table
 
@@ -299,7 +300,8 @@ def top_vectors_batch(spark, sf):
 def _indexed(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "chunks", "chunk_id", "doc_id", "chunk_index", "created_at", "title", "work", "locator", "heading", "text")
     chunks = dedupe.first_per_key(chunks, ["chunk_id"], [F.col("created_at"), F.col("doc_id")])
-    return lexical.with_tokens(chunks).withColumn("ord", F.col("doc_id") * 100_000 + F.col("chunk_index"))
+    chunks = lexical.with_tokens(chunks).withColumn("ord", F.col("doc_id") * 100_000 + F.col("chunk_index"))
+    return cut_lineage(chunks)  # the index: every later step reads tokens, none makes them again
 
 
 def _bm25(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
