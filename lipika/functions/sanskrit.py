@@ -16,7 +16,9 @@ _UNITS = re.compile(f"([{''.join(fixed.CONSONANTS)}])([{fixed.VIRAMA}{''.join(fi
 _PLAIN = fixed.VOWELS | fixed.VOWEL_SIGNS | fixed.SIGNS | {fixed.VIRAMA: ""}
 _FOLD_IAST = str.maketrans(fixed.IAST_LETTERS, fixed.ASCII_LETTERS)
 _TOKEN = re.compile(r"\w+")
-_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c)) == "Mn") + "]+")  # non-spacing marks
+# non-spacing marks; those beyond the first plane apart, as a character class of them alone is searched one by one
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) == "Mn") + "]+")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def to_iast(text: str | None) -> str:
@@ -45,7 +47,10 @@ def fold(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    return _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold()
+    plain = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    if _BEYOND.search(plain):
+        plain = _BEYOND.sub(lambda m: "" if unicodedata.category(m[0]) == "Mn" else m[0], plain)
+    return plain.casefold()
 
 
 def tokenize(text: str | None) -> list[str]:
@@ -105,9 +110,14 @@ def ascii_col(c: Column) -> Column:
     return _mapped(to_ascii, StringType())(c)
 
 
+def _split(joined: Column) -> Column:
+    """Tokens of a space-joined string: strings cross from Python much faster than arrays of them."""
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+
+
 def tokens_col(c: Column) -> Column:
     """Column form of `tokenize`."""
-    return _mapped(tokenize, ArrayType(StringType()))(c)
+    return _split(_mapped(lambda t: " ".join(tokenize(t)), StringType())(c))
 
 
 def spellings_col(c: Column) -> Column:
@@ -118,10 +128,10 @@ def spellings_col(c: Column) -> Column:
 def chunk_tokens_col(title: Column, work: Column, locator: Column, heading: Column, text: Column) -> Column:
     """Tokens of a chunk: metadata, metadata in ASCII, text; metadata counts twice."""
 
-    @F.pandas_udf(ArrayType(StringType()))
+    @F.pandas_udf(StringType())
     def column(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for meta, body in batches:
-            yield pd.Series([tokenize(f"{m}\n{to_ascii(m)}\n{t or ''}" if m else t) for m, t in zip(meta, body, strict=True)], dtype=object)
+            yield pd.Series([" ".join(tokenize(f"{m}\n{to_ascii(m)}\n{t or ''}" if m else t)) for m, t in zip(meta, body, strict=True)], dtype=object)
 
     parts = F.array_compact(F.array(*(F.nullif(x, F.lit("")) for x in (title, work, locator, heading))))
-    return column(F.trim(F.array_join(parts, " ")), text)
+    return _split(column(F.trim(F.array_join(parts, " ")), text))
