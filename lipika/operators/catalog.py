@@ -36,7 +36,7 @@ def facets(docs: DataFrame) -> DataFrame:
 def stats(docs: DataFrame) -> DataFrame:
     """(facet, value, documents, characters): totals (facet 'all') and by lower-case tradition and language, in one pass.
 
-    A stored size of null or 0 is the text's length."""
+    A stored size of null or 0 is the text's length. An empty table has no rows, not even a total."""
     size = F.coalesce(F.nullif("n_chars", F.lit(0)), F.length("text").cast("bigint"), F.lit(0))
     rows = docs.select(F.lower(T.or_default(F.col("tradition"), "unknown")).alias("tradition"), F.lower(T.or_default(F.col("language"), "und")).alias("language"), size.alias("size"))
     grouped = rows.groupingSets([["tradition"], ["language"], []], "tradition", "language").agg(F.count("*").alias("documents"), F.sum("size").alias("characters"), F.grouping_id().alias("gid"))

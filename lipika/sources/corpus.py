@@ -33,8 +33,8 @@ def read_corpus(spark: SparkSession, path: str, schema: StructType = DOCUMENT) -
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     wide = StructType([*schema.fields, StructField("_bad", StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    rows = spark.read.text(path).where(strip(F.col("value")) != "").select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.select("r.*").where(F.col("_bad").isNull()).drop("_bad")
 
 
 def malformed(spark: SparkSession, path: str) -> DataFrame:
