@@ -27,7 +27,7 @@ from lipika.session import cut_lineage
 MODEL, DIMENSIONS, K, MIN_COSINE = "mini-multi-64", 64, 5, 0.90
 TREES, BITS, BLOCK, SAMPLE, RANGE_ROWS = 6, 62, 1024, 20_000, 40_000
 #: Queries that are compared with everything at a time, to measure recall.
-QUERY_BLOCK = 20_000
+QUERY_BLOCK = 4_000
 _SCALE = 32_000.0
 
 
@@ -258,7 +258,9 @@ def mutual_pairs(near: DataFrame) -> DataFrame:
 
 
 def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least: float = -1.0) -> DataFrame:
-    """(id, other, cosine, rank) by brute force: the queries, QUERY_BLOCK at a time, against all vectors."""
+    """(id, other, cosine, rank) by brute force: the queries, QUERY_BLOCK at a time, against all vectors.
+
+    A task keeps the k best of each query over all it reads, so its memory is that of one block product."""
     todo = queries.select("id", "vector").orderBy("id").toLocalIterator(prefetchPartitions=False)
     parts, block = [], []
 
@@ -267,17 +269,22 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least:
         q = _floats(np.stack([np.frombuffer(r[1], dtype="<i2") for r in block]))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = np.full((len(q), k), -2, dtype=np.float32)
+            who = np.full((len(q), k), None, dtype=object)
             for b in batches:
-                if not b.num_rows:
-                    continue
                 ids = np.array(b.column(0).to_pylist(), dtype=object)
-                x = _floats(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<i2").reshape(b.num_rows, -1))
-                s = q @ x.T
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-                i, j = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-                keep = (names[i] != ids[j]) & (s[i, j] >= least)
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(ids[j]), pa.array(s[i, j], pa.float32())], names=["id", "other", "cosine"])
+                packed = b.column(1).to_pylist()
+                for i in range(0, len(ids), BLOCK):
+                    x = _floats(np.frombuffer(b"".join(packed[i : i + BLOCK]), dtype="<i2").reshape(len(packed[i : i + BLOCK]), -1))
+                    s = q @ x.T
+                    s[names[:, None] == ids[None, i : i + BLOCK]] = -2
+                    top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                    both = np.hstack([best, np.take_along_axis(s, top, 1)])
+                    named = np.hstack([who, ids[i : i + BLOCK][top]])
+                    keep = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                    best, who = np.take_along_axis(both, keep, 1), np.take_along_axis(named, keep, 1)
+            rows, cols = np.nonzero(best >= max(least, -1.5))
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.string()), pa.array(who[rows, cols], pa.string()), pa.array(best[rows, cols], pa.float32())], names=["id", "other", "cosine"])
 
         return vectors.select("id", "vector").mapInArrow(compare, "id string, other string, cosine float")
 
