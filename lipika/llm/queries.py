@@ -89,16 +89,26 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """The 5 most similar other chunks of every chunk, however similar."""
+    """Up to 5 most similar other chunks of every chunk, with cosine at least 0.90."""
     vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
-    return neighbours.neighbours(vectors, forest, least=-1.0)
+    return neighbours.neighbours(vectors, forest)
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The stated query set: ids whose hash is divisible by 100."""
+    return vectors.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
+
+
+def p5_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar chunks, however similar, of the stated query set, against all rows in blocks."""
+    vectors, _ = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
+    return neighbours.exact_neighbours(vectors, _asked(vectors))
 
 
 def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Recall against brute force over the ids whose hash is divisible by 100, against all rows."""
     vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
-    asked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0)
-    return neighbours.recall(vectors, neighbours.neighbours(vectors, forest), asked)
+    return neighbours.recall(vectors, neighbours.neighbours(vectors, forest), _asked(vectors))
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,4 +193,4 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p5_found, p5_neighbours, p5_recall, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p5_found, p5_neighbours, p5_search, p5_recall, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
