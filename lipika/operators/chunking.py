@@ -6,12 +6,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
 from lipika.functions import text as T
-from lipika.operators.units import UNIT, parse_units
+from lipika.operators.units import parse_groups
 
-WINDOW = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 PARENT = ("source_url", "title", "tradition", "language", "license")
 
 
@@ -58,38 +55,11 @@ def window_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataF
     return docs.select("doc_id", "text").mapInArrow(cut, schema).withColumn("char_count", F.length("text"))
 
 
-def group_units(units: Column, size: int = 900, most: int = 2) -> Column:
-    """array<array<unit>>: consecutive verses of one work, book and hymn, at most `most`, within `size` code points.
-
-    Sizes under 200 count as 200. A single unit is never split."""
-    limit = max(200, size)
-    zero = F.array().cast(ArrayType(ArrayType(UNIT)))
-
-    def add(groups: Column, unit: Column) -> Column:
-        group = F.element_at(groups, -1)
-        prev = F.element_at(group, -1)
-        used = F.aggregate(group, F.lit(0), lambda n, u: n + F.length(u["text"]))
-        joins = (
-            (F.size(groups) > 0)
-            & (prev["work"] == unit["work"])
-            & prev["book"].eqNullSafe(unit["book"])
-            & prev["hymn"].eqNullSafe(unit["hymn"])
-            & (unit["verse"] == prev["verse"] + 1)
-            & (F.size(group) < most)
-            & (used + F.length(unit["text"]) <= limit)
-        )
-        joined = F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(F.concat(group, F.array(unit))))
-        return F.when(F.size(groups) == 0, F.array(F.array(unit))).when(F.coalesce(joins, F.lit(False)), joined).otherwise(F.concat(groups, F.array(F.array(unit))))
-
-    return F.aggregate(units, zero, add)
-
-
 def unit_chunks(docs: DataFrame, size: int = 800, most: int = 2) -> DataFrame:
     """Chunks of documents that have verse units: text `[locator] text` joined by blank lines, with structural columns."""
     from lipika.functions import refs
 
-    rows = parse_units(docs).where(F.size("units") > 0)
-    rows = rows.select("doc_id", F.posexplode(group_units(F.col("units"), size, most)).alias("chunk_index", "g"))
+    rows = parse_groups(docs, size, most)
     first, last = F.element_at("g", 1), F.element_at("g", -1)
     text = F.array_join(F.transform("g", lambda u: F.concat(F.lit("["), u["locator"], F.lit("] "), u["text"])), "\n\n")
     end = F.coalesce(last["verse"], first["verse"])

@@ -76,5 +76,5 @@ def pair_summary(rows: DataFrame) -> DataFrame:
 def train_rows(rows: DataFrame) -> DataFrame:
     """Pairs that are not held out; all of them if none is left."""
     held = F.lower(F.coalesce("split", F.lit(""))).isin("holdout", "eval", "test", "valid", "validation", "dev")
-    left = Window.partitionBy()
-    return rows.withColumn("_train", ~held).withColumn("_any", F.max((~held).cast("int")).over(left)).where((F.col("_any") == 0) | F.col("_train")).drop("_train", "_any")
+    left = rows.agg(F.max((~held).cast("int")).alias("_any"))
+    return rows.crossJoin(F.broadcast(left)).where((F.coalesce("_any", F.lit(0)) == 0) | ~held).drop("_any")  # one row

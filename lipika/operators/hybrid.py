@@ -5,11 +5,15 @@ over-fetch sizes, while candidate generation is one filtered scan per signal."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from lipika.functions import fixed, refs, text as T
 from lipika.functions.sanskrit import fold, fold_col, tokenize, tokens_col
@@ -163,3 +167,25 @@ def score(pool: DataFrame, intent: Intent, terms: DataFrame) -> DataFrame:
         final = F.round(final + F.col(k), 4)
     order = Window.partitionBy().orderBy(F.desc("before_phrase"), "pool_ord")  # ties keep the order the boosts gave
     return pool.withColumn("score", final).withColumn("pool_ord", F.row_number().over(order)).drop("_anthology")
+
+
+def rerank(hits: DataFrame, query: str, scorer: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], weight: float = 0.5) -> DataFrame:
+    """Hits with `score` blended with the sigmoid of a cross-encoder's logit, ranked anew. Opt-in.
+
+    The factory loads the model once per worker; where it or the scoring fails, the hits keep their order."""
+    @F.pandas_udf(DoubleType())
+    def logit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            score = scorer()
+        except Exception:  # noqa: BLE001 - no model, no change
+            score = None
+        for texts in batches:
+            try:
+                yield pd.Series([1 / (1 + math.exp(-x)) for x in score([(query, t or "") for t in texts])], dtype="float64")
+            except Exception:  # noqa: BLE001
+                yield pd.Series([None] * len(texts), dtype="float64")
+
+    rows = hits.withColumn("cross_score", logit("text"))
+    complete = F.count("cross_score").over(Window.partitionBy()) == F.count("*").over(Window.partitionBy())  # top_k rows
+    rows = rows.withColumn("score", F.when(complete, F.round((1 - weight) * F.col("score") + weight * F.col("cross_score"), 4)).otherwise(F.col("score")))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "rank")))

@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def corpus_fingerprint(docs: DataFrame, buckets: int = 1 << 16) -> DataFrame:
-    """(fingerprint): sha256 over the sorted digests of "id|fingerprint" lines, independent of order; '' for no rows.
+def _line() -> Column:
+    return F.concat(F.coalesce(F.col("id"), F.lit("")), F.lit("|"), F.coalesce("fingerprint", F.lit("")))
 
-    A corpus of 100 TB does not fit one task's sorted list, so lines are digested per hash bucket (each bucket's sorted
-    list is bounded by rows / buckets) and the bucket digests, at most `buckets` of them, once more in bucket order."""
-    line = F.concat(F.coalesce(F.col("id"), F.lit("")), F.lit("|"), F.coalesce("fingerprint", F.lit("")))
-    rows = docs.select(line.alias("line")).withColumn("bucket", F.pmod(F.xxhash64("line"), F.lit(buckets)))
+
+def corpus_fingerprint(docs: DataFrame) -> DataFrame:
+    """(fingerprint): digest of the corpus's "id|fingerprint" lines whatever their order; '' for no rows.
+
+    Lines are digested per bucket (the first four hex digits of their md5), so that no task sorts them all; the at most
+    65 536 bucket digests are digested once more in bucket order. Repeated lines count."""
+    rows = docs.select(_line().alias("line")).withColumn("bucket", F.substring(F.md5("line"), 1, 4))
     per = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n")
     return per.agg(F.when(F.count("*") > 0, F.sha2(whole, 256)).otherwise("").alias("fingerprint"))
 
 
-def exact_fingerprint(docs: DataFrame) -> DataFrame:
-    """(fingerprint): sha256 of all sorted lines at once, as the stored locks have it. One task holds all lines: for
-    corpora of up to some millions of documents."""
-    line = F.concat(F.coalesce(F.col("id"), F.lit("")), F.lit("|"), F.coalesce("fingerprint", F.lit("")))
-    lines = F.array_sort(F.collect_list(line))
-    return docs.agg(F.when(F.count("*") > 0, F.sha2(F.array_join(lines, "\n"), 256)).otherwise("").alias("fingerprint"))
+def stored_fingerprint(docs: DataFrame) -> DataFrame:
+    """(fingerprint): sha256 of all sorted lines at once, as older locks have it; '' for no rows.
+
+    The sort is distributed; the digest is sequential by definition, so one task streams over the sorted lines and holds
+    one batch of them."""
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        h, any_line = hashlib.sha256(), False
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                h.update((b"\n" if any_line else b"") + line.encode())
+                any_line = True
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest() if any_line else ""])], names=["fingerprint"])
+
+    found = docs.select(_line().alias("line")).orderBy("line").coalesce(1).mapInArrow(digest, "fingerprint string")
+    return found.agg(F.coalesce(F.max("fingerprint"), F.lit("")).alias("fingerprint"))  # no rows have no partition
 
 
 def summary(docs: DataFrame) -> DataFrame:

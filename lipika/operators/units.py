@@ -238,27 +238,56 @@ def document_units(work: str | None, book: int | None, hymn: int | None, ref: tu
     return {"bhagavad-gita": chapters, "yoga-sutra": sutras}.get(work, lambda _: [])(text)
 
 
-def parse_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, units): array of verse units with ids and locators for every document; empty where there is no structure."""
+def grouped(units: list[dict], size: int = 900, most: int = 2) -> list[list[dict]]:
+    """Consecutive verses of one work, book and hymn, at most `most` together, within `size` code points (200 at least).
+
+    A single unit is never split."""
+    limit, groups, used = max(200, size), [], 0
+    for u in units:
+        last = groups[-1][-1] if groups else None
+        follows = last and last["verse"] is not None and u["verse"] == last["verse"] + 1 and all(u[k] == last[k] for k in ("work", "book", "hymn"))
+        if follows and len(groups[-1]) < max(1, most) and used + len(u["text"]) <= limit:
+            groups[-1].append(u)
+            used += len(u["text"])
+        else:
+            groups.append([u])
+            used = len(u["text"])
+    return groups
+
+
+_RAW = StructType([f for f in UNIT.fields if f.name not in ("verse_id", "locator")])
+
+
+def _parsed(docs: DataFrame, kind: ArrayType, finish) -> DataFrame:
+    """(doc_id, raw): units of every document as `finish` arranges them."""
     work = F.coalesce(F.nullif("work", F.lit("")), refs.detect_work(F.col("title"), F.col("source_url"), F.col("tradition")))
     rows = docs.withColumn("work", work).withColumn("ref", refs.work_reference(F.col("work"), F.col("title"), F.col("source_url")))
-    raw = ArrayType(StructType([f for f in UNIT.fields if f.name not in ("verse_id", "locator")]))
 
-    @F.pandas_udf(raw)
+    @F.pandas_udf(kind)
     def parsed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         def whole(x):
             return None if x is None or x != x else int(x)
 
         for columns in batches:
-            yield pd.Series([document_units(w, whole(b), whole(h), (whole(rb), whole(rh)), t) for w, b, h, rb, rh, t in zip(*columns, strict=True)], dtype=object)
-
-    units = parsed("work", F.col("book").cast("int"), F.col("hymn").cast("int"), F.col("ref.book"), F.col("ref.hymn"), "text")
-    named = F.transform(
-        "raw",
-        lambda u: F.struct(
-            *(u[c].alias(c) for c in ("work", "book", "hymn", "verse", "passage", "text", "heading")),
-            refs.verse_id(u["work"], u["book"], u["hymn"], u["verse"], u["passage"]).alias("verse_id"),
-            refs.locator(u["work"], u["book"], u["hymn"], u["verse"], u["verse"]).alias("locator"),
-        ),
+            yield pd.Series([finish(document_units(w, whole(b), whole(h), (whole(rb), whole(rh)), t)) for w, b, h, rb, rh, t in zip(*columns, strict=True)], dtype=object)
+
+    return rows.select("doc_id", parsed("work", F.col("book").cast("int"), F.col("hymn").cast("int"), F.col("ref.book"), F.col("ref.hymn"), "text").alias("raw"))
+
+
+def _named(u):
+    return F.struct(
+        *(u[c].alias(c) for c in ("work", "book", "hymn", "verse", "passage", "text", "heading")),
+        refs.verse_id(u["work"], u["book"], u["hymn"], u["verse"], u["passage"]).alias("verse_id"),
+        refs.locator(u["work"], u["book"], u["hymn"], u["verse"], u["verse"]).alias("locator"),
     )
-    return rows.select("doc_id", units.alias("raw")).select("doc_id", named.alias("units"))
+
+
+def parse_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, units): array of verse units with ids and locators for every document; empty where there is no structure."""
+    return _parsed(docs, ArrayType(_RAW), list).select("doc_id", F.transform("raw", _named).alias("units"))
+
+
+def parse_groups(docs: DataFrame, size: int = 900, most: int = 2) -> DataFrame:
+    """(doc_id, chunk_index, g): groups of units of the documents that have a structure."""
+    rows = _parsed(docs, ArrayType(ArrayType(_RAW)), lambda units: grouped(units, size, most))
+    return rows.select("doc_id", F.posexplode("raw").alias("chunk_index", "g")).select("doc_id", "chunk_index", F.transform("g", _named).alias("g"))

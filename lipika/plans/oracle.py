@@ -138,7 +138,9 @@ FROM (SELECT DISTINCT verse_id FROM chunks WHERE verse_id IS NOT NULL) c LEFT JO
     sql["agg_table_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in ("documents", "chunks", "chunk_embeddings"))
     summary = f"SELECT count(*) AS documents, coalesce(sum({_SIZE}), 0)::BIGINT AS characters, {', '.join(f'count(DISTINCT lower({c})) AS {c}s' for c in ('tradition', 'language', 'work'))} FROM documents"
     sql["agg_summary"] = summary
-    sql["agg_fingerprint"] = "SELECT CASE WHEN count(*) > 0 THEN sha256(string_agg(line, chr(10) ORDER BY line)) ELSE '' END AS fingerprint FROM (SELECT concat(coalesce(id, ''), '|', coalesce(fingerprint, '')) AS line FROM documents)"
+    sql["agg_fingerprint"] = """WITH l AS (SELECT concat(coalesce(id, ''), '|', coalesce(fingerprint, '')) AS line FROM documents),
+b AS (SELECT md5(line)[1:4] AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1)
+SELECT CASE WHEN count(*) > 0 THEN sha256(string_agg(digest, chr(10) ORDER BY bucket)) ELSE '' END AS fingerprint FROM b"""
     checks = {"id missing": "coalesce(id, '') = ''", "text missing": "coalesce(text, '') = ''", "size wrong": "coalesce(n_chars, -1) <> length(coalesce(text, ''))", "license missing": "coalesce(license, '') = ''", "language missing": "coalesce(language, '') = ''"}
     sql["agg_expectations"] = " UNION ALL ".join(f"SELECT '{k}' AS \"check\", count(*) FILTER ({c}) AS failures FROM documents" for k, c in checks.items())
     sql["agg_profiles"] = """WITH n AS (SELECT count(*) AS d FROM documents), b(profile, low, high, expected) AS (VALUES ('tiny', NULL, 100, NULL), ('some', 101, NULL, NULL), ('exact', NULL, NULL, 1000)),

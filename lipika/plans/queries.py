@@ -156,13 +156,7 @@ def agg_summary(spark, sf):
 
 @query
 def agg_fingerprint(spark, sf):
-    """AGG-05: digest of the corpus, by the stored definition."""
-    return status.exact_fingerprint(_docs(spark, sf, "id", "fingerprint"))
-
-
-@query
-def agg_fingerprint_bucketed(spark, sf):
-    """AGG-05 for large corpora: order-independent digest by hash buckets."""
+    """AGG-05: order-independent digest of the corpus."""
     return status.corpus_fingerprint(_docs(spark, sf, "id", "fingerprint"))
 
 

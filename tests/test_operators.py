@@ -1,5 +1,6 @@
 """Operators against brute force on small tables, with nulls, ties, repeats, empty tables and clashing columns."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -202,7 +203,8 @@ def test_catalog_and_status(spark):
     assert catalog.lookup(d, "a").first().doc_id == 2
     assert {r.tradition: r.documents for r in catalog.tradition_table(d).collect()}["vedic"] == 2
     assert catalog.stats(d.where("false")).count() == 0
-    assert status.exact_fingerprint(d.where("false")).first()[0] == "" == status.corpus_fingerprint(d.where("false")).first()[0]
+    assert status.stored_fingerprint(d.where("false")).first()[0] == "" == status.corpus_fingerprint(d.where("false")).first()[0]
+    assert status.stored_fingerprint(d).first()[0] == hashlib.sha256(b"a|\na|\nb|").hexdigest()
     assert status.corpus_fingerprint(d).first()[0] == status.corpus_fingerprint(d.orderBy(F.desc("doc_id"))).first()[0]
     assert {r.check: r.failures for r in status.expectations(d).collect()}["text missing"] == 1
     p = {r.profile: r.ok for r in status.matching_profiles(status.summary(d), {"a": {"min_documents": 4}, "b": {"expected_documents": 3}}).collect()}
