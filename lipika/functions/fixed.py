@@ -15,7 +15,7 @@ CONSONANTS = {
 SIGNS = {"ं": "ṃ", "ः": "ḥ", "ँ": "m̐", "ऽ": "'", "ॐ": "om", "।": ".", "॥": ".."}
 VIRAMA = "्"
 
-# IAST letters and the ASCII letter each folds to (the twentieth capital is the reference spelling).
+# IAST letters and the ASCII letter each folds to (Ṹ where one expects Ḹ: results depend on it).
 IAST_LETTERS = "āīūṛṝḷḹṃḥśṣñṅṭḍṇĀĪŪṚṜḶṸṂḤŚṢÑṄṬḌṆ"
 ASCII_LETTERS = "aiurrllmhssnntdnAIURRLLMHSSNNTDN"
 # Common respellings, in order.

@@ -41,11 +41,11 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
 def splits(query_ids: DataFrame, ratio: float = 0.2, pinned: tuple[str, ...] = PINNED_TRAIN) -> DataFrame:
     """(query_id, split): the last round(n * ratio) ids in order that are not pinned are held out; at least one of two or more."""
     ids = query_ids.select("query_id").where("query_id is not null").distinct()
-    n = ids.agg(F.count("*").alias("n"))
-    hold = F.greatest(F.lit(1), F.bround(F.col("n") * ratio).cast("int"))
+    n = ids.count()
+    hold = max(1, round(n * ratio)) if n >= 2 and ratio > 0 else 0
     free = ids.where(~F.col("query_id").isin(*pinned)) if pinned else ids
     last = F.row_number().over(Window.orderBy(F.desc("query_id")))  # the gold set is small by nature
-    held = free.withColumn("rn", last).crossJoin(F.broadcast(n)).where((F.col("rn") <= hold) & (F.col("n") >= 2) & F.lit(ratio > 0)).select("query_id", F.lit("eval").alias("split"))
+    held = free.withColumn("rn", last).where(F.col("rn") <= hold).select("query_id", F.lit("eval").alias("split"))
     return ids.join(held, "query_id", "left").select("query_id", F.coalesce("split", F.lit("train")).alias("split"))
 
 
@@ -76,5 +76,5 @@ def pair_summary(rows: DataFrame) -> DataFrame:
 def train_rows(rows: DataFrame) -> DataFrame:
     """Pairs that are not held out; all of them if none is left."""
     held = F.lower(F.coalesce("split", F.lit(""))).isin("holdout", "eval", "test", "valid", "validation", "dev")
-    left = rows.agg(F.max((~held).cast("int")).alias("_any"))
-    return rows.crossJoin(F.broadcast(left)).where((F.coalesce("_any", F.lit(0)) == 0) | ~held).drop("_any")  # one row
+    free = rows.where(~held)
+    return rows if free.isEmpty() else free

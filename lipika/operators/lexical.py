@@ -33,14 +33,14 @@ def bm25(tokens: DataFrame, terms: DataFrame, id_col: str = "chunk_id", k1: floa
     A query token that a row lacks is replaced by its first equivalent the row has. Only tokens some query asks for
     leave the scan; `terms` is as small as the query set and is broadcast. Null tokens count as none."""
     size = F.greatest(F.size(F.coalesce("tokens", F.array().cast("array<string>"))), F.lit(0))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
+    n, avgdl = tokens.agg(F.count("*"), F.coalesce(F.avg(size), F.lit(0.0))).first()
     wanted = [r[0] for r in terms.select("term").distinct().collect()]
     asked = F.filter("tokens", lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")
     hits = tokens.select(F.col(id_col), F.greatest(size, F.lit(1)).alias("dl"), F.explode(asked).alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    hits = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row per asked term; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = hits.join(F.broadcast(df), "term")  # one row per asked term
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0)))
     scored = hits.select(id_col, "term", part.alias("part")).join(F.broadcast(terms), "term")
     best = scored.groupBy("query_id", id_col, "pos").agg(F.min_by("part", "alt").alias("part"))
     return best.groupBy("query_id", id_col).agg(F.sum("part").alias("score")).where("score > 0")
