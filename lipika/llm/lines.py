@@ -11,7 +11,7 @@ lines; documents without site belong to no site and stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lipika.llm.labels import SPACE, site
 from lipika.session import cut_lineage
@@ -52,8 +52,9 @@ def site_delta(docs: DataFrame) -> DataFrame:
 
 
 def merge_counts(state: DataFrame | None, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The table after a delta: sums by key. A missing state is the empty table."""
-    return delta if state is None else state.unionByName(delta).groupBy(*keys).agg(F.sum(value).alias(value))
+    """The table after a delta: sums by key, cut from its lineage so that a state doesn't grow a plan. A missing state
+    is the empty table."""
+    return delta if state is None else cut_lineage(state.unionByName(delta).groupBy(*keys).agg(F.sum(value).alias(value)))
 
 
 def crossed(lines: DataFrame, sites: DataFrame) -> DataFrame:
@@ -81,12 +82,23 @@ def rebuild(docs: DataFrame, lines: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 class LineCounts:
-    """The incremental state: counts by (site, line) and by site, and the lines over the threshold."""
+    """The incremental state: counts by (site, line) and by site, and the lines over the threshold.
 
-    def __init__(self) -> None:
-        self.lines: DataFrame | None = None
-        self.sites: DataFrame | None = None
-        self.over: DataFrame | None = None
+    Lines once over may fall under it as a site grows; `add` returns those newly over, `over` those over now."""
+
+    def __init__(self, lines: DataFrame | None = None, sites: DataFrame | None = None) -> None:
+        self.lines, self.sites = lines, sites
+        self.over = crossed(lines, sites) if lines is not None and sites is not None else None
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> LineCounts:
+        """The state a `save` left."""
+        return LineCounts(spark.read.parquet(f"{folder}/lines.parquet"), spark.read.parquet(f"{folder}/sites.parquet"))
+
+    def save(self, folder: str) -> None:
+        """Write the state, to another folder than it was loaded from."""
+        self.lines.write.parquet(f"{folder}/lines.parquet")
+        self.sites.write.parquet(f"{folder}/sites.parquet")
 
     def add(self, docs: DataFrame, lines: DataFrame) -> DataFrame:
         """Merge a partition (documents and their `keyed` form); returns the lines newly over the threshold."""

@@ -39,11 +39,11 @@ def sized_documents(docs: DataFrame, pieces: Pieces, seed: int = 0) -> DataFrame
 def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: source, target_share, max_repeats, source_tokens, target_tokens, epochs (complete), rest (tokens of a partial one), capped."""
     by_source = sized.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    total = by_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("all_tokens"))
+    total = by_source.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).first()[0]
     t = targets.where("source is not null").groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    t = t.join(by_source, "source", "left").crossJoin(F.broadcast(total))  # one row
+    t = t.join(by_source, "source", "left")
     have = F.coalesce("source_tokens", F.lit(0))
-    want = F.col("target_share") * F.col("all_tokens")
+    want = F.col("target_share") * F.lit(total)
     t = t.select("source", "target_share", "max_repeats", have.alias("source_tokens"), want.alias("target_tokens"))
     whole = F.when(F.col("source_tokens") > 0, F.floor(F.col("target_tokens") / F.col("source_tokens"))).otherwise(0)
     t = t.withColumn("epochs", F.least(whole, F.coalesce("max_repeats", whole)).cast("bigint"))
@@ -73,6 +73,6 @@ def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     """The report: plan beside the tokens and the share each source reached."""
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"))
-    total = got.agg(F.sum("mixed_tokens").alias("mix_total"))
-    out = plan.join(got, "source", "left").crossJoin(F.broadcast(total)).withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    return out.select("source", "target_share", "max_repeats", "source_tokens", "target_tokens", "mixed_tokens", (F.col("mixed_tokens") / F.nullif(F.col("mix_total"), F.lit(0))).alias("actual_share"), "capped")
+    out = plan.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    total = F.sum("mixed_tokens").over(Window.partitionBy())  # one row per target
+    return out.select("source", "target_share", "max_repeats", "source_tokens", "target_tokens", "mixed_tokens", (F.col("mixed_tokens") / F.nullif(total, F.lit(0))).alias("actual_share"), "capped")

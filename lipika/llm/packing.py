@@ -5,8 +5,8 @@ fillings of the rest of it, prunes by the waste still reachable, starts from bes
 stops at a perfect fit or at a node limit. Items are cut only if they exceed the capacity: whole containers
 first, the remainder is packed like any other item.
 
-Items are packed within cells of about `cell_items` (by hash of the id), each one task's work: only ids and
-sizes travel, and what a cell leaves unused is at most its last containers. Null and empty texts have size 0
+Items are packed within cells of about `cell_items` (by hash of id and place, so that repeated ids spread), each
+one task's work: only ids and sizes travel, and what a cell leaves unused is at most its last containers. Null and empty texts have size 0
 and lie in a container at no cost. Every item is placed exactly once, repeated ids included.
 """
 
@@ -101,7 +101,7 @@ def pack_sizes(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -
 def pack(docs: DataFrame, pieces: Pieces, capacity: int = CAPACITY, cell_items: int = CELL_ITEMS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, piece_no, first_token, tokens, cell, container): every item, or its pieces if larger than the capacity."""
     cells = max(1, -(-docs.count() // cell_items))
-    sized = docs.select(F.col(id_col), token_count(pieces, F.col(text)).alias("tokens"), F.pmod(F.xxhash64(id_col), F.lit(cells)).alias("cell"))
+    sized = docs.select(F.col(id_col), token_count(pieces, F.col(text)).alias("tokens"), F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(cells)).alias("cell"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def fill(cell: pd.DataFrame) -> pd.DataFrame:

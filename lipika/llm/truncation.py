@@ -149,7 +149,8 @@ def judged(docs: DataFrame) -> DataFrame:
     asked = ends.where("state in ('open', 'entry')").select(F.explode(F.array("frame", "frame2")).alias("frame")).distinct()
     known = rows.where("kind = 1").select("frame", "n").join(asked, "frame", "left_semi").groupBy("frame").agg(F.sum("n").alias("n")).where(F.col("n") >= FRAME_LINES).select("frame")
     tails = rows.where("kind = 2").groupBy("frame").agg(F.sum("n").alias("n"))
-    tails = tails.crossJoin(F.broadcast(tails.agg(F.sum("n").alias("all")))).where(F.col("n") >= F.col("all") * TAIL_SHARE).select(F.col("frame").alias("tail"))  # at most 1 / TAIL_SHARE rows
+    entries = tails.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tails = tails.where(F.col("n") >= entries * TAIL_SHARE).select(F.col("frame").alias("tail"))  # at most 1 / TAIL_SHARE rows
     ends = ends.join(known.select("frame", F.lit(True).alias("k1")), "frame", "left").join(known.select(F.col("frame").alias("frame2"), F.lit(True).alias("k2")), "frame2", "left")
     ends = ends.join(F.broadcast(tails.withColumn("t", F.lit(True))), "tail", "left")
     state = F.when(F.col("state").isin("open", "entry") & (F.col("k1") | F.col("k2")), "known").when((F.col("state") == "entry") & F.col("t").isNull(), "open").otherwise(F.col("state"))

@@ -122,7 +122,7 @@ def _repeated(rows):
     return sorted(found)
 
 
-def test_repeated_lines_and_increments(spark):
+def test_repeated_lines_and_increments(spark, tmp_path):
     rows = _line_docs()
     df = spark.createDataFrame(rows, "doc_id long, source_url string, text string").withColumn("site", F.lit("clash"))
     keyed = lines.keyed(df)
@@ -135,6 +135,11 @@ def test_repeated_lines_and_increments(spark):
         part = df.where(F.col("doc_id") % 3 == n)
         parts.add(part, lines.keyed(part))
     assert sorted(map(tuple, parts.over.collect())) == sorted(map(tuple, over.collect()))
+    folder = str(tmp_path / "state")
+    whole.save(folder)
+    loaded = lines.LineCounts.load(spark, folder)
+    assert loaded.add(df.where("false"), lines.keyed(df.where("false"))).count() == 0
+    assert sorted(map(tuple, loaded.over.collect())) == sorted(map(tuple, over.collect()))
     rebuilt = {r.doc_id: r for r in lines.rebuild(df, keyed, over).collect()}
     text = {i: t for i, _, t in rows}
     gone = defaultdict(set)
