@@ -36,10 +36,12 @@ def greedy(records: DataFrame, order: str, keys: tuple[str, str], existing: Data
     free = todo.where(F.col(a).isNull() & F.col(b).isNull()).select(order)
     undecided, kept = cut_lineage(firsts), None
     for _ in range(rounds):
-        for_a = F.min(order).over(Window.partitionBy(a))
-        for_b = F.min(order).over(Window.partitionBy(b))
-        marked = undecided.withColumn("first_a", F.when(F.col(a).isNull(), F.col(order)).otherwise(for_a)).withColumn("first_b", F.when(F.col(b).isNull(), F.col(order)).otherwise(for_b))
-        winners = cut_lineage(marked.where((F.col(order) == F.col("first_a")) & (F.col(order) == F.col("first_b"))).select(order, a, b))
+        # a row is first in a group if it is the group's minimum: aggregations combine before the exchange, windows don't
+        winners = undecided
+        for k in keys:
+            first = undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(order)).select(order)
+            winners = winners.join(first.unionByName(undecided.where(F.col(k).isNull()).select(order)), order, "left_semi")
+        winners = cut_lineage(winners.select(order, a, b))
         kept = winners if kept is None else kept.unionByName(winners)
         rest = undecided.join(winners.select(order), order, "left_anti")
         for k in keys:
