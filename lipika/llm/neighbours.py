@@ -266,6 +266,7 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least:
 
     def against(block: list) -> DataFrame:
         names = np.array([r[0] for r in block], dtype=object)
+        place = {n: i for i, n in enumerate(names)}
         q = _floats(np.stack([np.frombuffer(r[1], dtype="<i2") for r in block]))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +278,9 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least:
                 for i in range(0, len(ids), BLOCK):
                     x = _floats(np.frombuffer(b"".join(packed[i : i + BLOCK]), dtype="<i2").reshape(len(packed[i : i + BLOCK]), -1))
                     s = q @ x.T
-                    s[names[:, None] == ids[None, i : i + BLOCK]] = -2
+                    own = [(place[x], c) for c, x in enumerate(ids[i : i + BLOCK]) if x in place]
+                    if own:
+                        s[tuple(zip(*own, strict=True))] = -2
                     top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
                     both = np.hstack([best, np.take_along_axis(s, top, 1)])
                     named = np.hstack([who, ids[i : i + BLOCK][top]])

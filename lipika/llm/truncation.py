@@ -4,7 +4,8 @@ Method: per source, a log-normal length distribution is fitted by maximum likeli
 limits taken as right-censored; each value's censoring posterior at its length is combined with the evidence of its
 ending. Candidate limits are lengths at which a source has more values than its fitted density explains.
 
-Endings: a mark of cutting (ellipsis, bracketed dots, a replacement character); closing punctuation; a line whose
+Endings: a mark of cutting (ellipsis, bracketed dots, a replacement character); closing punctuation that closes
+something; a line whose
 frame (digits and names masked) also stands before other lines, as page furniture and colophons do, and so is whole;
 an entry of a list with a tail that entries have; else open. Frames are counted over all documents, and only lines
 that are followed by another line count, as no cut line is. A stored size beyond the text's length is weak evidence.
@@ -37,7 +38,9 @@ LIMIT_VALUES, FRAME_LINES = 3, 2
 TAIL_SHARE = 0.01
 
 _MARK = re.compile(r"(?:…|\.\.\.|�|[\[(<]\s*(?:…|\.\.\.|more|truncated)\s*[\])>])\s*$")
-_CLOSED = re.compile(r"[.!?।॥|/:;]['\"”’»)\]]*\s*$|[.!?।॥|/]\s*['\"”’»)\]]+\s*$")
+_CLOSED = re.compile(r"[.!?।॥|/]\s*['\"”’»)\]]*\s*$")
+#: Closing signs that close nothing: a bare verse number, half of a verse's end mark.
+_HALF = re.compile(r"^\W*\d+(?:\.\d+)?[.)]?\s*$|(?://|\|\||॥|।।)\s*[\d.]+\s*[/|।]\s*$")
 _ENTRY = re.compile(r"^\S.{0,60}? [—–] [^;]+; ")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"(?<!^)\b[A-ZÀ-ÞĀĪŪṚṢŚṬḌ][\w-]*")
@@ -59,7 +62,7 @@ def ending(line: str) -> str:
     """What the last line alone shows: marked, closed, entry or open."""
     if _MARK.search(line):
         return "marked"
-    if _CLOSED.search(line):
+    if _CLOSED.search(line) and not _HALF.search(line) and line.rfind("(") <= line.rfind(")") and line.rfind("“") <= line.rfind("”"):
         return "closed"
     return "entry" if _ENTRY.match(line) else "open"
 
