@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 from lipika.functions import fixed, refs, text as T
 from lipika.functions.sanskrit import fold, fold_col, tokenize, tokens_col
 from lipika.operators import lexical, ranking
+from lipika.session import cut_lineage
 
 
 def _rlike(c: Column, pattern: str) -> Column:
@@ -112,11 +113,12 @@ def search(chunks: DataFrame, semantic: DataFrame, query: str, top_k: int = 8, p
     terms = lexical.query_terms(spark, {"q": query})
     lexical_top = lexical.top(lexical.bm25(chunks, terms), max(4 * top_k, 20)).select("chunk_id", F.lit(1).alias("source"), "rank")
     first = semantic.select("chunk_id", F.lit(0).alias("source"), "rank").unionByName(lexical_top)
-    ids = ranking.union_first(first.withColumn("query_id", F.lit("q")), ["source", "rank"]).select("chunk_id", "source", "rank")
+    ids = cut_lineage(ranking.union_first(first.withColumn("query_id", F.lit("q")), ["source", "rank"]).select("chunk_id", "source", "rank"))
     pool = chunks.join(F.broadcast(ids), "chunk_id")  # at most over-fetch rows
     if (more := injections(chunks, intent, ids)) is not None:
         pool = pool.unionByName(more.select(pool.columns))
     pool = pool.join(semantic.select("chunk_id", F.col("score").alias("dense"), F.col("rank").alias("dense_rank")), "chunk_id", "left")
+    pool = cut_lineage(pool)  # some dozens of rows that scoring reads again and again
     return ranking.diversify(score(pool, intent, terms).withColumn("query_id", F.lit(query)), top_k, per_document, "pool_ord")
 
 
