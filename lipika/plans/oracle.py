@@ -196,5 +196,20 @@ p AS (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array(t, '[।
 a AS (SELECT chunk_id, ps, list_position(list_transform(ps, lambda x: regexp_matches(x, '[\\x{{951}}\\x{{952}}]')), true) AS k FROM p),
 s AS (SELECT chunk_id, CASE WHEN len(ps) > 1 AND k > 1 THEN ps[k:] ELSE ps END AS ps FROM a)
 SELECT chunk_id, (unnest(range(1, len(ps) + 1)) - 1)::INT AS pos, unnest(ps) AS pada FROM s"""
+    walk = """WITH RECURSIVE m AS (SELECT {middle} AS m), d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, nullif(fingerprint, '') AS f, nullif(source_url, '') AS u FROM documents, m WHERE doc_id > m.m),
+w(rn, fs, us, kept) AS (
+  SELECT 0::BIGINT, (SELECT coalesce(list(DISTINCT fingerprint), []) FROM documents, m WHERE doc_id <= m.m AND fingerprint <> ''), (SELECT coalesce(list(DISTINCT source_url), []) FROM documents, m WHERE doc_id <= m.m AND source_url <> ''), NULL::BIGINT
+  UNION ALL
+  SELECT rn, CASE WHEN seen OR f IS NULL THEN fs ELSE list_append(fs, f) END, CASE WHEN seen OR u IS NULL THEN us ELSE list_append(us, u) END, CASE WHEN NOT seen THEN doc_id END
+  FROM (SELECT d.rn, d.doc_id, d.f, d.u, w.fs, w.us, coalesce(list_contains(w.fs, d.f), false) OR coalesce(list_contains(w.us, d.u), false) AS seen FROM w JOIN d ON d.rn = w.rn + 1))
+SELECT kept AS doc_id FROM w WHERE kept IS NOT NULL"""
+    sql["set_greedy"] = walk.format(middle="-1")
+    sql["joi_new_records"] = walk.format(middle="(SELECT quantile_disc(doc_id, 0.5) FROM documents)")
+    sql["str_rate_limit"] = """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w(user_id, rn, start, n) AS (
+  SELECT user_id, 1::BIGINT, ts, 1 FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN e.ts ELSE w.start END, CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT n <= 2 AS allowed, count(*) AS events FROM w GROUP BY 1"""
     sql["ml_packed_blocks"] = f"SELECT source, sum(len(regexp_extract_all(text, '[^\\s\\x{{0b}}]+')))::BIGINT AS words, sum(len(regexp_extract_all(text, '[^\\s\\x{{0b}}]+')))::BIGINT // 512 AS blocks FROM documents GROUP BY 1"
     return sql

@@ -399,8 +399,8 @@ def par_padas(spark, sf):
 
 @query
 def str_rate_limit(spark, sf):
-    """WIN-08, STR-02 (batch form): one-minute windows anchored at each user's first event, three allowed."""
-    rows = ranking.windows_by_first(table(spark, sf, "events", "event_id", "ts", "user_id"), ["user_id"], "ts", 60, 3)
+    """WIN-08, STR-02 (batch form): one-day windows anchored at each user's first event, two allowed."""
+    rows = ranking.windows_by_first(table(spark, sf, "events", "event_id", "ts", "user_id"), ["user_id"], "ts", 86_400, 2)
     return rows.groupBy("allowed").agg(F.count("*").alias("events"))
 
 
