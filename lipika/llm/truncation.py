@@ -7,7 +7,7 @@ ending. Candidate limits are lengths at which a source has more values than its
 Endings: a mark of cutting (ellipsis, bracketed dots, a replacement character); closing punctuation that closes
 something; a line whose
 frame (digits and names masked) also stands before other lines, as page furniture and colophons do, and so is whole;
-an entry of a list with a tail that entries have; else open. Frames are counted over all documents, and only lines
+an entry of a list with a tail that entries have; else open. Blank lines and page numbers at the end are passed over. Frames are counted over all documents, and only lines
 that are followed by another line count, as no cut line is. A stored size beyond the text's length is weak evidence.
 
 Null and blank texts are not truncated. Repeated rows are judged alike. Documents without source form one source.
@@ -41,6 +41,8 @@ _MARK = re.compile(r"(?:…|\.\.\.|�|[\[(<]\s*(?:…|\.\.\.|more|truncated)\s*
 _CLOSED = re.compile(r"[.!?।॥|/]\s*['\"”’»)\]]*\s*$")
 #: Closing signs that close nothing: a bare verse number, half of a verse's end mark.
 _HALF = re.compile(r"^\W*\d+(?:\.\d+)?[.)]?\s*$|(?://|\|\||॥|।।)\s*[\d.]+\s*[/|।]\s*$")
+#: A page number alone: the text before it tells how the text ends.
+_PAGE = re.compile(r"^\s*[\[(—–-]*\s*(?:[Pp]ag[ec]\s+)?(?:\d{1,4}|[ivxlc]{1,8})\s*[\])—–-]*\s*$")
 _ENTRY = re.compile(r"^\S.{0,60}? [—–] [^;]+; ")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"(?<!^)\b[A-ZÀ-ÞĀĪŪṚṢŚṬḌ][\w-]*")
@@ -86,7 +88,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None:
                 continue
             lines = text.split("\n")
-            while lines and not lines[-1].strip():
+            while lines and (not lines[-1].strip() or len(lines[-1]) < 20 and _PAGE.match(lines[-1])):
                 lines.pop()
             if not lines:
                 rows.append((0, doc, source, len(text), False, "blank", None, None, None))

@@ -140,8 +140,8 @@ def test_length_fit():
 def test_truncation(spark):
     whole = ["Every star sings.", "वेदः रक्षति ॥५॥", "He said “no.”", "vedaḥ // 3 //"]
     rows = [(i, "s", None, f"A first line that is unique {i}.\n{whole[i % 4]}\nRead more pages like this one here\nand {i} again.") for i in range(40)]
-    cut = {100: "The river runs over every golden mou", 101: "It sings…", 102: "It sings [...]", 103: "It sin�", 104: "नदी पर्वत", 105: "It sings ..."}
-    fine = {200: "All is well.", 201: "It ends.\nRead more pages like this one here", 202: "It ends.\nREAD MORE PAGES LIKE THIS ONE HERE\n\n", 203: None, 204: "", 205: "  \n "}
+    cut = {100: "The river runs over every golden mou", 101: "It sings…", 102: "It sings [...]", 103: "It sin�", 104: "नदी पर्वत", 105: "It sings ...", 106: "The river runs over\n\n- 12 -"}
+    fine = {200: "All is well.", 201: "It ends.\nRead more pages like this one here", 202: "It ends.\nREAD MORE PAGES LIKE THIS ONE HERE\n\n", 206: "It ends.\n[12]\n", 203: None, 204: "", 205: "  \n "}
     rows += [(i, "s", None, t) for i, t in {**cut, **fine}.items()] + [(100, "s", None, cut[100])]
     df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string").withColumn("state", F.lit("clash"))
     j = truncation.judged(df)
