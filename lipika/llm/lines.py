@@ -2,7 +2,8 @@
 
 Method: a per-site table of line counts is kept incrementally. A new partition of documents becomes a
 delta (map-side combined counts), deltas merge by addition, the merge tells which lines crossed the
-threshold, and only documents that hold a newly crossed line are rebuilt.
+threshold, up or down. Rebuilt are the documents of the partition that hold a line over it, and of the older ones only
+those that hold a line that crossed; always from the stored text and without all lines that are over then.
 
 Two lines are the same if equal after collapsing white space, trimming, lower-casing and replacing each
 run of 0-9 by `#`. A line counts once per document however often it stands there. Null texts have no
@@ -84,11 +85,13 @@ def rebuild(docs: DataFrame, lines: DataFrame, keys: DataFrame) -> DataFrame:
 class LineCounts:
     """The incremental state: counts by (site, line) and by site, and the lines over the threshold.
 
-    Lines once over may fall under it as a site grows; `add` returns those newly over, `over` those over now."""
+    Lines once over may fall under it as a site grows; `add` returns those newly over, `over` those over now, `fallen`
+    those that fell with the last partition (None before the second)."""
 
     def __init__(self, lines: DataFrame | None = None, sites: DataFrame | None = None) -> None:
         self.lines, self.sites = lines, sites
         self.over = crossed(lines, sites) if lines is not None and sites is not None else None
+        self.fallen: DataFrame | None = None
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> LineCounts:
@@ -105,4 +108,19 @@ class LineCounts:
         self.lines = merge_counts(self.lines, line_delta(lines), ["site", "key", "key2"], "n_docs")
         self.sites = merge_counts(self.sites, site_delta(docs), ["site"], "site_docs")
         before, self.over = self.over, crossed(self.lines, self.sites)
+        self.fallen = None if before is None else newly_crossed(self.over, before)
         return self.over if before is None else newly_crossed(before, self.over)
+
+
+def grown(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What `rebuild` gives for `old` and `new` documents together, reached in two rounds: the old ones alone, then the
+    new ones and those of the old ones that hold a line whose standing the new ones changed."""
+    first, second, counts = keyed(old), keyed(new), LineCounts()
+    counts.add(old, first)
+    counts.over = early = cut_lineage(counts.over)
+    crossing = counts.add(new, second)
+    counts.over = cut_lineage(counts.over)
+    touched = cut_lineage(repeated_lines(first, crossing.unionByName(counts.fallen)).select("doc_id").distinct())
+    settled = rebuild(old, first.join(touched, "doc_id", "left_anti"), early)
+    again = rebuild(old, first.join(touched, "doc_id", "left_semi"), counts.over)
+    return settled.unionByName(again).unionByName(rebuild(new, second, counts.over))

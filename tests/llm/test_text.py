@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lipika.llm import canonical, lines, splitting, tokens
+from lipika.llm import canonical, lines, queries, splitting, tokens
 
 VOCAB = ["a", "ab", "abc", "b", "the", "##c", "##bc", "##the", "##a", "##", "é"]
 
@@ -150,6 +150,24 @@ def test_repeated_lines_and_increments(spark, tmp_path):
     assert lines.LineCounts().add(empty, lines.keyed(empty)).count() == 0
 
 
+def test_incremental_query_reaches_the_cleaned_state(spark, tmp_path):
+    """Lines over from the start, crossing late and falling late; late documents lose lines that were over before."""
+    always, late, falling = "a line that is on all of the pages", "a line that comes with the later ones", "a line that only a few old pages bear"
+    rows = []
+    for i in range(60):
+        new = i >= 20
+        body = [f"a line of its own number {'x' * i}", always, *[late] * (i % 2 if new else i == 0), *[falling] * (i < 5)]
+        rows.append((i, "https://a.org/p" if i != 7 else None, "\n".join(body), "2025-03-01 00:00:00" if new else ("2024-03-01 00:00:00" if i % 3 else None)))
+    # on a second site all there is falls under the threshold again
+    rows += [(100 + i, "https://b.org/p", falling if i < 5 else f"nothing {i}", "2025-03-01 00:00:00" if i >= 10 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source_url string, text string, retrieved_at string").withColumn("retrieved_at", F.to_timestamp("retrieved_at"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got, whole = (sorted(map(tuple, q(spark, str(tmp_path)).select("doc_id", "text", "removed").collect())) for q in (queries.p4_incremental, queries.p4_cleaned))
+    assert got == whole
+    removed = {i: n for i, _, n in got}
+    assert len(removed) == 59 and removed[0] == 2 and removed[1] == 1 and removed[21] == 2 and removed[22] == 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab .\n।अ", max_size=900), st.integers(20, 200))
 def test_pieces_cover_and_fit(t, limit):
