@@ -28,6 +28,8 @@ MODEL, DIMENSIONS, K, MIN_COSINE = "mini-multi-64", 64, 5, 0.90
 TREES, BITS, BLOCK, SAMPLE, RANGE_ROWS = 6, 62, 1024, 20_000, 40_000
 #: Queries that are compared with everything at a time, to measure recall.
 QUERY_BLOCK = 4_000
+#: Vectors in a row of `_packed`, and ranges of ids in which all vectors are compared.
+PACK, PACK_RANGES = 4_096, 2
 _SCALE = 32_000.0
 
 
@@ -305,6 +307,95 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least:
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _packed(vectors: DataFrame, parts: int, name: str) -> DataFrame:
+    """Rows of up to PACK vectors, in the order of their ids within each of `parts` ranges of ids."""
+    rows = vectors.select(_short(F.col("id")).alias("id"), "vector").repartitionByRange(parts, "id").sortWithinPartitions("id")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, packed = [], []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids[:PACK]], pa.list_(pa.binary())), pa.array([b"".join(packed[:PACK])], pa.binary())], names=[f"{name}_ids", f"{name}_rows"])
+
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            packed += b.column(1).to_pylist()
+            while len(ids) >= PACK:
+                yield row()
+                del ids[:PACK], packed[:PACK]
+        if ids:
+            yield row()
+
+    return rows.mapInArrow(pack, f"{name}_ids array<binary>, {name}_rows binary")
+
+
+class _Best:
+    """The k best of a block of queries over the blocks that pass, which come in the order of ids."""
+
+    def __init__(self, ids: list[bytes], x: np.ndarray, k: int, least: float) -> None:
+        self.ids, self.x, self.k, self.least = ids, x, k, least
+        self.place = {name: i for i, name in enumerate(ids)}
+        self.score = np.full((len(ids), k), -2, dtype=np.float32)
+        self.who = np.full((len(ids), k), None, dtype=object)
+
+    def add(self, ids: list[bytes], y: np.ndarray) -> None:
+        names = np.array(ids, dtype=object)
+        step = 64 if self.who[0, 0] is None else BLOCK  # the first few set the mark that others have to pass
+        at = 0
+        while at < len(ids):
+            self._add(names[at : at + step], y[at : at + step])
+            at, step = at + step, min(4 * step, BLOCK)
+
+    def _add(self, names: np.ndarray, y: np.ndarray) -> None:
+        s = self.x @ y.T
+        for c, name in enumerate(names):
+            if (i := self.place.get(name)) is not None:
+                s[i, c] = -2
+        mark = np.maximum(self.score[:, -1], np.nextafter(np.float32(max(self.least, -1.5)), np.float32(-2)))
+        i, j = np.divmod(np.flatnonzero(s > mark[:, None]), len(names))
+        if not len(i):
+            return
+        rows = np.unique(i)
+        # scores to 1e-6, so that equal vectors tie; what was there before has the smaller id and stays ahead
+        a = np.concatenate([np.repeat(rows, self.k), i])
+        score = np.concatenate([self.score[rows].ravel(), np.round(s[i, j], 6)])
+        who = np.concatenate([self.who[rows].ravel(), names[j]])
+        keep = _best(a, np.arange(len(a)), score, self.k)
+        self.score[rows], self.who[rows] = score[keep].reshape(-1, self.k), who[keep].reshape(-1, self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        i, j = np.nonzero(self.score >= max(self.least, -1.5))
+        names = np.array(self.ids, dtype=object)
+        return pa.RecordBatch.from_arrays([pa.array(names[i], pa.binary()), pa.array(self.who[i, j], pa.binary()), pa.array(self.score[i, j], pa.float32())], names=["id", "other", "cosine"])
+
+
+def all_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least: float = -1.0) -> DataFrame:
+    """(id, other, cosine, rank): up to k most similar others of every query among all vectors, none left out.
+
+    Every block of queries meets every block of vectors, so the work grows as their product; nothing of it is in the
+    driver, and a task keeps one block of queries with its k best."""
+    n = queries.count()
+    met = _packed(queries, max(1, -(-n // PACK)), "q").crossJoin(_packed(vectors, PACK_RANGES, "v"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, q, names, v = (c[r].as_py() for c in b.columns)
+                if best is None or best.ids != ids:
+                    if best is not None:
+                        yield best.rows()
+                    best = _Best(ids, _floats(np.frombuffer(q, dtype="<i2").reshape(len(ids), -1)), k, least)
+                best.add(names, _floats(np.frombuffer(v, dtype="<i2").reshape(len(names), -1)))
+        if best is not None:
+            yield best.rows()
+
+    found = met.mapInArrow(compare, "id binary, other binary, cosine float")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    near = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.select(_long(F.col("id")).alias("id"), _long(F.col("other")).alias("other"), "cosine", "rank")
+
+
 def recall(vectors: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
     """(expected, found, recall): share of the queries' exact neighbours that `near` holds."""
     exact = exact_neighbours(vectors, queries, k, least).select("id", "other")

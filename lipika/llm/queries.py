@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lipika.llm import canonical, language, lines, mixture, neighbours, packing, scans, splitting, tokens, truncation
+from lipika.session import cut_lineage
 from lipika.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,9 +86,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """Up to 5 most similar other chunks of every chunk, with cosine at least 0.90."""
-    vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
-    return neighbours.neighbours(vectors, forest)
+    """The 5 most similar other chunks of every chunk, however similar."""
+    vectors = cut_lineage(neighbours.current_vectors(table(spark, sf, "chunk_embeddings")))
+    return neighbours.all_neighbours(vectors, vectors)
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
@@ -102,9 +103,11 @@ def p5_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall against brute force over the ids whose hash is divisible by 100, against all rows."""
-    vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
-    return neighbours.recall(vectors, neighbours.neighbours(vectors, forest), _asked(vectors))
+    """Recall of `p5_neighbours`, without a cut by cosine, against brute force over the ids whose hash is divisible by 100.
+
+    The neighbours of an id don't depend on which other ids are asked for, so only those of these ids are made."""
+    vectors = cut_lineage(neighbours.current_vectors(table(spark, sf, "chunk_embeddings")))
+    return neighbours.recall(vectors, neighbours.all_neighbours(vectors, _asked(vectors)), _asked(vectors), least=-1.0)
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lipika.llm import language, neighbours, scans, truncation
+from lipika.llm import language, neighbours, queries, scans, truncation
 from lipika.tables import table
 
 DATA = "/root/testdata/sf0.01"
@@ -54,6 +54,30 @@ def test_every_chunk_gets_k(spark):
     assert len(counts) == 330 and all(r["count"] == 5 for r in counts)
 
 
+def _exact(x, k=5):
+    """The k most similar others by plain product, ties to the first."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 4)
+    np.fill_diagonal(s, -2)
+    return np.argsort(-s, axis=1, kind="stable")[:, :k], np.sort(-s, axis=1)[:, :k] * -1
+
+
+def test_neighbours_query_leaves_no_chunk_out(spark, tmp_path):
+    """Chunks without near relatives, and copies, get their 5 as well, and the recall is measured without a cut."""
+    df = _vectors(spark, 5000, copies=30)
+    df.write.parquet(str(tmp_path / "chunk_embeddings.parquet"))
+    near = queries.p5_neighbours(spark, str(tmp_path)).toPandas()
+    assert len(near) == 5 * 5530 and not (near["id"] == near["other"]).any() and not near.duplicated(["id", "other"]).any()
+    rows = df.where("model_name = 'mini-multi-64' and at >= 0 and size(embedding) = 64 and chunk_id is not null").orderBy("chunk_id", "at").toPandas()
+    rows = rows[~rows["chunk_id"].isin(["zero", "nan"])].reset_index(drop=True)
+    _, cosines = _exact(np.array(rows["embedding"].to_list(), dtype="float64"))
+    got = near.sort_values(["id", "rank"])["cosine"].to_numpy().reshape(-1, 5)
+    assert sorted(set(near["id"])) == rows["chunk_id"].to_list() and np.abs(got - cosines).max() < 3e-4
+    last = queries.p5_recall(spark, str(tmp_path)).first()
+    asked = spark.createDataFrame(rows[["chunk_id"]]).where(F.pmod(F.xxhash64("chunk_id"), F.lit(100)) == 0).count()
+    assert last.expected == 5 * asked > 0 and last.recall >= 0.9
+
+
 @pytest.fixture(scope="module")
 def profiles(spark):
     return language.learn(table(spark, DATA, "documents", "doc_id", "language", "text"))
