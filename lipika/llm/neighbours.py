@@ -31,6 +31,8 @@ QUERY_BLOCK = 4_000
 #: Vectors in a row of `_packed`, and ranges of ids in which all vectors are compared.
 PACK, PACK_RANGES = 4_096, 2
 _SCALE = 32_000.0
+#: Cosine from which two vectors are copies; floats leave them this far from 1.
+COPY = 1 - 1e-6
 
 
 def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,6 +255,19 @@ def neighbours(vectors: DataFrame, forest: Forest, k: int = K, least: float = MI
     return near.select(_long(F.col("id")).alias("id"), _long(F.col("other")).alias("other"), "cosine", "rank")
 
 
+def with_dense(vectors: DataFrame, near: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
+    """`near` of the forest, made exact for the members of dense groups.
+
+    A window is too small for a vector that finds k others over `least` in it: better ones may stand outside. Unless
+    the k-th already is a copy, which none can exceed, it is compared with all vectors."""
+    near = cut_lineage(near)
+    dense = near.where((F.col("rank") == k) & (F.col("cosine") < COPY)).select("id")
+    asked = cut_lineage(vectors.join(dense, "id", "left_semi"))
+    if asked.isEmpty():
+        return near
+    return near.join(asked.select("id"), "id", "left_anti").unionByName(all_neighbours(vectors, asked, k, least))
+
+
 def mutual_pairs(near: DataFrame) -> DataFrame:
     """(chunk_a, chunk_b) where each is among the other's neighbours."""
     both = near.groupBy(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).agg(F.count("*").alias("n"))

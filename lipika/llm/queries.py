@@ -82,7 +82,7 @@ def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks that are each among the other's 5 most similar, with cosine at least 0.90."""
     vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
-    return neighbours.mutual_pairs(neighbours.neighbours(vectors, forest))
+    return neighbours.mutual_pairs(neighbours.with_dense(vectors, neighbours.neighbours(vectors, forest)))
 
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:

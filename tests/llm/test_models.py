@@ -1,6 +1,7 @@
 """Neighbours, language, scans, truncation: planted cases and the dirty ones."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,19 @@ def test_neighbours_query_leaves_no_chunk_out(spark, tmp_path):
     assert last.expected == 5 * asked > 0 and last.recall >= 0.9
 
 
+def test_found_pairs_of_a_dense_group(spark, tmp_path):
+    """A third of all vectors near copies of one, none equal: the pairs are those of the plain product."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(20_000, 64)), rng.normal(size=64) + 0.2 * rng.normal(size=(10_000, 64))]).astype("float32")
+    pdf = pd.DataFrame({"chunk_id": [f"{i:024x}" for i in range(len(x))], "model_name": "mini-multi-64", "embedding": list(x), "created_at": pd.Timestamp("2025-01-01")})
+    pdf.to_parquet(tmp_path / "chunk_embeddings.parquet", coerce_timestamps="us")
+    who, cosines = _exact(x[20_000:].astype("float64"))
+    of = [{int(j) for j, c in zip(w, cs) if c >= 0.9} for w, cs in zip(who, cosines)]
+    want = {(i, j) for i, js in enumerate(of) for j in js if i < j and i in of[j]}
+    got = {(int(a, 16) - 20_000, int(b, 16) - 20_000) for a, b in queries.p5_found(spark, str(tmp_path)).collect()}
+    assert len(want) > 5_000 and len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
 @pytest.fixture(scope="module")
 def profiles(spark):
     return language.learn(table(spark, DATA, "documents", "doc_id", "language", "text"))
