@@ -53,9 +53,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose text changes, with its canonical form."""
-    docs = canonical.canonical_column(table(spark, sf, "documents", "doc_id", "text"), "text")
-    return docs.where(canonical.changed(F.col("text"), F.col("canonical_text"))).select("doc_id", "canonical_text")
+    """Documents and chunks whose text changes, with its canonical form."""
+    found = []
+    for kind, name, key in (("document", "documents", "doc_id"), ("chunk", "chunks", "chunk_id")):
+        rows = canonical.canonical_column(table(spark, sf, name, key, "text"), "text").where(canonical.changed(F.col("text"), F.col("canonical_text")))
+        found.append(rows.select(F.lit(kind).alias("item_kind"), F.col(key).cast("string").alias("item_id"), "canonical_text"))
+    # a chunk_id may be stored several times with one text
+    return found[0].unionByName(found[1].distinct())
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

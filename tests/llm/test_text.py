@@ -92,6 +92,14 @@ def test_lookalike_pairs(spark):
     assert canonical.lookalike_pairs(df.where("false"), "doc_id", "text").count() == 0
 
 
+def test_canonical_query_covers_documents_and_chunks(spark, tmp_path):
+    spark.createDataFrame([(1, "dawn"), (2, "dａwn"), (3, None), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("c1", "si​lent"), ("c1", "si​lent"), ("c2", "silent"), ("c3", None), ("2", "a　b")], "chunk_id string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = queries.p3_canonical(spark, str(tmp_path))
+    assert got.columns == ["item_kind", "item_id", "canonical_text"]
+    assert sorted(map(tuple, got.collect())) == [("chunk", "2", "a b"), ("chunk", "c1", "silent"), ("document", "2", "dawn")]
+
+
 def _line_docs():
     rng = random.Random(3)
     rows = []
