@@ -350,17 +350,19 @@ def breaks(seen: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def noise(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(page lines, breaks, corrections, sources) of the scans in `docs` (doc_id, source, text)."""
+    """(page lines, breaks, corrections, scans) of the scans in `docs` (doc_id, source, text).
+
+    The last are the documents read as scans (doc_id, text): those of the sources and those without source that show it."""
     counts, sources = word_counts(docs)
     reader = learn(docs, counts, sources)
-    scans = docs.where("source is not null").join(sources, "source", "left_semi").select("doc_id", "text").unionByName(docs.where("source is null").select("doc_id", "text"))
-    seen = observed(scans, reader)
+    said = docs.where("source is not null").join(sources, "source", "left_semi").select("doc_id", "text")
+    unsaid = docs.where("source is null").select("doc_id", "text")
+    seen = observed(said.unionByName(unsaid), reader)
     joined = breaks(seen, counts)
     pages = seen.where("kind = 'page'").select("doc_id", "line_no")
-    unsaid = docs.where(F.col("source").isNull()).select("doc_id")
     shown = pages.select("doc_id").union(joined.select("doc_id")).distinct()
-    not_scans = unsaid.join(shown, "doc_id", "left_anti")
-    return pages, joined, corrections(seen, counts, reader).join(not_scans, "doc_id", "left_anti"), sources
+    not_scans = unsaid.select("doc_id").join(shown, "doc_id", "left_anti")
+    return pages, joined, corrections(seen, counts, reader).join(not_scans, "doc_id", "left_anti"), said.unionByName(unsaid.join(shown, "doc_id", "left_semi"))
 
 
 def noisy_lines(docs: DataFrame) -> DataFrame:
@@ -408,11 +410,10 @@ def _as(old: str, new: str) -> str:
 
 def repaired(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every scan as continuous paragraphs."""
-    _, joined, fixes, sources = noise(docs)
+    _, joined, fixes, scans = noise(docs)
     lists = fixes.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "word", "correction")).alias("fixes"))
     ends = joined.groupBy("doc_id").agg(F.collect_set("line_no").alias("broken"))
-    scans = docs.where("text is not null").join(sources, "source", "left_semi").select("doc_id", "text")
-    rows = scans.join(lists, "doc_id", "left").join(ends, "doc_id", "left")
+    rows = scans.where("text is not null").join(lists, "doc_id", "left").join(ends, "doc_id", "left")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

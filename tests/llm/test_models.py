@@ -164,6 +164,15 @@ def test_scans(spark):
     assert scans.noisy_lines(df.where("false")).count() == 0
 
 
+def test_scans_without_source_are_repaired(spark):
+    df = _scanned(spark)
+    fixed = {r.doc_id: r.text for r in scans.repaired(df).where("doc_id >= 2000").collect()}
+    assert 2000 in fixed and "golden mountain of every season sings to the world-bearing star." in fixed[2000]
+    assert "- 12 -" not in fixed[2000] and "ancient stones" in fixed[2000]
+    unsaid = {r.doc_id for r in df.where("source is null").collect()}
+    assert unsaid & set(fixed) == {2000}
+
+
 def test_length_fit():
     rng = np.random.default_rng(2)
     x = np.exp(rng.normal(6.5, 0.6, 4000)).astype(int) + 1
