@@ -1,8 +1,8 @@
 """Problem 1: splitting oversized items at natural boundaries.
 
-Method: lexical-cohesion segmentation. The similarity of the word blocks on both sides of every possible cut is
-computed by a sliding block; its valleys mark topic boundaries. Within the window a piece may end in, the deepest
-valley of the best kind of boundary there is chosen: verse, else line, else word, else any code point. The next
+Method: lexical-cohesion segmentation. The similarity of the word blocks on both sides of every verse and line cut, and
+of every word cut in a window that has neither, is computed by a sliding block; its valleys mark topic boundaries. Within the window a piece may end in, the deepest
+valley of the best kind of boundary there is chosen: verse, else line, else sentence, else word, else any code point. The next
 piece starts `overlap` code points earlier, moved to a boundary.
 
 Each piece tells the verses it really holds: those whose printed number lies in it. Numbers are read in the styles
@@ -132,6 +132,14 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     depth = _depths(_cohesion(words, sorted({c for k in kinds[:2] for c in k})))
     from bisect import bisect_left, bisect_right
 
+    starts = [p for p, _ in words]
+
+    def at_word(found: list[int]) -> int:
+        """The deepest valley among the word cuts of a window, at a sentence's end if one lies there."""
+        near = words[max(0, bisect_left(starts, found[0]) - BLOCK) : bisect_right(starts, found[-1]) + BLOCK]
+        valley = _depths(_cohesion(near, found))
+        return max([c for c in found if text[c - 2] in ".!?।॥"] or found, key=lambda c: (valley[c], c))
+
     def among(kind: list[int], low: int, high: int) -> list[int]:
         return kind[bisect_left(kind, low) : bisect_right(kind, high)]
 
@@ -141,7 +149,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         end = high
         for kind in kinds:
             if found := among(kind, low, high):
-                end = max(found, key=lambda c: (depth.get(c, 0.0), c))
+                end = at_word(found) if kind is kinds[2] else max(found, key=lambda c: (depth[c], c))
                 break
         pieces.append((start, end))
         begin = end

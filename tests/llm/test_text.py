@@ -189,6 +189,15 @@ def test_pieces_cover_and_fit(t, limit):
         assert all(c <= b and c > a for (a, b), (c, _) in zip(spans, spans[1:]))
 
 
+def test_word_cuts_fall_into_the_valley():
+    """Text on one line is cut where its words change, at the end of a sentence if there is one."""
+    old, new = "river stone water bank ", "planet star comet moon "
+    t = old * 26 + new * 40
+    assert splitting.split_text(t, 800, 0)[0] == (0, len(old * 26))
+    t = old * 20 + "river stone. " + old * 8 + new * 40
+    assert t[: splitting.split_text(t, 800, 0)[0][1]].endswith("stone. ")
+
+
 @pytest.mark.parametrize("style", ["[{n}] text of it goes on", "{n}. text of it goes on", "8.{n} text of it goes on", "पाठः सत्यम् धर्मः ॥{n}॥", "pāṭhaḥ satyam // 3.{n} //", "पाठः सत्यम् धर्मः ।।3.{n}।।"])
 def test_verses_in_pieces(spark, style):
     text = "\n".join(style.format(n=n) + (" word" * 12 + " (see 12.5)\n827 wanderers" if "text" in style else "") for n in range(5, 60) if n != 30)
