@@ -4,10 +4,14 @@ Method: normalization quick-check properties find the unstable segments of a tex
 its boundary context (the preceding base character and all following marks), normalised, and spliced
 back between the untouched stretches. Stable text, the vast majority, is never rebuilt.
 
-Folded away are: canonical composition (NFC), width variants, letters of another script that have the
+Folded away are: canonical composition (NFC), width and font variants, letters of another script that have the
 same shape, invisible characters and the kind of a space. Compatibility differences one can see
 (superscripts, fractions, the long s) stay; ligatures of Latin letters are drawn as the letters and fold.
 
+Letters of equal shape fold by the script of their word, which its other letters tell; a word of such letters only
+goes with the script most words of the text show, if it can be written in it, else it is Latin. Joiners are seen where they change a shape: after
+a virama, between Arabic letters and between pictures they stay; elsewhere they are invisible.
+
 Null text has a null form; the empty text is its own form.
 """
 
@@ -25,16 +29,18 @@ from pyspark.sql.types import BinaryType, StringType
 
 from lipika.session import cut_lineage
 
-# Letters of Cyrillic and Greek that have the shape of a Latin letter.
-LOOKALIKES = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХԌԚԜ" "асеѕіјорухһԁԛԝӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ονϳ",
-        "ABESIJKMHOPCTYXGQW" "acesijopyxhdqwl" "ABEZHIKMNOPTYX" "ovj",
-        strict=True,
-    )
-)
+# Letters of other scripts that have the shape of a Latin letter. (Mathematical and full-width letters
+# come from the Unicode data instead.)
+LOOKALIKES = {
+    "cyrillic": ("АВЕЅІЈКМНОРСТУХԌԚԜасеѕіјорухһԁԛԝӏ", "ABESIJKMHOPCTYXGQWacesijopyxhdqwl"),
+    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ", "ABEZHIKMNOPTYXovj"),
+    "armenian": ("ՕՍՏհոսցօզ", "OUShnugoq"),
+    "cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZRWSVLCPKB"),
+}
+# The blocks of these scripts.
+BLOCKS = {"cyrillic": "Ѐ-ԯ", "greek": "Ͱ-Ͽἀ-῿", "armenian": "Ա-֏", "cherokee": "Ꭰ-ᏽꭰ-ꮿ"}
 # Code points that leave no mark, as inclusive ranges.
-INVISIBLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0000, 0xE01EF))
+INVISIBLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180F), (0x200B, 0x200B), (0x200E, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0000, 0xE01EF))
 # Hyphens drawn like the ASCII one.
 HYPHENS = "‐‑"
 # Ligatures of Latin letters, drawn as the letters are.
@@ -54,8 +60,7 @@ def _ranges(points: list[int]) -> str:
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
-    fold: dict[int, str | None] = {ord(a): b for a, b in LOOKALIKES.items()}
-    fold |= {p: None for a, b in INVISIBLE for p in range(a, b + 1)}
+    fold: dict[int, str | None] = {p: None for a, b in INVISIBLE for p in range(a, b + 1)}
     fold |= dict.fromkeys(map(ord, HYPHENS), "-")
     fold |= {ord(c): "".join(chr(int(x, 16)) for x in unicodedata.decomposition(c).split()[1:]) for c in LIGATURES}
     unstable, marks = set(fold), []
@@ -70,7 +75,7 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
             fold[p] = " "
             unstable.add(p)
         parts = unicodedata.decomposition(c)
-        if parts.startswith(("<wide>", "<narrow>")):
+        if parts.startswith(("<wide>", "<narrow>", "<font>")):
             fold[p] = unicodedata.normalize("NFKC", c)
             unstable.add(p)
         elif parts and parts[0] != "<":
@@ -88,14 +93,72 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
     return fold, re.compile(f"[{_ranges(folding)}]"), re.compile(f"[^{u}\\n]?[{u}][{u}{m}]*|[^\\n][{m}]{{2,}}")
 
 
+@lru_cache(maxsize=1)
+def _joiners() -> re.Pattern[str]:
+    """Joiners and non-joiners that change no shape."""
+    viramas = [p for p in range(0x900, 0x1B00) if unicodedata.combining(chr(p)) == 9] + [p for p in range(0xA800, 0xAC00) if unicodedata.combining(chr(p)) == 9]
+    arabic, pictures = "\u0620-\u074f\u0750-\u077f\u08a0-\u08c9", "\u2190-\u2bff\U0001f000-\U0001faff"
+    seen = f"(?<=[{_ranges(viramas)}])\u200d|(?<=[{_ranges(viramas)}])\u200c|(?<=[{arabic}])[\u200c\u200d](?=[{arabic}])|(?<=[{pictures}])\u200d(?=[{pictures}])"
+    return re.compile(f"({seen})|[\u200c\u200d]")
+
+
+_LATIN = {ord(a): b for letters, latin in LOOKALIKES.values() for a, b in zip(letters, latin, strict=True)}
+#: From Latin back to each script, the first letter of a shape.
+_BACK = {script: {b: a for a, b in reversed(list(zip(letters, latin, strict=True)))} for script, (letters, latin) in LOOKALIKES.items()}
+_OTHER = re.compile(f"[{''.join(BLOCKS.values())}]")
+_OWN = {script: re.compile(f"(?![{LOOKALIKES[script][0]}])[{block}]") for script, block in BLOCKS.items()}
+_WORD = re.compile(f"(?:[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ{''.join(BLOCKS.values())}][\u0300-\u036f\u0483-\u0487]*)+")
+
+
+def _letters(word: str) -> str:
+    """Letters of a word without marks, those of equal shape as Latin ones."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if c.isalpha()).translate(_LATIN)
+
+
+def _fold_letters(text: str) -> str:
+    """Letters of equal shape in the script of their word; only looks decide, so equal looks end equal."""
+    scripts: list[str] = []
+
+    def main() -> str:
+        if not scripts:
+            votes = dict.fromkeys((*BLOCKS, "latin"), 0)
+            for m in _WORD.finditer(text):
+                plain = _letters(m[0])
+                own = [s for s in BLOCKS if _OWN[s].search(plain)]
+                if len(own) == 1:
+                    votes[own[0]] += 1
+                elif not own and not any(set(plain) <= _BACK[s].keys() for s in BLOCKS):
+                    votes["latin"] += 1
+            best = max(BLOCKS, key=lambda s: votes[s])
+            scripts.append(best if votes[best] > votes["latin"] else "latin")
+        return scripts[0]
+
+    def word(m: re.Match[str]) -> str:
+        plain = _letters(m[0])
+        own = [s for s in BLOCKS if _OWN[s].search(plain)]
+        script = "latin"
+        if len(own) == 1 and all(c in _BACK[own[0]] or _OTHER.match(c) for c in plain):
+            script = own[0]
+        elif not own and any(set(plain) <= back.keys() for back in _BACK.values()) and (said := main()) != "latin" and set(plain) <= _BACK[said].keys():
+            script = said
+        parts = unicodedata.normalize("NFD", m[0]).translate(_LATIN)
+        if script != "latin":
+            parts = "".join(_BACK[script].get(c, c) for c in parts)
+        return unicodedata.normalize("NFC", parts)
+
+    return _WORD.sub(word, text)
+
+
 def canonical_text(text: str | None) -> str | None:
     """The one form of `text`."""
     if text is None or text.isascii():
         return text
     fold, folding, segments = _tables()
-    if not folding.search(text) and unicodedata.is_normalized("NFC", text):
-        return text
-    return segments.sub(lambda s: unicodedata.normalize("NFC", unicodedata.normalize("NFD", s[0]).translate(fold)), text)
+    if folding.search(text) or not unicodedata.is_normalized("NFC", text):
+        text = segments.sub(lambda s: unicodedata.normalize("NFC", unicodedata.normalize("NFD", s[0]).translate(fold)), text)
+    if "\u200c" in text or "\u200d" in text:
+        text = segments.sub(lambda s: unicodedata.normalize("NFC", s[0]), _joiners().sub(lambda m: m[1] or "", text))
+    return _fold_letters(text) if _OTHER.search(text) else text
 
 
 @F.pandas_udf(StringType())
@@ -122,16 +185,35 @@ def look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def look_groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of `look_classes`, variants of the classes that hold two or more).
+
+    A variant has `representative` (its smallest id) and `copies`; copies of one text are counted before the exchange."""
+    rows = cut_lineage(look_classes(df, id_col, text_col).distinct())  # read by every later step
+    variants = rows.groupBy("class", "variant").agg(F.min("item").alias("representative"), F.count("*").alias("copies"))
+    mixed = variants.groupBy("class").agg(F.count("*").alias("variants"), F.sum("copies").alias("members"), F.min("representative").alias("first")).where("variants > 1")
+    return rows, variants.join(mixed, "class")
+
+
+def look_members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per id and text of every class with several texts: (item, class, representative, first, variants, members, links).
+
+    `representative` is the smallest id with the same text, `first` the smallest of the class, `links` the number of
+    rows with another text of the same look. Linear in the rows, whatever the size of a class."""
+    rows, variants = look_groups(df, id_col, text_col)
+    found = rows.join(variants, ["class", "variant"])
+    return found.select("item", F.lower(F.hex("class")).alias("class"), "representative", "first", "variants", "members", (F.col("members") - F.col("copies")).alias("links"))
+
+
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs (item_a < item_b) whose texts are different strings of one canonical form.
 
-    Only classes that hold two variants reach the self-join, and only digests travel. Ids repeat once."""
-    rows = cut_lineage(look_classes(df, id_col, text_col).distinct())  # read three times below
-    mixed = rows.groupBy("class").agg(F.min("variant").alias("lo"), F.max("variant").alias("hi")).where("lo <> hi").select("class")
-    rows = rows.join(mixed, "class", "left_semi")
-    a = rows.select("class", F.col("item").alias("item_a"), F.col("variant").alias("variant_a"))
-    b = rows.select("class", F.col("item").alias("item_b"), F.col("variant").alias("variant_b"))
-    return a.join(b, "class").where("item_a < item_b and variant_a <> variant_b").select("item_a", "item_b").distinct()
+    Every row meets the representative of each other text of its class, so no link between two texts is lost and copies
+    are not expanded: rows times other texts, not rows times rows. Only digests travel. Ids repeat once."""
+    rows, variants = look_groups(df, id_col, text_col)
+    other = variants.select("class", F.col("variant").alias("other_variant"), "representative")
+    pairs = rows.join(other, "class").where("variant <> other_variant and item <> representative")
+    return pairs.select(F.least("item", "representative").alias("item_a"), F.greatest("item", "representative").alias("item_b")).distinct()
 
 
 def canonical_column(df: DataFrame, text_col: str, out: str = "canonical_text") -> DataFrame:

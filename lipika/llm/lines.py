@@ -25,18 +25,19 @@ def line_form(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, f"{SPACE}+", " "))), "[0-9]+", "#")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, keys): per line the 96-bit key of site and form, null for a line too short to count.
+def keyed(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, site, keys): per line the 96-bit key of site and form, null for a line too short to count; columns to be
+    carried along follow.
 
     This is the only pass over the text; it is written to the shared folder, as counting and finding both read it."""
-    rows = docs.select("doc_id", site(F.col("source_url")).alias("site"), F.split("text", "\n", -1).alias("lines")).where("site is not null and lines is not null")
+    rows = docs.select("doc_id", *carried, site(F.col("source_url")).alias("site"), F.split("text", "\n", -1).alias("lines")).where("site is not null and lines is not null")
 
     def key(form: Column) -> Column:
         return F.when(F.length(form) >= MIN_CHARS, F.struct(F.xxhash64("site", form).alias("key"), F.hash(form, "site").alias("key2")))
 
     # lower-casing makes a string at most three times as long: shorter lines cannot reach the minimum
     forms = F.transform("lines", lambda x: F.when(F.length(x) * 3 >= MIN_CHARS, line_form(x)))
-    return cut_lineage(rows.select("doc_id", "site", F.transform(forms, key).alias("keys")))
+    return cut_lineage(rows.select("doc_id", "site", F.transform(forms, key).alias("keys"), *carried))
 
 
 def line_delta(lines: DataFrame) -> DataFrame:
@@ -112,15 +113,20 @@ class LineCounts:
         return self.over if before is None else newly_crossed(before, self.over)
 
 
-def grown(old: DataFrame, new: DataFrame) -> DataFrame:
-    """What `rebuild` gives for `old` and `new` documents together, reached in two rounds: the old ones alone, then the
-    new ones and those of the old ones that hold a line whose standing the new ones changed."""
-    first, second, counts = keyed(old), keyed(new), LineCounts()
-    counts.add(old, first)
-    counts.over = early = cut_lineage(counts.over)
-    crossing = counts.add(new, second)
-    counts.over = cut_lineage(counts.over)
-    touched = cut_lineage(repeated_lines(first, crossing.unionByName(counts.fallen)).select("doc_id").distinct())
-    settled = rebuild(old, first.join(touched, "doc_id", "left_anti"), early)
-    again = rebuild(old, first.join(touched, "doc_id", "left_semi"), counts.over)
-    return settled.unionByName(again).unionByName(rebuild(new, second, counts.over))
+def grown(*parts: DataFrame) -> DataFrame:
+    """What `rebuild` gives for all documents together, reached partition by partition: after each, its own documents and
+    those of the older ones that hold a line whose standing changed are rebuilt against all lines that are over then."""
+    counts, docs, seen, state = LineCounts(), None, None, None
+    for new in parts:
+        lines = keyed(new)
+        crossing = counts.add(new, lines)
+        counts.over = cut_lineage(counts.over)
+        fresh = rebuild(new, lines, counts.over)
+        if state is None:
+            docs, seen, state = new, lines, fresh
+            continue
+        touched = cut_lineage(repeated_lines(seen, crossing.unionByName(counts.fallen)).select("doc_id").distinct())
+        again = rebuild(docs, seen.join(touched, "doc_id", "left_semi"), counts.over)
+        state = state.join(touched, "doc_id", "left_anti").unionByName(again).unionByName(fresh)
+        docs, seen = docs.unionByName(new), seen.unionByName(lines)
+    return state

@@ -44,7 +44,8 @@ def p2_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of documents and of chunks that look the same and are different strings."""
+    """Pairs of documents and of chunks that look the same and are different strings: every row with the representative
+    of each other text of its look."""
     found = [
         canonical.lookalike_pairs(table(spark, sf, name, key, "text"), key, "text").select(F.lit(kind).alias("item_kind"), "item_a", "item_b")
         for kind, name, key in (("document", "documents", "doc_id"), ("chunk", "chunks", "chunk_id"))
@@ -52,6 +53,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and chunk that has another text of its look, with its class and the number of its links."""
+    found = [canonical.look_members(table(spark, sf, name, key, "text"), key, "text").withColumn("item_kind", F.lit(kind)) for kind, name, key in (("document", "documents", "doc_id"), ("chunk", "chunks", "chunk_id"))]
+    return found[0].unionByName(found[1])
+
+
 def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and chunks whose text changes, with its canonical form."""
     found = []
@@ -62,18 +69,30 @@ def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1].distinct())
 
 
+#: Times of retrieval at which the partitions of the incremental queries end.
+PARTITION_ENDS = ("2024-07-01", "2025-01-01")
+
+
+def _retrieved(docs: DataFrame) -> list[DataFrame]:
+    """The partitions in which `docs` arrive, by time of retrieval; undated ones come first."""
+    part = F.lit(0)
+    for end in PARTITION_ENDS:
+        part = part + F.coalesce(F.col("retrieved_at") >= F.lit(end).cast("timestamp"), F.lit(False)).cast("int")
+    return [docs.where(part == n) for n in range(len(PARTITION_ENDS) + 1)]
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines repeated on a site."""
-    docs = table(spark, sf, "documents", "doc_id", "source_url", "text")
-    keyed = lines.keyed(docs)
-    return lines.repeated_lines(keyed, lines.LineCounts().add(docs, keyed))
+    """Lines repeated on a site, counted in three partitions that arrive one after the other."""
+    docs = table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")
+    keyed, counts = lines.keyed(docs, "retrieved_at"), lines.LineCounts()
+    for part, new in zip(_retrieved(docs), _retrieved(keyed), strict=True):
+        counts.add(part, new)
+    return lines.repeated_lines(keyed, counts.over)
 
 
 def p4_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned documents reached in two partitions, by time of retrieval."""
-    docs = table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")
-    late = F.coalesce(F.col("retrieved_at") >= F.lit("2025-01-01").cast("timestamp"), F.lit(False))
-    return lines.grown(docs.where(~late), docs.where(late))
+    """The cleaned documents, reached in three partitions by time of retrieval."""
+    return lines.grown(*_retrieved(table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")))
 
 
 def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,4 +215,4 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_canonical, p4_found, p4_incremental, p4_cleaned, p5_found, p5_neighbours, p5_search, p5_recall, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_classes, p3_canonical, p4_found, p4_incremental, p4_cleaned, p5_found, p5_neighbours, p5_search, p5_recall, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}

@@ -58,7 +58,7 @@ def test_slices_roll_up(spark):
     assert tokens.slice_tokens(df.where("false"), tokens.Pieces(VOCAB)).count() == 0
 
 
-PAIRS = [("dawn", "dａｗn"), ("café", "café"), ("a b", "a b"), ("a b", "a　b"), ("silent", "si​le­nt"), ("The", "Τhе"), ("ड़", "ड़"), ("fire", "ﬁre"), ("well-known", "well‐known"), ("q̣̄", "q̣̄")]
+PAIRS = [("dawn", "dａｗn"), ("café", "café"), ("a b", "a b"), ("a b", "a　b"), ("silent", "si​le­nt"), ("The", "Τhе"), ("ड़", "ड़"), ("fire", "ﬁre"), ("well-known", "well‐known"), ("q̣̄", "q̣̄"), ("Mocква", "Москва"), ("𝐝awn", "dawn"), ("հello", "hello"), ("ᎢHE", "THE"), ("si\u200clent", "silent"), ("Это cop", "Это сор")]
 
 
 @pytest.mark.parametrize(("a", "b"), PAIRS)
@@ -66,7 +66,7 @@ def test_same_look(a, b):
     assert canonical.canonical_text(a) == canonical.canonical_text(b)
 
 
-@pytest.mark.parametrize(("a", "b"), [("Schuler", "Schüler"), ("x2", "x²"), ("a  b", "a b"), ("ſo", "so"), ("A", "a"), ("478", "178"), ("a\nb", "a b"), ("श", "ष")])
+@pytest.mark.parametrize(("a", "b"), [("Schuler", "Schüler"), ("x2", "x²"), ("a  b", "a b"), ("ſo", "so"), ("A", "a"), ("478", "178"), ("a\nb", "a b"), ("श", "ष"), ("क्\u200dष", "क्ष"), ("क्\u200cष", "क्ष"), ("می\u200cخواهم", "میخواهم")])
 def test_other_look(a, b):
     assert canonical.canonical_text(a) != canonical.canonical_text(b)
 
@@ -84,12 +84,28 @@ def test_form_is_whole_normalisation(t):
     assert not any(fold.get(ord(c), c) != c and ord(c) in fold for c in form)
 
 
+@pytest.mark.parametrize("t", ["Москва и Это", "ὁ λόγος", "Երևան", "ᏣᎳᎩ", "क्\u200dष"])
+def test_own_scripts_stay(t):
+    assert canonical.canonical_text(t) == t
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "dawn"), (2, "dａwn"), (3, "dawn"), (4, "dusk"), (5, None), (6, ""), (7, ""), (2, "dａwn"), (8, "d​awn")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("clash"))
     got = sorted(map(tuple, canonical.lookalike_pairs(df, "doc_id", "text").collect()))
     assert got == [("1", "2"), ("1", "8"), ("2", "3"), ("2", "8"), ("3", "8")]
     assert canonical.lookalike_pairs(df.where("false"), "doc_id", "text").count() == 0
+    members = {r.item: (r.representative, r.first, r.variants, r.members, r.links) for r in canonical.look_members(df, "doc_id", "text").collect()}
+    assert members == {"1": ("1", "1", 3, 4, 2), "3": ("1", "1", 3, 4, 2), "2": ("2", "1", 3, 4, 3), "8": ("8", "1", 3, 4, 3)}
+
+
+def test_a_large_class_is_linear(spark):
+    """10 000 rows of two texts: every row is linked to the other text, and no more rows come out than went in."""
+    df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "dawn").otherwise("dａwn").alias("text"))
+    pairs = canonical.lookalike_pairs(df, "doc_id", "text")
+    assert pairs.count() == 9_999
+    assert pairs.select("item_a").union(pairs.select("item_b")).distinct().count() == 10_000
+    assert canonical.look_members(df, "doc_id", "text").count() == 10_000
 
 
 def test_canonical_query_covers_documents_and_chunks(spark, tmp_path):
@@ -138,6 +154,9 @@ def test_repeated_lines_and_increments(spark, tmp_path):
     over = whole.add(df, keyed)
     found = sorted(map(tuple, lines.repeated_lines(keyed, over).collect()))
     assert found == _repeated(rows) and found
+    for n in (2, 3):
+        split = [df.where(F.col("doc_id") % n == k) for k in range(n)]
+        assert sorted(map(tuple, lines.grown(*split).collect())) == sorted(map(tuple, lines.rebuild(df, keyed, over).collect()))
     parts = lines.LineCounts()
     for n in range(3):
         part = df.where(F.col("doc_id") % 3 == n)
