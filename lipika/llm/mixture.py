@@ -1,11 +1,12 @@
 """Problem 9: mixing sources to target weights.
 
-Method: Efraimidis-Spirakis sampling. Every document gets the key u^(1/w), u uniform by hash of its id and w its
-quality weight; a source contributes complete epochs first, then the documents with the highest keys up to the
-token budget that is left.
+Method: Efraimidis-Spirakis sampling. Every document gets the exponential key -ln(u) / w, u uniform by hash of its id
+and w its quality weight (the order of u^(1/w) from the highest, without its rounding near 0 and 1); a source
+contributes complete epochs first, then the documents with the smallest keys up to the token budget that is left.
 
-The prefix sum within a source is not one window over the source: keys fall into KEY_CELLS cells, the cells' sums
-(a table bounded by sources x KEY_CELLS) tell in which cell the budget ends, and only that cell is ordered.
+The prefix sum within a source is not one window over the source: logarithms of keys fall into cells of 1 / KEY_CELLS,
+in which at most 0.37 / KEY_CELLS of a weight's documents lie; the cells' sums (a table bounded by sources and the range
+of a double's logarithm) tell in which cell the budget ends, and only that cell is ordered.
 
 Documents without source belong to no target but count in the total. A target absent from the documents, or one
 whose source has no tokens, contributes nothing. A null cap is no cap; a null share is 0; a weight that is null or
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lipika.session import cut_lineage
 from lipika.llm.tokens import Pieces, token_count
 
-KEY_CELLS = 65_536
+KEY_CELLS = 1_000
 
 
 def quality(text: Column) -> Column:
@@ -30,9 +31,10 @@ def quality(text: Column) -> Column:
 
 def sized_documents(docs: DataFrame, pieces: Pieces, seed: int = 0) -> DataFrame:
     """(doc_id, source, tokens, key), written once to the shared folder as every later step reads it."""
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 13)  # 52 bits
+    u = (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
     weight = quality(F.col("text"))
-    rows = docs.select("doc_id", "source", token_count(pieces, F.col("text")).alias("tokens"), F.when(weight > 0, F.pow(u, 1 / weight)).alias("key"))
+    rows = docs.select("doc_id", "source", token_count(pieces, F.col("text")).alias("tokens"), F.when(weight > 0, -F.log(u) / weight).alias("key"))
     return cut_lineage(rows)
 
 
@@ -55,16 +57,16 @@ def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, source, tokens, repeats): how often each document of a target enters the mix; 0 leaves it out."""
     plan = budgets(sized, targets).select("source", "epochs", "rest")
-    cell = F.least(F.floor(F.col("key") * KEY_CELLS), F.lit(KEY_CELLS - 1)).cast("int")
+    cell = F.floor(F.log("key") * KEY_CELLS).cast("int")
     rows = sized.where("source is not null").withColumn("cell", cell)
     sums = rows.where("cell is not null").groupBy("source", "cell").agg(F.sum("tokens").alias("cell_tokens"))
-    above = F.sum("cell_tokens").over(Window.partitionBy("source").orderBy(F.desc("cell"))) - F.col("cell_tokens")
+    above = F.sum("cell_tokens").over(Window.partitionBy("source").orderBy("cell")) - F.col("cell_tokens")
     edge = sums.withColumn("above", above).join(plan, "source").where((F.col("above") <= F.col("rest")) & (F.col("above") + F.col("cell_tokens") > F.col("rest")))
     edge = edge.groupBy("source").agg(F.max_by("cell", "above").alias("edge"), F.max("above").alias("above"))
     plan = plan.join(edge, "source", "left")
     rows = rows.join(plan, "source")
-    inside = rows.where("cell <> edge or cell is null or edge is null").withColumn("part", F.coalesce((F.col("cell") > F.col("edge")) | (F.col("edge").isNull() & (F.col("rest") > 0) & F.col("cell").isNotNull()), F.lit(False)))
-    prefix = F.sum("tokens").over(Window.partitionBy("source").orderBy(F.desc("key"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = rows.where("cell <> edge or cell is null or edge is null").withColumn("part", F.coalesce((F.col("cell") < F.col("edge")) | (F.col("edge").isNull() & (F.col("rest") > 0) & F.col("cell").isNotNull()), F.lit(False)))
+    prefix = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     at_edge = rows.where("cell = edge").withColumn("part", prefix + F.col("above") <= F.col("rest"))
     both = inside.unionByName(at_edge)
     return both.select("doc_id", "source", "tokens", (F.col("epochs") + F.col("part").cast("int")).alias("repeats"))

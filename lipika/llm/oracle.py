@@ -32,6 +32,14 @@ t(word, pos, n) AS (
 c AS (SELECT word, max(n) AS n FROM t GROUP BY word),
 tokens AS (SELECT doc_id, coalesce(sum(k * n), 0)::BIGINT AS tokens FROM documents LEFT JOIN (u JOIN c USING (word)) USING (doc_id) GROUP BY doc_id)
 """
+# The mix: complete epochs, then the smallest exponential keys up to the budget that is left.
+_MIXED = f"""{_TOKENS}, s AS (SELECT source, sum(tokens) AS have FROM documents JOIN tokens USING (doc_id) GROUP BY 1),
+plan AS (SELECT m.source, target_share, max_repeats, coalesce(have, 0) AS have, target_share * (SELECT sum(tokens) FROM tokens)::DOUBLE AS want FROM mix_targets m LEFT JOIN s USING (source)),
+epochs AS (SELECT *, least(floor(want / nullif(have, 0)), max_repeats)::BIGINT AS epochs FROM plan),
+budget AS (SELECT *, CASE WHEN epochs >= max_repeats THEN 0 ELSE want - epochs * have END AS rest FROM epochs),
+keyed AS (SELECT doc_id, source, t.tokens, -ln((('0x' || md5(concat('0:', doc_id::VARCHAR))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / greatest(length(translate(text, '0123456789|<>#/[]', ''))::DOUBLE / greatest(length(text), 1), 0.01) AS key FROM documents JOIN tokens t USING (doc_id)),
+mixed AS (SELECT doc_id, source, tokens, epochs + (key IS NOT NULL AND sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= rest)::INT AS repeats FROM keyed JOIN budget USING (source))
+"""
 _CODE = _strip("lower(regexp_extract(language, '^([^-_]*)', 1))")
 
 
@@ -41,6 +49,7 @@ def oracle_sql() -> dict[str, str]:
     sql["p4_found"] = f"{_REPEATED} SELECT doc_id, line_no FROM g JOIN over USING (site, form)"
     sql["p4_cleaned"] = f"""{_REPEATED}, gone AS (SELECT doc_id, list(line_no) AS gone FROM g JOIN over USING (site, form) GROUP BY 1)
 SELECT doc_id, array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i::INT)), chr(10)) AS text, len(gone)::INT AS removed FROM d JOIN gone USING (doc_id)"""
+    sql["p4_incremental"] = sql["p4_cleaned"]
     tradition = _strip("lower(tradition)")
     sql["p2_budget"] = f"""{_TOKENS} SELECT coalesce(nullif({_strip('source')}, ''), 'unknown') AS source, coalesce(CASE WHEN {_CODE} NOT IN ('', 'und', 'unknown') THEN {_CODE} END, 'und') AS language,
  CASE WHEN tradition IS NULL OR {tradition} IN ('', 'unknown') THEN 'unknown' ELSE {tradition} END AS tradition, count(*) AS documents, sum(length(coalesce(text, '')))::BIGINT AS characters, sum(tokens)::BIGINT AS tokens
@@ -48,6 +57,10 @@ FROM documents JOIN tokens USING (doc_id) GROUP BY 1, 2, 3"""
     sql["p8_found"] = f"{_TOKENS} SELECT doc_id FROM tokens WHERE tokens > 1024"
     sql["p9_found"] = f"""{_TOKENS}, s AS (SELECT source, sum(tokens) AS have FROM documents JOIN tokens USING (doc_id) GROUP BY 1)
 SELECT m.source FROM mix_targets m LEFT JOIN s USING (source) WHERE max_repeats * coalesce(have, 0) < target_share * (SELECT sum(tokens) FROM tokens)"""
+    sql["p9_mix"] = f"""{_MIXED} SELECT doc_id, source, tokens, repeats FROM mixed"""
+    sql["p9_shares"] = f"""{_MIXED}, got AS (SELECT source, sum(tokens * repeats)::BIGINT AS mixed_tokens FROM mixed GROUP BY 1)
+SELECT source, target_share, max_repeats, have::BIGINT AS source_tokens, want AS target_tokens, coalesce(mixed_tokens, 0)::BIGINT AS mixed_tokens, coalesce(mixed_tokens, 0)::DOUBLE / nullif(sum(mixed_tokens) OVER (), 0)::DOUBLE AS actual_share, max_repeats * have < want AS capped
+FROM plan LEFT JOIN got USING (source)"""
     sql["p5_found"] = """WITH e AS (SELECT chunk_id, arg_max(embedding, created_at)::DOUBLE[] AS v FROM chunk_embeddings WHERE model_name = 'mini-multi-64'
   AND coalesce(len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) GROUP BY chunk_id),
 u AS (SELECT chunk_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::DOUBLE[64] AS v FROM e),

@@ -2,12 +2,15 @@
 
 Method: bin completion. The largest item left opens a container; branch-and-bound enumerates undominated
 fillings of the rest of it, prunes by the waste still reachable, starts from best fit as the incumbent and
-stops at a perfect fit or at a node limit. Items are cut only if they exceed the capacity: whole containers
-first, the remainder is packed like any other item.
-
-Items are packed within cells of about `cell_items` (by hash of id and place, so that repeated ids spread), each
-one task's work: only ids and sizes travel, and what a cell leaves unused is at most its last containers. Null and empty texts have size 0
-and lie in a container at no cost. Every item is placed exactly once, repeated ids included.
+stops at a perfect fit. A search of NODES nodes that has neither proven its incumbent nor found a perfect fit goes on
+with an exact bound: the sums the sizes left can reach at all, as bits of an integer; the filling of the greatest sum is
+read off them. So every container has the least waste its largest item allows. Items are cut only if they exceed the
+capacity: whole containers first, the remainder is packed like any other item.
+
+Items are packed within cells of about `cell_items` (by hash of id, size and number among equal rows, so that repeated
+ids spread and the files' order doesn't matter), each one task's work: only ids and sizes travel, and what a cell leaves
+unused is at most its last containers. Null and empty texts have size 0 and lie in a container at no cost. Every item is
+placed exactly once, repeated ids included.
 """
 
 from __future__ import annotations
@@ -45,8 +48,32 @@ class _Sizes:
         self.bits |= 1 << s
 
 
+def fullest(room: int, left: _Sizes) -> list[int]:
+    """Sizes out of `left` with the greatest sum within `room`, larger sizes first. Exact: bit i of a layer tells whether i
+    can be reached with the sizes up to there; counts enter by halves, so a size costs the logarithm of its count."""
+    mask, reach, layers = (1 << (room + 1)) - 1, 1, []
+    s = 0
+    while rest := left.bits >> (s + 1):
+        s += 1 + (rest & -rest).bit_length() - 1
+        if s > room:
+            break
+        layers.append((s, reach))
+        many, step = min(left.count[s], room // s), 1
+        while many:
+            step = min(step, many)
+            reach |= (reach << (s * step)) & mask
+            many, step = many - step, step * 2
+    total, found = reach.bit_length() - 1, []
+    for s, before in reversed(layers):
+        most = min(left.count[s], total // s)
+        n = next(k for k in range(most, -1, -1) if before >> (total - k * s) & 1)
+        found += [s] * n
+        total -= n * s
+    return found
+
+
 def complete(room: int, left: _Sizes, nodes: int = NODES) -> list[int]:
-    """Sizes out of `left` that fill `room` with the least waste found; `left` is unchanged."""
+    """Sizes out of `left` that fill `room` with the least waste; `left` is unchanged."""
     best_waste, best, chosen, budget = room, [], [], nodes
 
     def search(room: int, most: int, skipped: int) -> None:
@@ -80,6 +107,9 @@ def complete(room: int, left: _Sizes, nodes: int = NODES) -> list[int]:
         return total
 
     search(room, room, 0)
+    if budget <= 0 and best_waste:
+        exact = fullest(room, left)
+        return exact if sum(exact) > room - best_waste else best
     return best
 
 
@@ -101,7 +131,9 @@ def pack_sizes(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -
 def pack(docs: DataFrame, pieces: Pieces, capacity: int = CAPACITY, cell_items: int = CELL_ITEMS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, piece_no, first_token, tokens, cell, container): every item, or its pieces if larger than the capacity."""
     cells = max(1, -(-docs.count() // cell_items))
-    sized = docs.select(F.col(id_col), token_count(pieces, F.col(text)).alias("tokens"), F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(cells)).alias("cell"))
+    sized = docs.select(F.col(id_col), token_count(pieces, F.col(text)).alias("tokens")).groupBy(id_col, "tokens").agg(F.count("*").alias("rows"))
+    sized = sized.select(id_col, "tokens", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("n"))
+    sized = sized.select(id_col, "tokens", F.pmod(F.xxhash64(id_col, "tokens", "n"), F.lit(cells)).alias("cell"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def fill(cell: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,15 @@ def test_complete_is_optimal_on_small_sets():
         got = packing.complete(room, packing._Sizes(sizes, 100), nodes=10_000)
         best = max((sum(c) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if sum(c) <= room), default=0)
         assert sum(got) == best
+        few = packing.complete(room, packing._Sizes(sizes, 100), nodes=1)  # the search ends at once: the exact bound decides
+        assert sum(few) == best and not Counter(few) - Counter(sizes)
+
+
+def test_packing_does_not_depend_on_the_files(spark):
+    rows = [(i % 40, "a " * (i % 13 + 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(tuple, packing.pack(d, WORDS, 20, 50).collect())) for d in (df.repartition(1), df.repartition(7).orderBy(F.desc("text")))]
+    assert got[0] == got[1] and len(got[0]) == 400 and len({r[4] for r in got[0]}) > 4
 
 
 def test_pack_sizes_is_a_partition():
@@ -74,11 +84,11 @@ def test_mixture(mixed):
     assert set(repeats[i] for i in range(40, 50)) <= {2, 3} and max(repeats[i] for i in range(40)) <= 1
 
 
-def test_mixture_takes_the_highest_keys(mixed):
+def test_mixture_takes_the_smallest_keys(mixed):
     """The edge cell changes nothing: the selection is the plain prefix of the keys."""
     sized, targets = mixed
     taken = {r.doc_id for r in mixture.mix(sized, targets).where("source = 'x' and repeats = 1").collect()}
-    rows = sorted(((r.key, r.tokens, r.doc_id) for r in sized.where("source = 'x'").collect()), reverse=True)
+    rows = sorted(((r.key, r.tokens, r.doc_id) for r in sized.where("source = 'x'").collect()))
     budget, want = 0.25 * 403, set()
     for _, n, d in rows:
         if budget < n:
@@ -88,6 +98,14 @@ def test_mixture_takes_the_highest_keys(mixed):
     assert taken == want
 
 
+def test_cells_of_small_weights(spark):
+    """Documents of weight 0.01 have keys a hundred times as long; their cells are as small as those of the others."""
+    rows = [(i, "x", "1" * 40 + " a") for i in range(4000)]
+    sized = mixture.sized_documents(spark.createDataFrame(rows, "doc_id long, source string, text string"), WORDS)
+    per = sized.groupBy(F.floor(F.log("key") * mixture.KEY_CELLS).alias("cell")).count().agg(F.max("count")).first()[0]
+    assert per < 20
+
+
 def test_mixture_of_nothing(mixed):
     sized, targets = mixed
     assert mixture.mix(sized.where("false"), targets).count() == 0
