@@ -31,11 +31,13 @@ def build_session(app: str = "lipika", master: str | None = None, **conf: str) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder used."""
+    Only in local mode, where driver and executor are one machine, may the setting be absent; on a cluster that raises."""
     spark = df.sparkSession
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lipika-checkpoints"))
     return df.checkpoint()
 
