@@ -1,12 +1,17 @@
 """Problem 10: text cut off by field limits.
 
 Method: per source, a log-normal length distribution is fitted by maximum likelihood with the values at candidate
-limits taken as right-censored; each value's censoring posterior at its length is combined with the evidence of its
-ending. Candidate limits are lengths at which a source has more values than its fitted density explains.
+limits taken as right-censored; a length's censoring posterior is the part of its values the fitted density and its
+Poisson spread don't explain. It is the prior of the value's being cut; away from limits the prior is the source's rate
+of cuts without limit. The evidence of an ending is the ratio of its frequencies among cut and whole values. These
+frequencies and the rate are learnt by expectation maximisation: over all sources first, then per source with the
+common ones as a prior. Two fits compete: in one, whole values end openly no more often than WHOLE says; in the other as
+often as the source shows. The second, open endings as a style, must be likelier by STYLE_COST. So in a source that often ends
+without punctuation only values at a limit are cut, and a value that ends well at an overfull limit may be.
 
 Endings: a mark of cutting (ellipsis, bracketed dots, a replacement character); closing punctuation that closes
 something; a line whose
-frame (digits and names masked) also stands before other lines, as page furniture and colophons do, and so is whole;
+frame (digits and names masked) also stands before other lines often enough, as page furniture and colophons do;
 an entry of a list with a tail that entries have; else open. Blank lines and page numbers at the end are passed over. Frames are counted over all documents, and only lines
 that are followed by another line count, as no cut line is. A stored size beyond the text's length is weak evidence.
 
@@ -20,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,13 +33,19 @@ from pyspark.sql import DataFrame, functions as F
 from lipika.llm.canonical import canonical_text
 from lipika.session import cut_lineage
 
-#: Likelihood ratio of "cut" against "whole" for each ending, and of a stored size beyond the length.
-EVIDENCE = {"marked": 1e4, "open": 300.0, "entry": 0.08, "known": 0.002, "closed": 0.002, "blank": 1e-9}
-SIZE_EVIDENCE = 8.0
-#: Chance of a cut away from any limit.
-BASE_RATE = 0.02
-#: Values a length needs to be a candidate limit, and times a frame must stand before another line to be whole.
-LIMIT_VALUES, FRAME_LINES = 3, 2
+#: Endings; what they are among cut and among whole values before any is seen, and how many values that is worth.
+STATES = ("marked", "open", "entry", "known", "closed")
+CUT, WHOLE = (0.25, 0.70, 0.02, 0.01, 0.02), (0.001, 0.0005, 0.0485, 0.25, 0.70)
+STRENGTH = 20.0
+#: How much likelier (natural logarithm) a style of open endings must be than cuts.
+STYLE_COST = 10.0
+#: A stored size beyond the length, likewise.
+CUT_MORE, WHOLE_MORE = 0.4, 0.1
+#: Chance of a cut away from any limit, how many values that is worth, and the most it can be: what ends openly beyond
+#: that is style.
+BASE_RATE, RATE_STRENGTH, MOST_RATE = 0.02, 10.0, 0.15
+#: Share of all lines a frame must make up before another line to be whole (and twice at least).
+FRAME_SHARE = 1e-7
 #: Share a tail needs among the entry lines of all documents.
 TAIL_SHARE = 0.01
 
@@ -115,66 +127,120 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_lengths(lengths: list[int], counts: list[int], rounds: int = 6) -> dict[int, float]:
-    """Censoring posterior of each candidate limit of one source.
+    """Censoring posterior of each length of one source that holds several values and more than chance brings there.
 
     Log-normal by maximum likelihood: values at a limit are censored with their posterior weight and enter through
     their expected logarithm beyond it; fit and posteriors alternate. Lengths must be positive."""
-    n = sum(counts)
-    posterior = {x: 0.5 for x, c in zip(lengths, counts, strict=True) if c >= LIMIT_VALUES}
-    logs = [math.log(x) for x in lengths]
-    mean = sum(c * y for c, y in zip(counts, logs, strict=True)) / n
-    sd = max(0.05, (sum(c * (y - mean) ** 2 for c, y in zip(counts, logs, strict=True)) / n) ** 0.5)
-    for _ in range(rounds if posterior else 0):
-        first = second = 0.0
-        for x, c, y in zip(lengths, counts, logs, strict=True):
-            z = (y - mean) / sd
-            survive = 0.5 * math.erfc(z / 2**0.5)
-            w = posterior.get(x, 0.0)
-            hazard = math.exp(-z * z / 2) / (2 * math.pi) ** 0.5 / survive if survive > 1e-12 else z
-            beyond, square = mean + sd * hazard, mean**2 + sd**2 + sd * hazard * (y + mean)
-            first += c * ((1 - w) * y + w * beyond)
-            second += c * ((1 - w) * y * y + w * square)
+    x, c = np.array(lengths, dtype=np.float64), np.array(counts, dtype=np.float64)
+    n, y = c.sum(), np.log(x)
+    mean = float((c * y).sum() / n)
+    sd = max(0.05, float((c * (y - mean) ** 2).sum() / n) ** 0.5)
+    several = c >= 2
+    w = np.where(several, 0.5, 0.0)
+    for _ in range(rounds if several.any() else 0):
+        z = (y - mean) / sd
+        density = np.exp(-z * z / 2) / (2 * math.pi) ** 0.5
+        survive = np.array([0.5 * math.erfc(v / 2**0.5) for v in z])
+        hazard = np.where(survive > 1e-12, density / np.maximum(survive, 1e-300), z)
+        beyond, square = mean + sd * hazard, mean**2 + sd**2 + sd * hazard * (y + mean)
+        first, second = float((c * ((1 - w) * y + w * beyond)).sum()), float((c * ((1 - w) * y * y + w * square)).sum())
         mean = first / n
         sd = max(0.05, max(0.0, second / n - mean**2) ** 0.5)
-        for x, c in zip(lengths, counts, strict=True):
-            if x in posterior:
-                z = (math.log(x) - mean) / sd
-                expected = n * math.exp(-z * z / 2) / (2 * math.pi) ** 0.5 / sd / x
-                # a count is compared with what the density and its Poisson spread explain
-                posterior[x] = max(0.0, 1 - (expected + 2 * expected**0.5 + 0.5) / c)
-    return posterior
+        z = (y - mean) / sd
+        expected = n * np.exp(-z * z / 2) / (2 * math.pi) ** 0.5 / sd / x
+        w = np.where(several, np.maximum(0.0, 1 - (expected + 3 * expected**0.5 + 1) / c), 0.0)
+    return {int(k): float(v) for k, v in zip(lengths, w, strict=True) if v > 0}
+
+
+class Endings:
+    """Frequencies of endings among cut and whole values, and the rate of cuts away from limits."""
+
+    def __init__(self, cut: np.ndarray, whole: np.ndarray, rate: float) -> None:
+        self.cut, self.whole, self.rate = cut, whole, rate  # (ending, with or without a larger stored size), each summing to 1
+
+    @staticmethod
+    def prior() -> "Endings":
+        """What is known before any value is seen."""
+        return Endings(*(np.outer(p, (1 - m, m)) for p, m in ((CUT, CUT_MORE), (WHOLE, WHOLE_MORE))), BASE_RATE)
+
+    def odds(self, censored: np.ndarray, state: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Odds of being cut."""
+        prior = np.clip(np.maximum(censored, self.rate), 1e-9, 1 - 1e-9)
+        return prior / (1 - prior) * self.cut[state, more] / self.whole[state, more]
+
+    def _step(self, prior: "Endings", style: bool, censored: np.ndarray, state: np.ndarray, more: np.ndarray, n: np.ndarray) -> "Endings":
+        p = 1 - 1 / (1 + self.odds(censored, state, more))
+        cut, whole = STRENGTH * prior.cut, STRENGTH * prior.whole
+        np.add.at(cut, (state, more), n * p)
+        np.add.at(whole, (state, more), n * (1 - p))
+        whole /= whole.sum()
+        if not style:
+            whole[1] = prior.whole[1]
+        whole[0] = prior.whole[0]  # a mark of cutting is no style
+        whole[2:] *= (1 - whole[:2].sum()) / whole[2:].sum()
+        away = censored <= self.rate
+        rate = (RATE_STRENGTH * prior.rate + float((n * p)[away].sum())) / (RATE_STRENGTH + float(n[away].sum()))
+        return Endings(cut / cut.sum(), whole, min(rate, MOST_RATE))
+
+    def _likelihood(self, censored: np.ndarray, state: np.ndarray, more: np.ndarray, n: np.ndarray) -> float:
+        at = np.clip(np.maximum(censored, self.rate), 1e-9, 1 - 1e-9)
+        return float((n * np.log(at * self.cut[state, more] + (1 - at) * self.whole[state, more])).sum())
+
+    @staticmethod
+    def fit(prior: "Endings", censored: np.ndarray, state: np.ndarray, more: np.ndarray, n: np.ndarray, rounds: int = 60, style_cost: float = STYLE_COST) -> "Endings":
+        """The fit with open endings as cuts or, if that is likelier by `style_cost`, as style."""
+        seen = STRENGTH * prior.whole
+        np.add.at(seen, (state, more), n * ((censored <= prior.rate) & (state > 0)))
+        plain, style = prior, Endings(prior.cut, seen / seen.sum(), prior.rate / 10)
+        for _ in range(rounds):
+            plain = plain._step(prior, False, censored, state, more, n)
+            style = style._step(prior, True, censored, state, more, n)
+        return style if style._likelihood(censored, state, more, n) > plain._likelihood(censored, state, more, n) + style_cost else plain
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, source, length, state, p_cut, truncated) of every document with text.
 
-    `docs` needs doc_id, source, n_chars and text. One pass over the texts; what follows moves hashes and numbers."""
+    `docs` needs doc_id, source, n_chars and text. One pass over the texts; what follows moves hashes and numbers. The fits
+    see one row per source, length and ending, or per source, posterior (in hundredths) and ending."""
     rows = cut_lineage(docs.select("doc_id", "source", F.col("n_chars").cast("bigint"), "text").mapInArrow(_scan, _FEATURES))
     ends = rows.where("kind = 0").select("doc_id", "source", "length", "more", "state", "frame", "frame2", F.col("n").alias("tail"))
     asked = ends.where("state in ('open', 'entry')").select(F.explode(F.array("frame", "frame2")).alias("frame")).distinct()
-    known = rows.where("kind = 1").select("frame", "n").join(asked, "frame", "left_semi").groupBy("frame").agg(F.sum("n").alias("n")).where(F.col("n") >= FRAME_LINES).select("frame")
+    totals = {r[0]: r[1] for r in rows.where("kind in (1, 2)").groupBy("kind").agg(F.sum("n")).collect()}
+    often = max(2, FRAME_SHARE * totals.get(1, 0) / 2)  # a line has two frames
+    known = rows.where("kind = 1").select("frame", "n").join(asked, "frame", "left_semi").groupBy("frame").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("frame")
     tails = rows.where("kind = 2").groupBy("frame").agg(F.sum("n").alias("n"))
-    entries = tails.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tails = tails.where(F.col("n") >= entries * TAIL_SHARE).select(F.col("frame").alias("tail"))  # at most 1 / TAIL_SHARE rows
+    tails = tails.where(F.col("n") >= totals.get(2, 0) * TAIL_SHARE).select(F.col("frame").alias("tail"))  # at most 1 / TAIL_SHARE rows
     ends = ends.join(known.select("frame", F.lit(True).alias("k1")), "frame", "left").join(known.select(F.col("frame").alias("frame2"), F.lit(True).alias("k2")), "frame2", "left")
     ends = ends.join(F.broadcast(tails.withColumn("t", F.lit(True))), "tail", "left")
     state = F.when(F.col("state").isin("open", "entry") & (F.col("k1") | F.col("k2")), "known").when((F.col("state") == "entry") & F.col("t").isNull(), "open").otherwise(F.col("state"))
-    ends = ends.withColumn("state", state)
+    ends = ends.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("key"), "length", "frame", "frame2", F.coalesce("more", F.lit(False)).cast("int").alias("more"), state.alias("state"))
 
-    counts = ends.where("length > 0").groupBy(F.coalesce("source", F.lit("")).alias("key"), "length").agg(F.count("*").alias("values"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
+    def lengths(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("length")
         found = fit_lengths(group["length"].tolist(), group["values"].tolist())
         return pd.DataFrame({"key": group["key"].iloc[0], "length": list(found), "censored": list(found.values())})
 
-    limits = counts.groupBy("key").applyInPandas(fit, "key string, length int, censored double")
-    ends = ends.withColumn("key", F.coalesce("source", F.lit(""))).join(limits, ["key", "length"], "left")
-    prior = F.greatest(F.coalesce("censored", F.lit(0.0)), F.lit(BASE_RATE))
-    prior = F.least(prior, F.lit(0.99))
-    ratio = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in EVIDENCE.items() for x in kv)), F.col("state")), F.lit(1.0)) * F.when(F.col("more"), SIZE_EVIDENCE).otherwise(1.0)
-    odds = prior / (1 - prior) * ratio
-    return ends.select("doc_id", "source", "length", "state", (odds / (1 + odds)).alias("p_cut"), (odds > 1).alias("truncated"))
+    # copies of a text are one value: only different ones show a limit
+    counts = ends.where("length > 0").select("key", "length", "frame", "frame2").distinct().groupBy("key", "length").agg(F.count("*").alias("values"))
+    limits = counts.groupBy("key").applyInPandas(lengths, "key string, length int, censored double")
+    number = F.array_position(F.array(*(F.lit(x) for x in STATES)), F.col("state")).cast("int") - 1
+    ends = ends.drop("frame", "frame2").join(limits, ["key", "length"], "left").withColumns({"censored": F.round(F.coalesce("censored", F.lit(0.0)), 2), "ending": number})
+    ends = cut_lineage(ends)
+
+    cells = ends.where("ending >= 0").groupBy("key", "censored", "ending", "more").agg(F.count("*").alias("n"))
+    arrays = lambda d: (d["censored"].to_numpy(np.float64), d["ending"].to_numpy(np.int64), d["more"].to_numpy(np.int64), d["n"].to_numpy(np.float64))
+    common = cells.groupBy("censored", "ending", "more").agg(F.sum("n").alias("n")).toPandas()  # 101 posteriors, 5 endings, 2 sizes
+    prior = Endings.fit(Endings.prior(), *arrays(common), style_cost=math.inf) if len(common) else Endings.prior()
+
+    def endings(group: pd.DataFrame) -> pd.DataFrame:
+        censored, state, more, _ = values = arrays(group)
+        odds = Endings.fit(prior, *values).odds(censored, state, more)
+        return pd.DataFrame({"key": group["key"], "censored": censored, "ending": state, "more": more, "p_cut": odds / (1 + odds)})
+
+    learnt = cells.groupBy("key").applyInPandas(endings, "key string, censored double, ending int, more int, p_cut double")
+    found = ends.join(learnt, ["key", "censored", "ending", "more"], "left").withColumn("p_cut", F.coalesce("p_cut", F.lit(0.0)))
+    return found.select("doc_id", "source", "length", "state", "p_cut", (F.col("p_cut") > 0.5).alias("truncated"))
 
 
 def rates(judgements: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def test_length_fit():
     lengths, counts = np.unique(x, return_counts=True)
     post = truncation.fit_lengths(lengths.tolist(), counts.tolist())
     assert post[1000] > 0.9
-    assert max(v for k, v in post.items() if k != 1000) < 0.9
+    assert max((v for k, v in post.items() if k != 1000), default=0) < 0.9
     assert truncation.fit_lengths([5], [1]) == {}
 
 
@@ -196,3 +196,32 @@ def test_truncation(spark):
     r = truncation.rates(j).first()
     assert r.truncated == len(cut) + 1 and 0 < r.rate < 1
     assert truncation.judged(df.where("false")).count() == 0
+
+
+def _texts(rng, n, closing):
+    words = [f"word{k}" for k in range(400)]
+    return [" ".join(rng.choice(words, rng.integers(20, 400))) + closing for _ in range(n)]
+
+
+def test_the_posterior_turns_verdicts(spark):
+    """In a source that ends openly by habit only values at the limit are cut; in another every open ending is."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "bare", t) for i, t in enumerate(_texts(rng, 400, "")) if len(t) != 900]
+    rows += [(1000 + i, "bare", (t * 3)[:900].rstrip() + "x" * (900 - len((t * 3)[:900].rstrip()))) for i, t in enumerate(_texts(rng, 40, " "))]
+    rows += [(2000 + i, "tidy", t) for i, t in enumerate(_texts(rng, 400, "."))] + [(3000 + i, "tidy", t) for i, t in enumerate(_texts(rng, 12, ""))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_chars", F.lit(None).cast("long"))
+    cut = lambda: {r.doc_id for r in truncation.judged(df).where("truncated").collect()}
+    found = cut()
+    assert {i for i in found if i < 2000} == set(range(1000, 1040)) and {i for i in found if i >= 2000} == set(range(3000, 3012))
+    fit = truncation.fit_lengths
+    truncation.fit_lengths = lambda lengths, counts: {}  # without the lengths' model no value of the first source is found
+    try:
+        assert cut() == set(range(3000, 3012))
+    finally:
+        truncation.fit_lengths = fit
+
+
+def test_a_closed_ending_at_an_overfull_limit():
+    e = truncation.Endings.prior()
+    closed = np.array([truncation.STATES.index("closed")])
+    assert e.odds(np.array([0.5]), closed, np.array([0]))[0] < 1 < e.odds(np.array([0.999]), closed, np.array([0]))[0]
