@@ -1,17 +1,21 @@
 """Problem 7: noise in text from scanned pages.
 
-Method: words are counted over all documents; skip-gram vectors are learnt for the frequent ones. A word of a scan
-that is not established is linked to frequent words a plausible glyph edit away, and the correction that fits count,
-letter sequence and context best is taken. Then page furniture goes, words broken at line ends are joined and the
-lines are reflowed into paragraphs.
-
-Bounded models: the frequent words (FREQUENT) spare the exchange the words everybody knows, the vectors are fitted
-for VECTORS words on SAMPLE documents by full-batch gradient of the skip-gram objective with negative sampling.
-Everything else (counts, candidate search, decisions) covers all data: rare words meet the counts in a join.
-
-A source holds scans if at least SCAN_SHARE of its documents have page lines; its documents are read as scans, and
-one without source is if it has page lines or broken words.
-Null and empty texts have no noise and come out as they are. Repeated rows are treated alike.
+Method: words are counted over all documents; skip-gram vectors are learnt for the frequent ones from the pairs they
+form in all scans. A word of a scan that is not established is linked to its neighbours: established words a plausible
+glyph edit away, whose vectors fit the words around. Count, letter sequence and context together must reach the evidence
+a correction needs. A word with a scanner's sign inside and no such neighbour is reported, and left as it is. Then page
+furniture goes, words broken at line ends are joined and the lines are reflowed into paragraphs.
+
+Bounded models: the frequent words (FREQUENT) spare the exchange the words everybody knows; the VECTORS most frequent
+have vectors, fitted by full-batch gradient of the skip-gram objective with negative sampling over their pairs with the
+CONTEXTS most frequent, counted over all scans. Words without vector have no evidence from context. Everything else
+(counts, candidate search, decisions) covers all data: rare words meet the counts in a join.
+
+A word is established if it occurs outside scans at ESTABLISHED of its rate in scans or more (and twice): misreadings that
+some clean source copied don't become words as the data grows.
+
+A document is a scan if it has page lines, if at least SCAN_SHARE of its source's documents have, or, without source, if
+it has broken words. Null and empty texts have no noise and come out as they are. Repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -26,15 +30,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lipika.llm.labels import hash_sample
 from lipika.session import cut_lineage
 
-SCAN_SHARE, SCAN_DOCUMENTS = 0.05, 2
-FREQUENT, VECTORS, SAMPLE, DIMENSIONS = 20_000, 2_000, 1_500, 32
-#: Occurrences in documents that are not scans from which a word is established.
-ESTABLISHED = 2
-#: Evidence (natural logarithms) a correction needs.
-NEEDED = 4.0
+SCAN_SHARE = 0.05
+FREQUENT, VECTORS, CONTEXTS, DIMENSIONS, NEGATIVES, WINDOW = 20_000, 8_192, 1_024, 32, 5, 2
+#: Share of its rate in scans at which a word must occur outside them, and the least number of occurrences there.
+ESTABLISHED, LEAST = 0.02, 2
+#: Evidence (natural logarithms) a correction needs; how much of the context's counts, and at most.
+NEEDED, CONTEXT_WEIGHT, CONTEXT_MOST = 4.0, 0.5, 4.0
+#: Pairs of a word at which its vector counts half.
+HALF_PAIRS = 30
 
 # What a scanner prints, and what stands on the page.
 GLYPHS = (
@@ -54,13 +59,14 @@ def page_lines(lines: list[str]) -> set[int]:
 
     A header bears a number set apart or stands next to a page number, and shows itself by capitals, by recurring, by
     standing with the number between blank lines, or by being too short to be a wrapped line of running text."""
-    numbers = {i for i, x in enumerate(lines) if x and len(x) < 40 and x.strip() and _NUMBER_LINE.match(x)}
-    apart = {i for i, x in enumerate(lines) if i not in numbers and len(x) < 90 and "  " in x and _HEAD_NUMBER.search(x)}
-    capitals = {i for i, x in enumerate(lines) if _is_capitals(x)}
+    numbers = {i for i, x in enumerate(lines) if x and x.strip() and _NUMBER_LINE.match(x)}
+    wide = _width(lines)
+    apart = {i for i, x in enumerate(lines) if i not in numbers and "  " in x and len(x) <= wide and _HEAD_NUMBER.search(x)}
+    capitals = {i for i, x in enumerate(lines) if x.isupper() and _is_capitals(x) and len(x) <= wide}
     if not numbers and not apart and not capitals:
         return set()
     name = lambda i: re.sub(r"[\d\W]+", " ", lines[i]).strip().lower()
-    near = {j for i in numbers for j in (i - 1, i + 1) if 0 <= j < len(lines) and j not in numbers and 4 < len(lines[j].strip()) < 90 and lines[j].lstrip()[:1].isupper()}
+    near = {j for i in numbers for j in (i - 1, i + 1) if 0 <= j < len(lines) and j not in numbers and 4 < len(lines[j].strip()) <= wide and lines[j].lstrip()[:1].isupper()}
     times = Counter(map(name, near | apart | capitals))
     inner = sorted(len(x) for x, y in zip(lines, lines[1:], strict=False) if x.strip() and y.strip())
     width = inner[len(inner) // 2] if inner else 0
@@ -83,8 +89,14 @@ def page_lines(lines: list[str]) -> set[int]:
     return found
 
 
+def _width(lines: list[str]) -> int:
+    """What a line printed across the page may measure: the width nine in ten running lines keep to, and a third more."""
+    inner = sorted(len(x) for x, y in zip(lines, lines[1:], strict=False) if x.strip() and y.strip())
+    return max(90, inner[len(inner) * 9 // 10] * 4 // 3) if inner else 90
+
+
 def _is_capitals(line: str) -> bool:
-    return len(line) < 90 and line.isupper() and sum(map(str.isalpha, line)) >= 6 and "|" not in line and "<<" not in line
+    return sum(map(str.isalpha, line)) >= 6 and "|" not in line and "<<" not in line
 
 
 def words_of(line: str) -> list[str]:
@@ -92,25 +104,31 @@ def words_of(line: str) -> list[str]:
     return [m[0] for m in _TOKEN.finditer(line)]
 
 
-#: Lines between the parts of a broken word that may be neither (a header, a note of the site).
-BETWEEN = 6
-
-
 def broken_words(lines: list[str], skip: set[int]) -> list[tuple[int, int, str, str]]:
     """(line, next line of running text, left part, right part) where a line ends in a hyphen.
 
-    Lines in between that begin with a capital can't go on with a word and are passed over, if one follows that can."""
+    Lines in between that begin with a capital (a header, a note of the site) can't go on with a word and are passed over,
+    if one follows that can before the next line that ends in a hyphen too."""
     out = []
     for i, line in enumerate(lines):
         text = line.rstrip()
         if i in skip or not text or text[-1] not in HYPHENS or len(text) < 2 or not text[-2].isalpha():
             continue
         left = re.search(r"[^\s]+$", text[:-1])[0].lstrip("“\"'(‘")
-        following = [j for j in range(i + 1, min(len(lines), i + 1 + 3 * BETWEEN)) if j not in skip and lines[j].strip()][:BETWEEN]
-        going_on = next((j for j in following if not lines[j].lstrip()[:1].isupper()), None)
-        for j in [going_on] if going_on is not None else following[:1]:
-            if right := re.match(r"\s*([^\W\d_]+(?:[-‐][^\W\d_]+)*)", lines[j]):
-                out.append((i, j, left, right[1]))
+        first = target = None
+        for j in range(i + 1, len(lines)):
+            body = lines[j].strip()
+            if not body or j in skip:
+                continue
+            first = j if first is None else first
+            if not body[0].isupper():
+                target = j
+                break
+            if body[-1] in HYPHENS:
+                break
+        target = first if target is None else target
+        if target is not None and (right := re.match(r"\s*([^\W\d_]+(?:[-‐][^\W\d_]+)*)", lines[target])):
+            out.append((i, target, left, right[1]))
     return out
 
 
@@ -152,62 +170,61 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, clean, scans) and (source): occurrences over all documents, outside scans and in them, combined per batch
-    first; and the sources that hold scans. Documents without source count as scans."""
+    """(word, clean, scans, known) and (source): occurrences over all documents, outside scans and in them, combined per
+    batch first, and whether that makes a word established; and the sources that hold scans. Documents without source
+    count as scans."""
     rows = cut_lineage(docs.select("source", "text").mapInArrow(_counted, _COUNTED))
     sums = rows.where("word is null and source is not null").groupBy("source").agg(F.sum("documents").alias("documents"), F.sum("paged").alias("paged"))
-    sources = cut_lineage(sums.where((F.col("paged") >= SCAN_DOCUMENTS) & (F.col("paged") >= F.col("documents") * SCAN_SHARE)).select("source"))
+    sources = cut_lineage(sums.where((F.col("paged") > 0) & (F.col("paged") >= F.col("documents") * SCAN_SHARE)).select("source"))
     words = rows.where("word is not null").join(sources.withColumn("scanned", F.lit(True)), "source", "left")
     scanned = F.col("scanned").isNotNull() | F.col("source").isNull()
-    counts = words.groupBy("word").agg(F.sum(F.when(~scanned, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(scanned, F.col("n")).otherwise(0)).alias("scans"))
-    return cut_lineage(counts), sources
+    parts = F.sum(F.when(~scanned, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(scanned, F.col("n")).otherwise(0)).alias("scans")
+    clean, scans = words.agg(*parts).first()
+    often = F.col("clean") * (scans or 0) >= F.col("scans") * (ESTABLISHED * (clean or 0))
+    return cut_lineage(words.groupBy("word").agg(*parts).withColumn("known", (F.col("clean") >= LEAST) & often)), sources
 
 
 def sequence_counts(counts: DataFrame) -> dict[str, int]:
-    """Established words holding each letter trigram; bounded by the alphabet."""
+    """Established words holding each letter trigram, of the words in Latin letters, as only those have glyph edits;
+    bounded by the alphabet."""
     w = F.concat(F.lit("_"), "word", F.lit("_"))
     grams = F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
-    rows = counts.where(F.col("clean") >= ESTABLISHED).select(F.explode(F.array_distinct(grams)).alias("g")).groupBy("g").count().where("count > 1")
-    return {r[0]: r[1] for r in rows.orderBy(F.desc("count"), "g").limit(300_000).collect()}
-
-
-def skip_grams(texts: list[str], vocabulary: list[str], steps: int = 40, negatives: int = 5, window: int = 2) -> np.ndarray:
-    """Skip-gram vectors with negative sampling, by full-batch gradient over the pair counts of the sample."""
-    ids = {w: i for i, w in enumerate(vocabulary)}
-    n = len(ids)
-    if not n:
-        return np.zeros((0, DIMENSIONS), dtype=np.float32)
-    pairs = np.zeros(n * n, dtype=np.float32)
-    for text in texts:
-        seq = np.array([ids.get(w, -1) for w in words_of(text.lower())], dtype=np.int64)
-        for d in range(1, window + 1):
-            a, b = seq[:-d], seq[d:]
-            ok = (a >= 0) & (b >= 0)
-            np.add.at(pairs, a[ok] * n + b[ok], 1)
-    pairs = pairs.reshape(n, n)
-    pairs += pairs.T
-    total = max(float(pairs.sum()), 1.0)
-    row = pairs.sum(axis=1)
-    noise = row**0.75 / max(float((row**0.75).sum()), 1e-9)
-    negative = negatives * np.outer(row, noise) / total
-    pairs /= total
+    rows = counts.where("known").where(F.col("word").rlike(r"^[a-z\x{df}-\x{17f}'’-]+$")).select(F.explode(F.array_distinct(grams)).alias("g")).groupBy("g").count()
+    return {r[0]: r[1] for r in rows.collect()}
+
+
+def skip_grams(pairs: np.ndarray, steps: int = 30, rate: float = 0.3, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Skip-gram vectors (words, contexts) with negative sampling, by full-batch gradient over a matrix of pair counts.
+
+    Their products are near the pointwise information of word and context less log NEGATIVES."""
+    met = (pairs / max(float(pairs.sum()), 1.0)).astype(np.float32)
+    row, column = met.sum(axis=1), NEGATIVES * met.sum(axis=0)
     rng = np.random.default_rng(0)
-    u = rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
-    v = rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
+    u = rng.normal(0, 0.1, (pairs.shape[0], DIMENSIONS)).astype(np.float32)
+    v = rng.normal(0, 0.1, (pairs.shape[1], DIMENSIONS)).astype(np.float32)
     gu, gv = np.full_like(u, 1e-12), np.full_like(v, 1e-12)
     for _ in range(steps):
-        s = 1 / (1 + np.exp(-np.clip(u @ v.T, -20, 20)))
-        g = pairs * (1 - s) - negative * s
-        du, dv = g @ v, g.T @ u
+        du, dv = np.zeros_like(u), np.zeros_like(v)
+        for at in range(0, len(u), block):
+            part = slice(at, at + block)
+            s = u[part] @ v.T
+            np.exp(np.clip(np.negative(s, out=s), -20, 20, out=s), out=s)
+            s += 1  # the chance of a pair is 1 / s
+            g = met[part] - (met[part] + np.outer(row[part], column)) / s
+            du[part] = g @ v
+            dv += g.T @ u[part]
         gu += du * du
         gv += dv * dv
-        u += 0.3 * du / np.sqrt(gu)
-        v += 0.3 * dv / np.sqrt(gv)
-    return u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-9)
+        u += rate * du / np.sqrt(gu)
+        v += rate * dv / np.sqrt(gv)
+    return u, v
 
 
-def edits(word: str, most: int = 2) -> list[str]:
-    """Lower-case words that `word` may be a misreading of, by up to `most` glyph edits."""
+def edits(word: str, longest: int, most: int = 2) -> list[str]:
+    """Words that `word` may be a misreading of, by up to `most` glyph edits; none of a word so long that no established
+    word, of at most `longest` letters, is within reach."""
+    if len(word) > longest + most:
+        return []
     seen, layer = {word}, [word]
     for _ in range(most):
         fresh = []
@@ -221,17 +238,15 @@ def edits(word: str, most: int = 2) -> list[str]:
                         fresh.append(c)
                     i = w.find(a, i + 1)
         layer = fresh
-        if len(seen) > 400:
-            break
     seen.discard(word)
     return sorted(c for c in seen if c.replace("-", "").isalpha() and "ſ" not in c)
 
 
 class Reader:
-    """What the workers know: frequent words, letter sequences and vectors."""
+    """What the workers know: letter sequences, and vectors of frequent words and contexts."""
 
-    def __init__(self, frequent: set[str], sequences: dict[str, int], vocabulary: list[str], vectors: np.ndarray) -> None:
-        self.frequent, self.sequences, self.vectors = frequent, sequences, vectors
+    def __init__(self, sequences: dict[str, int], vocabulary: list[str], words: np.ndarray, contexts: np.ndarray, met: np.ndarray) -> None:
+        self.sequences, self.words, self.contexts, self.trust = sequences, words, contexts, met / (met + HALF_PAIRS)
         self.ids = {w: i for i, w in enumerate(vocabulary)}
 
     def plausible(self, word: str) -> float:
@@ -240,102 +255,142 @@ class Reader:
         return min((math.log1p(self.sequences.get(w[i : i + 3], 0)) for i in range(len(w) - 2)), default=0.0)
 
     def context(self, words: list[str]) -> np.ndarray | None:
-        """Mean vector of the known words around."""
-        found = [self.ids[w] for w in words if w in self.ids]
-        return self.vectors[found].mean(axis=0) if found else None
+        """Vectors of the context words around."""
+        found = [i for w in words if (i := self.ids.get(w, len(self.contexts))) < len(self.contexts)]
+        return self.contexts[found] if found else None
+
+    def fits(self, word: str, context: np.ndarray | None) -> float:
+        """Evidence of the words around for `word`: their information about it, within CONTEXT_MOST (half of it against the word), less the fewer pairs
+        its vector comes from; 0 without vectors."""
+        if context is None or (i := self.ids.get(word)) is None:
+            return 0.0
+        return float(self.trust[i] * np.clip(CONTEXT_WEIGHT * (context @ self.words[i] + math.log(NEGATIVES)).sum(), -CONTEXT_MOST / 2, CONTEXT_MOST))
 
-    def best(self, word: str, own: int, candidates: list[tuple[str, int]], around: list[str]) -> tuple[str, float] | None:
-        """The correction with the most evidence: count against count, letter sequences, context; None below NEEDED."""
+    def best(self, word: str, own: int, candidates: list[tuple[str, int]], around: list[str]) -> tuple[str | None, float] | None:
+        """The correction with the most evidence: count against count, letter sequences, context; None below NEEDED.
+
+        A sign of the scanner inside a word is evidence enough that it is misread; without correction the first is None."""
         found = None
         base, sign = self.plausible(word), 6.0 if _SCAN_SIGNS.search(word) or "ſ" in word else 0.0
         context = self.context(around)
         for c, n in candidates:
-            score = math.log((n + 1) / (own + 1)) + max(0.0, self.plausible(c) - base) + sign
-            if n == 0 and score < NEEDED + 1.5:
-                continue
-            near = float(self.vectors[self.ids[c]] @ context) if context is not None and c in self.ids else 0.0
-            if score >= NEEDED and (found is None or score + near > found[1]):
-                found = (c, score + near)
+            score = math.log((n + 1) / (own + 1)) + max(0.0, self.plausible(c) - base) + sign + self.fits(c, context)
+            if score >= (NEEDED if n else NEEDED + 1.5) and (found is None or score > found[1]):
+                found = (c, score)
         if found is None and _SCAN_SIGNS.search(word) and any(ch.isalpha() for ch in word):
-            return re.sub("[!|1]", "l", word), NEEDED
+            return None, sign
         return found
 
 
-def learn(docs: DataFrame, counts: DataFrame, sources: DataFrame) -> Reader:
-    """The bounded models: frequent words from the counts over all documents, vectors from a hash sample of scans."""
-    top = [r[0] for r in counts.where(F.col("clean") >= 5).orderBy(F.desc("clean"), "word").limit(FREQUENT).select("word").collect()]
-    scans = docs.join(sources, "source", "left_semi").select("doc_id", "text")
-    sample = hash_sample(scans.where(F.length("text") <= 20_000), "doc_id", SAMPLE, scans.count())
-    texts = [r[0] for r in sample.select("text").collect()]
-    vocabulary = top[:VECTORS]
-    return Reader(set(top), sequence_counts(counts), vocabulary, skip_grams(texts, vocabulary))
+def frequent_words(counts: DataFrame) -> list[str]:
+    """The FREQUENT most frequent established words, most frequent first."""
+    return [r[0] for r in counts.where("known").orderBy(F.desc("clean"), "word").limit(FREQUENT).select("word").collect()]
+
 
+def learn(seen: DataFrame, counts: DataFrame, frequent: list[str]) -> Reader:
+    """The bounded models, from the counts over all documents and the pairs of all scans."""
+    vocabulary = frequent[:VECTORS]
+    pairs = np.zeros((len(vocabulary), min(CONTEXTS, len(vocabulary))), dtype=np.float32)
+    # at most VECTORS x CONTEXTS rows
+    for b in seen.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").cast("float").alias("n")).toArrow().to_batches():
+        a, c, n = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+        pairs[a, c] = n
+    return Reader(sequence_counts(counts), vocabulary, *skip_grams(pairs), pairs.sum(axis=1))
 
-_OBSERVED = "doc_id bigint, line_no int, kind string, word string, other string, around array<string>"
 
+_OBSERVED = "doc_id bigint, line_no int, kind string, word string, other string, around array<string>, a int, b int, n bigint"
 
-def observed(scans: DataFrame, reader: Reader) -> DataFrame:
-    """What a scan shows line by line: `page` lines, `join` (parts of a word over a line end), `word` (not frequent)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("word", pa.string()), ("other", pa.string()), ("around", pa.list_(pa.string()))])
-    frequent = reader.frequent
+
+def observed(docs: DataFrame, frequent: list[str]) -> DataFrame:
+    """What a scan among the documents (doc_id, text, expected) shows line by line: `page` lines, `join` (parts of a word over a line end), `word` (not frequent); and
+    per batch the counts of each `pair` (a, b) of frequent words and contexts near it, as places in `frequent`. A document with a negative `expected` must have page lines to be a scan."""
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int64())
+    schema = pa.schema(list(zip([x.split()[0] for x in _OBSERVED.split(", ")], kinds, strict=True)))
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})  # at most FREQUENT words
+    contexts = min(CONTEXTS, len(frequent))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        ids = shared.value
+        for batch in batches:
+            rows, pairs = [], []
+            for doc, text, expected in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text:
                     continue
                 lines = text.split("\n")
                 skip = page_lines(lines)
-                rows += [(doc, i + 1, "page", None, None, None) for i in sorted(skip)]
+                if expected < 0 and not skip:
+                    continue
+                rows += [(doc, i + 1, "page", None, None, None, None, None, None) for i in sorted(skip)]
                 joins = broken_words(lines, skip)
                 ends, starts = {i: (left, right) for i, _, left, right in joins}, {j for _, j, *_ in joins}
-                rows += [(doc, i + 1, "join", left.lower(), right.lower(), None) for i, _, left, right in joins]
+                rows += [(doc, i + 1, "join", left.lower(), right.lower(), None, None, None, None) for i, _, left, right in joins]
                 for i, line in enumerate(lines):
                     words = words_of(line)
                     if i in skip and not line.lstrip()[:1].isalpha():
                         continue
                     low = [w.lower() for w in words]
                     stop = len(words) - (i in ends)
+                    places = [ids.get(w, -1) for w in low]
+                    if i not in skip:
+                        pairs.append(places[i in starts : stop])
                     for k in range(1 if i in starts else 0, stop):
                         w = low[k]
-                        if w not in frequent and not w.isdigit() and len(w) > 1 and not (words[k].isupper() and len(w) > 3):
-                            rows.append((doc, i + 1, "word", w, None, low[max(0, k - 2) : k] + low[k + 1 : min(stop, k + 3)]))
+                        if places[k] < 0 and not w.isdigit():
+                            rows.append((doc, i + 1, "word", w, None, low[max(0, k - WINDOW) : k] + low[k + 1 : min(stop, k + 1 + WINDOW)], None, None, None))
+            if counted := _pairs(pairs, contexts):
+                rows += counted
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return cut_lineage(scans.select("doc_id", "text").mapInArrow(look, _OBSERVED))
+    return cut_lineage(docs.select("doc_id", "text", "expected").mapInArrow(look, _OBSERVED))
+
+
+def _pairs(lines: list[list[int]], contexts: int) -> list[tuple]:
+    """Rows of the pairs within WINDOW in lines of word numbers; -1 is no frequent word and parts no neighbours."""
+    if not lines or not contexts:
+        return []
+    gap = [-1] * WINDOW  # lines are no neighbours
+    flat = np.array([i for x in lines for i in (*x, *gap)], dtype=np.int64)
+    flat[flat >= VECTORS] = -1
+    codes = []
+    for d in range(1, WINDOW + 1):
+        for a, b in ((flat[:-d], flat[d:]), (flat[d:], flat[:-d])):
+            ok = (a >= 0) & (b >= 0) & (b < contexts)
+            codes.append(a[ok] * contexts + b[ok])
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    return [(None, None, "pair", None, None, None, a, b, k) for a, b, k in zip((code // contexts).tolist(), (code % contexts).tolist(), n.tolist(), strict=True)]
 
 
 def corrections(seen: DataFrame, counts: DataFrame, reader: Reader) -> DataFrame:
-    """(doc_id, line_no, word, correction): misread words with what was printed. Rare words are linked by a join."""
+    """(doc_id, line_no, word, correction): misread words with what was printed, null if no neighbour tells. Rare words
+    are linked by a join."""
     words = seen.where("kind = 'word'").select("doc_id", "line_no", "word", "around")
-    asked = words.select("word").distinct().join(counts, "word", "left").where(F.coalesce("clean", F.lit(0)) < ESTABLISHED).select("word", F.coalesce("clean", F.lit(0)).alias("own"))
+    asked = words.select("word").distinct().join(counts, "word", "left").where(~F.coalesce("known", F.lit(False))).select("word", F.coalesce("clean", F.lit(0)).alias("own"))
+    known = counts.where("known").select(F.col("word").alias("candidate"), "clean")
+    longest = known.agg(F.max(F.length("candidate"))).first()[0] or 0
 
     def options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, own, c) for w, own in zip(b["word"], b["own"], strict=True) for c in edits(w)]
-            yield pd.DataFrame(rows, columns=["word", "own", "candidate"])
+            rows = [(w, c) for w in b["word"] for c in edits(w, longest)]
+            yield pd.DataFrame(rows, columns=["word", "candidate"])
 
-    links = asked.mapInPandas(options, "word string, own bigint, candidate string")
-    known = counts.select(F.col("word").alias("candidate"), "clean").where(F.col("clean") >= ESTABLISHED)
-    links = links.join(known, "candidate", "left").withColumn("n", F.coalesce("clean", F.lit(0)))
-    # of the unestablished candidates only the letter sequences count: one edit suffices there
-    per_word = links.groupBy("word", "own").agg(F.collect_list(F.struct("candidate", "n")).alias("candidates"))  # at most a few hundred edits of a word
-    tokens = words.join(per_word, "word")
-    joined = words.join(asked, "word").join(per_word.select("word"), "word", "left_anti").select("doc_id", "line_no", "word", "around", "own", F.array().cast("array<struct<candidate:string,n:bigint>>").alias("candidates"))
+    links = asked.select("word").mapInPandas(options, "word string, candidate string").join(known, "candidate", "left").withColumn("n", F.coalesce("clean", F.lit(0)))
+    # of the unestablished candidates only the letter sequences count
+    per_word = links.groupBy("word").agg(F.collect_list(F.struct("candidate", "n")).alias("candidates"))  # the edits of one word
+    tokens = words.join(asked.join(per_word, "word", "left"), "word")
+    shared = seen.sparkSession.sparkContext.broadcast(reader)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = shared.value
         for b in batches:
             rows = []
             for doc, line, word, around, own, candidates in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if best := reader.best(word, own, [(c["candidate"], c["n"]) for c in candidates], around or []):
+                if best := reader.best(word, own, [(c["candidate"], c["n"]) for c in candidates or ()], around or []):
                     rows.append((doc, line, word, best[0]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["doc_id", "line_no", "word", "correction"])
 
-    both = tokens.select("doc_id", "line_no", "word", "around", "own", "candidates").unionByName(joined)
-    return both.mapInArrow(decide, "doc_id bigint, line_no int, word string, correction string")
+    return tokens.select("doc_id", "line_no", "word", "around", "own", "candidates").mapInArrow(decide, "doc_id bigint, line_no int, word string, correction string")
 
 
 def breaks(seen: DataFrame, counts: DataFrame) -> DataFrame:
@@ -354,15 +409,17 @@ def noise(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     The last are the documents read as scans (doc_id, text): those of the sources and those without source that show it."""
     counts, sources = word_counts(docs)
-    reader = learn(docs, counts, sources)
-    said = docs.where("source is not null").join(sources, "source", "left_semi").select("doc_id", "text")
-    unsaid = docs.where("source is null").select("doc_id", "text")
-    seen = observed(said.unionByName(unsaid), reader)
+    frequent = frequent_words(counts)
+    said = docs.where("source is not null").join(sources, "source", "left_semi").select("doc_id", "text", F.lit(1).alias("expected"))
+    other = docs.join(sources, "source", "left_anti").select("doc_id", "text", F.when(F.col("source").isNull(), 0).otherwise(-1).alias("expected"))
+    seen = observed(said.unionByName(other), frequent)
+    reader = learn(seen, counts, frequent)
     joined = breaks(seen, counts)
     pages = seen.where("kind = 'page'").select("doc_id", "line_no")
     shown = pages.select("doc_id").union(joined.select("doc_id")).distinct()
-    not_scans = unsaid.select("doc_id").join(shown, "doc_id", "left_anti")
-    return pages, joined, corrections(seen, counts, reader).join(not_scans, "doc_id", "left_anti"), said.unionByName(unsaid.join(shown, "doc_id", "left_semi"))
+    not_scans = other.where("expected = 0").select("doc_id").join(shown, "doc_id", "left_anti")
+    scans = said.drop("expected").unionByName(other.drop("expected").join(shown, "doc_id", "left_semi"))
+    return pages, joined, corrections(seen, counts, reader).join(not_scans, "doc_id", "left_anti"), scans
 
 
 def noisy_lines(docs: DataFrame) -> DataFrame:
@@ -411,7 +468,7 @@ def _as(old: str, new: str) -> str:
 def repaired(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every scan as continuous paragraphs."""
     _, joined, fixes, scans = noise(docs)
-    lists = fixes.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "word", "correction")).alias("fixes"))
+    lists = fixes.where("correction is not null").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "word", "correction")).alias("fixes"))
     ends = joined.groupBy("doc_id").agg(F.collect_set("line_no").alias("broken"))
     rows = scans.where("text is not null").join(lists, "doc_id", "left").join(ends, "doc_id", "left")
 

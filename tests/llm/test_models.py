@@ -136,7 +136,59 @@ def test_page_lines_and_breaks():
 
 
 def test_edits():
-    assert "golden" in scans.edits("golclen") and "this" in scans.edits("thi5") and "mächtige" in scans.edits("rnächtige") and "when" in scans.edits("wheri")
+    assert "golden" in scans.edits("golclen", 9) and "this" in scans.edits("thi5", 9) and "mächtige" in scans.edits("rnächtige", 9) and "when" in scans.edits("wheri", 9)
+    assert scans.edits("m" * 40, 9) == [] and len(scans.edits("rnrnrnrn" * 12, 100)) > 400
+
+
+def test_skip_grams_know_their_contexts():
+    """Two words with contexts of their own: products follow the pairs."""
+    pairs = np.array([[50, 50, 0, 0], [0, 0, 50, 50], [10, 10, 10, 10]], dtype=np.float32)
+    u, v = scans.skip_grams(pairs, steps=200)
+    s = u @ v.T
+    assert s[0, :2].min() > s[0, 2:].max() + 2 and s[1, 2:].min() > s[1, :2].max() + 2 and np.ptp(s[2]) < 1
+
+
+def _ambiguous(spark):
+    """`c0ve` may be `cove` or `eove`, both established; only the words around tell which stood there."""
+    rng = np.random.default_rng(3)
+    sea, land = "salt wave shore tide".split(), "plough field barn grain".split()
+    line = lambda word, around: " ".join([*rng.choice(around, 2), word, *rng.choice(around, 2)])
+    plain = lambda word, around, n: "\n".join(line(word, around) for _ in range(n))
+    rows = [(i, "plain", plain("cove", sea, 10) + "\n" + plain("eove", land, 10)) for i in range(60)]
+    rows += [(500 + i, "scan", plain("cove", sea, 10) + "\n- 12 -\n" + plain("eove", land, 10) + "\n" + line("c0ve", sea) + "\n" + line("c0ve", land)) for i in range(20)]
+    return spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+
+def test_the_words_around_decide(spark, monkeypatch):
+    df = _ambiguous(spark)
+    at = lambda: {(n, c) for _, n, _, c in map(tuple, scans.noise(df)[2].collect())}
+    assert at() == {(22, "cove"), (23, "eove")}
+    monkeypatch.setattr(scans, "skip_grams", lambda pairs: (np.zeros((len(pairs), 4), np.float32), np.zeros((pairs.shape[1], 4), np.float32)))
+    assert len({c for _, c in at()}) == 1  # without vectors one word is taken everywhere
+
+
+def test_context_counts_towards_the_evidence():
+    """A correction that count and letters alone don't justify comes through by its context, and one that they do fails."""
+    words, contexts = np.array([[0.0], [4.0]], np.float32), np.array([[2.0], [-2.0]], np.float32)
+    reader = scans.Reader({}, ["near", "barn"], words, contexts, np.array([1e6, 1e6]))
+    assert reader.best("bam", 0, [("barn", 6)], ["near"])[0] == "barn" and reader.best("bam", 0, [("barn", 6)], []) is None
+    assert reader.best("bam", 0, [("barn", 80)], [])[0] == "barn" and reader.best("bam", 0, [("barn", 80)], ["barn"]) is None
+    assert reader.best("ba1m", 0, [], []) == (None, 6.0)
+
+
+def test_misreadings_in_clean_sources_are_no_words(spark):
+    rows = [(i, "plain", "the golden star sings " * 50) for i in range(40)] + [(100, "plain", "golclen"), (101, "plain", "golclen")]
+    rows += [(500 + i, "scan", "the golclen star sings\n- 12 -\nthe star sings") for i in range(20)]
+    counts, _ = scans.word_counts(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    known = {r.word: r.known for r in counts.collect()}
+    assert known["golden"] and not known["golclen"]
+
+
+def test_a_scan_among_other_texts_is_repaired(spark):
+    """One document in a hundred of its source has pages: it is a scan all the same."""
+    page = "It sings to every sea-\nson.\n- 12 -\nThe end of it."
+    df = spark.createDataFrame([(i, "mixed", "It sings.\nThe end of every season.") for i in range(200)] + [(900, "mixed", page)], "doc_id long, source string, text string")
+    assert {r.doc_id: r.text for r in scans.repaired(df).collect()} == {900: "It sings to every season. The end of it."}
 
 
 def _scanned(spark):
