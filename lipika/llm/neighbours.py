@@ -1,16 +1,22 @@
 """Problem 5: most similar vectors for every vector.
 
 Method: hash-prefix forest. Each tree gives every vector a long hash string (signs against hyperplanes) and keeps the
-strings sorted. In a sorted array the longest prefix matches of a string are its neighbours, and going outwards is
-ascending to shorter prefixes; all trees ascend alike, until a window of candidates on either side is compared.
-
-Trees are cut into ranges of the hash, one task each; a task streams over its range block by block, so its memory is
-bounded however many vectors share a prefix. Vectors travel as 16-bit integers (cosine to about 1e-5). Exact copies
-are a run in every sorted array: only the first k + 1 (by id) stand for it as candidates, all get their neighbours.
-
-Hyperplane offsets and range borders are fitted on a bounded hash sample (SAMPLE vectors); every vector is indexed.
-Rows without a usable vector of the current model (null, wrong size, not finite, all zero) take no part; of several
-rows of one id the latest counts, on equal times the one with the greater vector. Ties go to the smaller id.
+strings sorted, so that all vectors sharing a prefix with one stand in a run around it. A vector descends all trees to
+its longest matches and ascends them in step: the prefix length at which the runs of all trees together hold CANDIDATES
+vectors is looked up in the sorted strings of the forest's sample, and is the same in every tree. The vectors of these
+runs are its candidates.
+
+Trees are cut into ranges of strings, one task each. A run that crosses the border of a range is searched on both sides,
+as the vector is sent there as a guest. A task streams over its range, so its memory is bounded however many vectors share
+a prefix. Vectors travel as 16-bit integers (cosine to about 1e-5). Of exact copies only the first k + 1 (by id) enter the
+forest; they are the neighbours of the others.
+
+A run is too small for a vector that finds k others over the cosine asked for in it; those are compared with all vectors,
+and so are the vectors of `all_neighbours`: by groups of queries and vectors that meet once each.
+
+Hyperplane offsets, range borders and prefix lengths are fitted on a bounded hash sample (SAMPLE vectors); every vector is
+indexed. Rows without a usable vector of the current model (null, wrong size, not finite, all zero) take no part; of
+several rows of one id the latest counts, on equal times the one with the greater vector. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -25,11 +31,11 @@ from lipika.llm.labels import hash_sample
 from lipika.session import cut_lineage
 
 MODEL, DIMENSIONS, K, MIN_COSINE = "mini-multi-64", 64, 5, 0.90
-TREES, BITS, BLOCK, SAMPLE, RANGE_ROWS = 6, 62, 1024, 20_000, 40_000
-#: Queries that are compared with everything at a time, to measure recall.
-QUERY_BLOCK = 4_000
-#: Vectors in a row of `_packed`, and ranges of ids in which all vectors are compared.
-PACK, PACK_RANGES = 4_096, 2
+TREES, BITS, SAMPLE, RANGE_ROWS = 4, 62, 20_000, 65_536
+#: Vectors in the runs of all trees together.
+CANDIDATES = 16_384
+#: Queries and vectors compared at a time; rows of a range held at a time; vectors of a group of `all_neighbours`.
+BLOCK, STEP, HELD, GROUP = 256, 2_048, 262_144, 98_304
 _SCALE = 32_000.0
 #: Cosine from which two vectors are copies; floats leave them this far from 1.
 COPY = 1 - 1e-6
@@ -85,34 +91,58 @@ def current_vectors(embeddings: DataFrame, model: str = MODEL, size: int = DIMEN
 
 
 class Forest:
-    """Hyperplanes of the trees and the borders of their ranges."""
+    """Hyperplanes of the trees, the borders of their ranges and the sorted strings of the sample."""
 
-    def __init__(self, sample: np.ndarray, ranges: int, trees: int = TREES, bits: int = BITS, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, bits: int = BITS, candidates: int = CANDIDATES, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         size = sample.shape[1] if len(sample) else DIMENSIONS
-        self.trees, self.bits, self.ranges = trees, bits, max(1, ranges)
+        self.trees, self.bits, self.ranges = trees, bits, max(1, -(-rows // RANGE_ROWS))
         self.planes = rng.normal(size=(size, trees * bits)).astype(np.float32)
         self.offsets = np.median(sample @ self.planes, axis=0).astype(np.float32) if len(sample) else np.zeros(trees * bits, dtype=np.float32)
-        self.borders = []
-        for h in self.strings(sample).T if len(sample) else np.zeros((trees, 0), dtype=np.int64):
-            self.borders.append(np.quantile(h, np.arange(1, self.ranges) / self.ranges, method="nearest") if len(h) else np.zeros(0, dtype=np.int64))
+        self.known = np.sort(self.strings(sample).T, axis=1) if len(sample) else np.zeros((trees, 0), dtype=np.int64)
+        self.borders = [np.quantile(h, np.arange(1, self.ranges) / self.ranges, method="nearest") if len(h) else np.zeros(0, dtype=np.int64) for h in self.known]
+        #: Vectors of the sample that stand for the candidates.
+        self.needed = candidates * len(sample) / max(rows, 1)
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """Hash strings, one column per tree, as integers whose high bits come first."""
         signs = (x @ self.planes > self.offsets).reshape(len(x), self.trees, self.bits)
         return signs @ (np.int64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
 
+    def tails(self, level: np.ndarray) -> np.ndarray:
+        """The bits of a string beyond a prefix of `level` bits."""
+        return (np.int64(1) << (self.bits - level)) - 1
+
+    def _held(self, strings: np.ndarray, level: np.ndarray) -> np.ndarray:
+        tails = self.tails(level)
+        runs = (np.searchsorted(h, s | tails, "right") - np.searchsorted(h, s & ~tails, "left") for h, s in zip(self.known, strings.T, strict=True))
+        return sum(runs, np.zeros(len(strings), dtype=np.int64))
+
+    def levels(self, strings: np.ndarray) -> np.ndarray:
+        """The longest prefix, the same in all trees, whose runs together hold enough candidates.
+
+        By bisection, as runs only grow on the way up. Where the sample is too thin to show a run of that size, a run is
+        taken to halve with every bit below the last one it shows."""
+        low, high = np.zeros(len(strings), dtype=np.int64), np.full(len(strings), self.bits, dtype=np.int64)
+        while (open_ := low < high).any():
+            middle = (low + high + 1) // 2
+            enough = self._held(strings, middle) >= max(self.needed, 1)
+            low, high = np.where(open_ & enough, middle, low), np.where(open_ & ~enough, middle - 1, high)
+        if 0 < self.needed < 1:
+            low = np.minimum(low + int(np.log2(1 / self.needed)), self.bits)
+        return low
 
-def plant(vectors: DataFrame, trees: int = TREES) -> Forest:
+
+def plant(vectors: DataFrame, trees: int = TREES, candidates: int = CANDIDATES) -> Forest:
     """A forest fitted on at most SAMPLE vectors, with ranges of about RANGE_ROWS vectors."""
     n = vectors.count()
     rows = hash_sample(vectors, "id", SAMPLE, n).select("vector").collect()
     sample = np.stack([np.frombuffer(r[0], dtype="<i2") for r in rows]) if rows else np.zeros((0, DIMENSIONS), dtype="<i2")
-    return Forest(_floats(sample) if rows else sample.astype(np.float32), -(-n // RANGE_ROWS), trees)
+    return Forest(_floats(sample) if rows else sample.astype(np.float32), n, trees, candidates=candidates)
 
 
 def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores per `a`."""
+    """Positions of the k highest scores per `a`, the smaller `b` first on ties."""
     order = np.lexsort((b, -score, a))
     a = a[order]
     first = np.concatenate([[True], a[1:] != a[:-1]])
@@ -120,85 +150,96 @@ def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, k: int) -> np.ndarray
     return order[rank < k]
 
 
-class _Window:
-    """Streams over one range's sorted vectors; candidates are the same block and the blocks next to it."""
-
-    def __init__(self, k: int, least: float) -> None:
-        self.k, self.least = k, least
-        self.before: tuple[list[bytes], np.ndarray] | None = None
-        self.before_found: list[tuple] = []
-        self.ids: list[bytes] = []
-        self.rows: list[bytes] = []
-        self.run: list[bytes] = []
-        self.last = b""
-        self.out: list[tuple[bytes, bytes, float]] = []
-
-    def add(self, key: bytes, vector: bytes) -> None:
-        if vector == self.last:
-            self.run.append(key)
-            if len(self.run) > self.k + 1:  # a copy beyond those that stand for the run
-                self.out += [(key, x, 1.0) for x in self.run[: self.k]]
-                self.run.pop()
-                return
-        else:
-            self.last, self.run = vector, [key]
-        self.ids.append(key)
-        self.rows.append(vector)
-        if len(self.ids) >= BLOCK:
-            self._block()
-
-    def _hits(self, x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = x @ y.T
-        if same:
-            np.fill_diagonal(s, -2)
-        if self.least > -1:
-            i, j = np.nonzero(s >= self.least)
+class _Best:
+    """The k best of a block of queries among the candidates that pass by. Scores count to 1e-6, so that equal vectors tie."""
+
+    def __init__(self, x: np.ndarray, k: int, least: float) -> None:
+        self.x, self.k, self.least = x, k, np.float32(max(least, -1.5))
+        self.score = np.full((len(x), k), -2, dtype=np.float32)
+        self.who = np.full((len(x), k), np.iinfo(np.int64).max, dtype=np.int64)
+
+    def add(self, code: np.ndarray, y: np.ndarray, own: np.ndarray) -> None:
+        """Candidates with their codes (in the order of ids); `own` are the places of the queries among them, -1 for none."""
+        s = self.x @ y.T
+        here = np.flatnonzero(own >= 0)
+        s[here, own[here]] = -2
+        mark = np.maximum(self.score[:, -1] - np.float32(1e-6), self.least)
+        if (s >= mark[:, None]).sum() > 4 * self.k * len(s):  # many at once: the best of them suffice
+            most = min(2 * self.k, s.shape[1])
+            j = np.argpartition(-s, most - 1, axis=1)[:, :most]
+            i, j = np.repeat(np.arange(len(s)), most), j.ravel()
+            keep = s[i, j] >= mark[i]
+            i, j = i[keep], j[keep]
         else:
-            k = min(self.k, s.shape[1])
-            j = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel() if k else np.zeros(0, dtype=np.int64)
-            i = np.repeat(np.arange(len(x)), k)
-        return i, j, s[i, j]
-
-    def _block(self) -> None:
-        ids, x = self.ids, _floats(np.frombuffer(b"".join(self.rows), dtype="<i2").reshape(len(self.rows), -1)) if self.rows else np.zeros((0, 1), dtype=np.float32)
-        self.ids, self.rows = [], []
-        found = []
-        if len(ids):
-            i, j, s = self._hits(x, x, True)
-            found.append((i, j, s, ids))
-            if self.before is not None:
-                old_ids, old = self.before
-                i, j, s = self._hits(old, x, False)
-                self.before_found.append((i, j, s, ids))
-                if self.least > -1:
-                    found.append((j, i, s, old_ids))
-                else:
-                    i, j, s = self._hits(x, old, False)
-                    found.append((i, j, s, old_ids))
-        self._emit()
-        self.before, self.before_found = (ids, x) if len(ids) else None, found
-
-    def _emit(self) -> None:
-        if self.before is None:
-            return
-        a = np.concatenate([f[0] for f in self.before_found])
-        if not len(a):
+            i, j = np.nonzero(s >= mark[:, None])
+        if not len(i):
             return
-        s = np.concatenate([f[2] for f in self.before_found])
-        names = np.concatenate([np.array(f[3], dtype=object)[f[1]] for f in self.before_found])
-        own = self.before[0]
-        order = {x: i for i, x in enumerate(sorted(set(names)))}
-        code = np.array([order[x] for x in names])
-        for p in _best(a, code, s, self.k):
-            if s[p] > -2:
-                self.out.append((own[a[p]], names[p], float(s[p])))
-
-    def close(self) -> None:
+        rows = np.unique(i)
+        a = np.concatenate([np.repeat(rows, self.k), i])
+        score = np.concatenate([self.score[rows].ravel(), np.round(s[i, j], 6)])
+        who = np.concatenate([self.who[rows].ravel(), code[j]])
+        keep = _best(a, who, score, self.k)
+        self.score[rows], self.who[rows] = score[keep].reshape(-1, self.k), who[keep].reshape(-1, self.k)
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, code, score) of what was kept."""
+        i, j = np.nonzero(self.score >= self.least)
+        return i, self.who[i, j], self.score[i, j]
+
+
+def _hits(ids: np.ndarray, others: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(others, pa.binary()), pa.array(scores, pa.float32())], names=["id", "other", "cosine"])
+
+
+def _vectors(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype="<i2").reshape(len(packed), -1)
+
+
+class _Range:
+    """Streams over one range's rows in the order of their strings, HELD at a time; half of them stay for the next ones."""
+
+    def __init__(self, forest: Forest, k: int, least: float) -> None:
+        self.forest, self.k, self.least = forest, k, least
+        self.rows: list[tuple[int, int, bytes, bytes]] = []  # string, level (less than 0: guest), id, vector
+        self.done = 0
+
+    def add(self, row: tuple[int, int, bytes, bytes]) -> Iterator[pa.RecordBatch]:
+        """Take a row; gives what is found when enough are held."""
+        self.rows.append(row)
+        if len(self.rows) >= HELD:
+            yield from self._search(HELD * 3 // 4)
+            self.done = HELD // 4
+            del self.rows[: HELD // 2]
+
+    def close(self) -> Iterator[pa.RecordBatch]:
         """The range ends."""
-        if self.ids:
-            self._block()
-        self._emit()
-        self.before, self.before_found, self.last, self.run = None, [], b"", []
+        if self.rows:
+            yield from self._search(len(self.rows))
+        self.rows, self.done = [], 0
+
+    def _search(self, end: int) -> Iterator[pa.RecordBatch]:
+        strings, levels, ids, packed = zip(*self.rows, strict=True)
+        s, level, packed = np.array(strings, dtype=np.int64), np.array(levels, dtype=np.int64), _vectors(packed)
+        names = np.array(ids, dtype=object)
+        home = level >= 0
+        place = np.where(home, np.cumsum(home) - 1, -1)  # of a row among the candidates
+        tails = self.forest.tails(np.where(home, level, -1 - level))
+        at = s[home]
+        low, high = np.searchsorted(at, s & ~tails, "left"), np.searchsorted(at, s | tails, "right")
+        order = np.argsort(names[home], kind="stable")
+        code = np.empty(len(order), dtype=np.int64)
+        code[order] = np.arange(len(order))  # ids as numbers of the same order
+        candidates, sorted_names = packed[home], names[home][order]
+        for a in range(self.done, end, BLOCK):
+            part = slice(a, min(a + BLOCK, end))
+            best = _Best(_floats(packed[part]), self.k, self.least)
+            for lo in range(int(low[part].min()), int(high[part].max()), STEP):
+                some = slice(lo, min(lo + STEP, int(high[part].max())))
+                own = place[part] - lo
+                best.add(code[some], _floats(candidates[some]), np.where((place[part] >= 0) & (own >= 0) & (own < some.stop - lo), own, -1))
+            i, who, score = best.hits()
+            if len(i):
+                yield _hits(names[part][i], sorted_names[who], score)
 
 
 def _short(key: Column) -> Column:
@@ -213,53 +254,77 @@ def _long(key: Column) -> Column:
     return F.when(F.substring(key, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "utf-8"))
 
 
+_FOUND = "id binary, other binary, cosine float"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """(id, other, cosine, rank): the k best of each id."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    near = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.select(_long(F.col("id")).alias("id"), _long(F.col("other")).alias("other"), "cosine", "rank")
+
+
 def neighbours(vectors: DataFrame, forest: Forest, k: int = K, least: float = MIN_COSINE) -> DataFrame:
-    """(id, other, cosine, rank): up to k most similar others with at least the cosine `least`."""
-    parts = forest.trees * forest.ranges
+    """(id, other, cosine, rank): up to k most similar others with at least the cosine `least`, by the forest."""
+    shared = vectors.sparkSession.sparkContext.broadcast(forest)  # the sample's strings: SAMPLE x TREES numbers
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _floats(np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<i2").reshape(b.num_rows, -1))
-            for t, h in enumerate(forest.strings(x).T):
-                part = t * forest.ranges + np.searchsorted(forest.borders[t], h, side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h), b.column(0), b.column(1)], names=["part", "string", "id", "vector"])
+            h = forest.strings(_floats(_vectors(b.column(1).to_pylist())))
+            level = forest.levels(h)
+            tails = forest.tails(level)
+            for t, s in enumerate(h.T):
+                home, first, last = (np.searchsorted(forest.borders[t], x, side="right") for x in (s, s & ~tails, s | tails))
+                for r in range(int(first.min()), int(last.max()) + 1):
+                    rows = np.flatnonzero((first <= r) & (r <= last))
+                    if len(rows):
+                        at = pa.array(rows)
+                        kind = np.where(home[rows] == r, level[rows], -1 - level[rows]).astype(np.int8)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t * forest.ranges + r, dtype=np.int32)), pa.array(s[rows]), pa.array(kind), b.column(0).take(at), b.column(1).take(at)], names=["part", "string", "level", "id", "vector"])
+
+    rows = vectors.select(_short(F.col("id")).alias("id"), "vector").mapInArrow(strings, "part int, string bigint, level tinyint, id binary, vector binary")
+    rows = rows.repartitionById(forest.trees * forest.ranges, F.col("part")).sortWithinPartitions("part", "string", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, part = _Range(shared.value, k, least), None
+        for b in batches:
+            for p, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != part:
+                    yield from window.close()
+                    part = p
+                yield from window.add(row)
+        yield from window.close()
 
-    rows = vectors.select(_short(F.col("id")).alias("id"), "vector").mapInArrow(strings, "part int, string bigint, id binary, vector binary")
-    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "string", "vector", "id")
+    found = rows.mapInArrow(search, _FOUND)
+    return _ranked(found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")), k)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, part = _Window(k, least), None
 
-        def batch() -> pa.RecordBatch:
-            out, window.out = window.out, []
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.float32())], names=["id", "other", "cosine"])
+def without_copies(vectors: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame | None]:
+    """(vectors with at most k + 1 of each group of equal ones, neighbours of the others): (id, other, cosine, rank).
 
-        for b in batches:
-            for p, key, vector in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if p != part:
-                    window.close()
-                    part = p
-                window.add(key, vector)
-            if len(window.out) > 10_000:
-                yield batch()
-        window.close()
-        if window.out:
-            yield batch()
-
-    found = rows.select("part", "id", "vector").mapInArrow(compare, "id binary, other binary, cosine float")
-    best = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    near = best.withColumn("rank", rank).where(F.col("rank") <= k)
-    return near.select(_long(F.col("id")).alias("id"), _long(F.col("other")).alias("other"), "cosine", "rank")
+    The first of a group by id are the nearest of all its others. Keys of 96 bits travel, counted before the exchange; the
+    first of a hot group are chosen before it, too. None where no group is that large."""
+    keyed = vectors.select("id", F.xxhash64("vector").alias("k1"), F.hash("vector", F.lit(1)).alias("k2"))
+    large = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("k1", "k2")
+    large = cut_lineage(large)
+    if large.isEmpty():
+        return vectors, None
+    members = cut_lineage(keyed.join(large, ["k1", "k2"]))
+    rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
+    first = cut_lineage(members.withColumn("rank", rank).where(F.col("rank") <= k + 1))
+    rest = members.join(first.select("id"), "id", "left_anti")
+    near = rest.join(first.where(F.col("rank") <= k).select("k1", "k2", F.col("id").alias("other"), "rank"), ["k1", "k2"])
+    return vectors.join(rest.select("id"), "id", "left_anti"), near.select("id", "other", F.lit(1.0).cast("float").alias("cosine"), "rank")
 
 
 def with_dense(vectors: DataFrame, near: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
     """`near` of the forest, made exact for the members of dense groups.
 
-    A window is too small for a vector that finds k others over `least` in it: better ones may stand outside. Unless
-    the k-th already is a copy, which none can exceed, it is compared with all vectors."""
+    Better ones than the k it found over `least` may stand outside a run. Unless the k-th already is a copy, which none can
+    exceed, such a vector is compared with all."""
     near = cut_lineage(near)
     dense = near.where((F.col("rank") == k) & (F.col("cosine") < COPY)).select("id")
     asked = cut_lineage(vectors.join(dense, "id", "left_semi"))
@@ -274,152 +339,63 @@ def mutual_pairs(near: DataFrame) -> DataFrame:
     return both.where("n = 2").select("chunk_a", "chunk_b")
 
 
-def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least: float = -1.0) -> DataFrame:
-    """(id, other, cosine, rank) by brute force: the queries, QUERY_BLOCK at a time, against all vectors.
-
-    A task keeps the k best of each query over all it reads, so its memory is that of one block product."""
-    todo = queries.select("id", "vector").orderBy("id").toLocalIterator(prefetchPartitions=False)
-    parts, block = [], []
-
-    def against(block: list) -> DataFrame:
-        names = np.array([r[0] for r in block], dtype=object)
-        place = {n: i for i, n in enumerate(names)}
-        q = _floats(np.stack([np.frombuffer(r[1], dtype="<i2") for r in block]))
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = np.full((len(q), k), -2, dtype=np.float32)
-            who = np.full((len(q), k), None, dtype=object)
-            for b in batches:
-                ids = np.array(b.column(0).to_pylist(), dtype=object)
-                packed = b.column(1).to_pylist()
-                for i in range(0, len(ids), BLOCK):
-                    x = _floats(np.frombuffer(b"".join(packed[i : i + BLOCK]), dtype="<i2").reshape(len(packed[i : i + BLOCK]), -1))
-                    s = q @ x.T
-                    own = [(place[x], c) for c, x in enumerate(ids[i : i + BLOCK]) if x in place]
-                    if own:
-                        s[tuple(zip(*own, strict=True))] = -2
-                    top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                    both = np.hstack([best, np.take_along_axis(s, top, 1)])
-                    named = np.hstack([who, ids[i : i + BLOCK][top]])
-                    keep = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                    best, who = np.take_along_axis(both, keep, 1), np.take_along_axis(named, keep, 1)
-            rows, cols = np.nonzero(best >= max(least, -1.5))
-            yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.string()), pa.array(who[rows, cols], pa.string()), pa.array(best[rows, cols], pa.float32())], names=["id", "other", "cosine"])
-
-        return vectors.select("id", "vector").mapInArrow(compare, "id string, other string, cosine float")
-
-    for row in todo:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(against(block))
-            block = []
-    if block or not parts:
-        parts.append(against(block) if block else vectors.where("false").select("id", F.col("id").alias("other"), F.lit(0.0).cast("float").alias("cosine")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _packed(vectors: DataFrame, parts: int, name: str) -> DataFrame:
-    """Rows of up to PACK vectors, in the order of their ids within each of `parts` ranges of ids."""
-    rows = vectors.select(_short(F.col("id")).alias("id"), "vector").repartitionByRange(parts, "id").sortWithinPartitions("id")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packed = [], []
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids[:PACK]], pa.list_(pa.binary())), pa.array([b"".join(packed[:PACK])], pa.binary())], names=[f"{name}_ids", f"{name}_rows"])
-
-        for b in batches:
-            ids += b.column(0).to_pylist()
-            packed += b.column(1).to_pylist()
-            while len(ids) >= PACK:
-                yield row()
-                del ids[:PACK], packed[:PACK]
-        if ids:
-            yield row()
-
-    return rows.mapInArrow(pack, f"{name}_ids array<binary>, {name}_rows binary")
-
-
-class _Best:
-    """The k best of a block of queries over the blocks that pass, which come in the order of ids."""
-
-    def __init__(self, ids: list[bytes], x: np.ndarray, k: int, least: float) -> None:
-        self.ids, self.x, self.k, self.least = ids, x, k, least
-        self.place = {name: i for i, name in enumerate(ids)}
-        self.score = np.full((len(ids), k), -2, dtype=np.float32)
-        self.who = np.full((len(ids), k), None, dtype=object)
-
-    def add(self, ids: list[bytes], y: np.ndarray) -> None:
-        names = np.array(ids, dtype=object)
-        step = 64 if self.who[0, 0] is None else BLOCK  # the first few set the mark that others have to pass
-        at = 0
-        while at < len(ids):
-            self._add(names[at : at + step], y[at : at + step])
-            at, step = at + step, min(4 * step, BLOCK)
-
-    def _add(self, names: np.ndarray, y: np.ndarray) -> None:
-        s = self.x @ y.T
-        for c, name in enumerate(names):
-            if (i := self.place.get(name)) is not None:
-                s[i, c] = -2
-        mark = np.maximum(self.score[:, -1], np.nextafter(np.float32(max(self.least, -1.5)), np.float32(-2)))
-        i, j = np.divmod(np.flatnonzero(s > mark[:, None]), len(names))
-        if not len(i):
-            return
-        rows = np.unique(i)
-        # scores to 1e-6, so that equal vectors tie; what was there before has the smaller id and stays ahead
-        a = np.concatenate([np.repeat(rows, self.k), i])
-        score = np.concatenate([self.score[rows].ravel(), np.round(s[i, j], 6)])
-        who = np.concatenate([self.who[rows].ravel(), names[j]])
-        keep = _best(a, np.arange(len(a)), score, self.k)
-        self.score[rows], self.who[rows] = score[keep].reshape(-1, self.k), who[keep].reshape(-1, self.k)
-
-    def rows(self) -> pa.RecordBatch:
-        i, j = np.nonzero(self.score >= max(self.least, -1.5))
-        names = np.array(self.ids, dtype=object)
-        return pa.RecordBatch.from_arrays([pa.array(names[i], pa.binary()), pa.array(self.who[i, j], pa.binary()), pa.array(self.score[i, j], pa.float32())], names=["id", "other", "cosine"])
-
-
 def all_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, least: float = -1.0) -> DataFrame:
     """(id, other, cosine, rank): up to k most similar others of every query among all vectors, none left out.
 
-    Every block of queries meets every block of vectors, so the work grows as their product; nothing of it is in the
-    driver, and a task keeps one block of queries with its k best."""
-    n = queries.count()
-    met = _packed(queries, max(1, -(-n // PACK)), "q").crossJoin(_packed(vectors, PACK_RANGES, "v"))
+    Queries and vectors fall into groups of about GROUP by hash of their id; every two groups meet in one task, which
+    keeps the k best of its queries. The work grows as queries times vectors; nothing of it is in the driver."""
+    meeting = (queries.count() * vectors.count()) ** 0.5
+    groups = max(1, int(-(-meeting // GROUP)))
+    numbers = F.sequence(F.lit(0), F.lit(groups - 1))
+    group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    columns = _short(F.col("id")).alias("id"), F.col("vector").alias("packed")
+    asked = queries.select(*columns, group.alias("q"), F.explode(numbers).alias("v"))
+    given = vectors.select(*columns, F.explode(numbers).alias("q"), group.alias("v"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([_hits([], [], [])])
+        right = right.sort_by("id")
+        names, packed = np.array(right["id"].to_pylist(), dtype=object), _vectors(right["packed"].to_pylist())
+        ids, q = np.array(left["id"].to_pylist(), dtype=object), _vectors(left["packed"].to_pylist())
+        place = {name: n for n, name in enumerate(names)}
+        own, y, found = np.array([place.get(name, -1) for name in ids]), _floats(packed), []
+        for a in range(0, len(ids), BLOCK):
+            best = _Best(_floats(q[a : a + BLOCK]), k, least)
+            for lo in range(0, len(y), STEP):
+                at = own[a : a + BLOCK] - lo
+                best.add(np.arange(lo, min(lo + STEP, len(y))), y[lo : lo + STEP], np.where((at >= 0) & (at < STEP) & (own[a : a + BLOCK] >= 0), at, -1))
+            i, who, score = best.hits()
+            found.append(_hits(ids[a : a + BLOCK][i], names[who], score))
+        return pa.Table.from_batches(found)
+
+    return _ranked(asked.groupBy("q", "v").cogroup(given.groupBy("q", "v")).applyInArrow(compare, _FOUND), k)
+
+
+def recall(near: DataFrame, exact: DataFrame) -> DataFrame:
+    """(expected, found, recall): share of the exact neighbours that `near` holds."""
+    hit = exact.select("id", "other").join(near.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")
+    sums = hit.agg(F.count("*").alias("expected"), F.count("hit").alias("found"))
+    return sums.withColumn("recall", F.col("found") / F.nullif(F.col("expected"), F.lit(0)))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for b in batches:
-            for r in range(b.num_rows):
-                ids, q, names, v = (c[r].as_py() for c in b.columns)
-                if best is None or best.ids != ids:
-                    if best is not None:
-                        yield best.rows()
-                    best = _Best(ids, _floats(np.frombuffer(q, dtype="<i2").reshape(len(ids), -1)), k, least)
-                best.add(names, _floats(np.frombuffer(v, dtype="<i2").reshape(len(names), -1)))
-        if best is not None:
-            yield best.rows()
-
-    found = met.mapInArrow(compare, "id binary, other binary, cosine float")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    near = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return near.select(_long(F.col("id")).alias("id"), _long(F.col("other")).alias("other"), "cosine", "rank")
 
+def stored_vectors(embeddings: DataFrame) -> DataFrame:
+    """Current vectors, written to the shared folder."""
+    return cut_lineage(current_vectors(embeddings))
 
-def recall(vectors: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
-    """(expected, found, recall): share of the queries' exact neighbours that `near` holds."""
-    exact = exact_neighbours(vectors, queries, k, least).select("id", "other")
-    hit = exact.join(near.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")
-    sums = hit.agg(F.count("*").alias("expected"), F.count("hit").alias("found"))
-    return sums.withColumn("recall", F.col("found") / F.nullif(F.col("expected"), F.lit(0)))
 
+def forest_neighbours(vectors: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
+    """(id, other, cosine, rank) of every vector, copies included, by the forest; exact for members of dense groups."""
+    kept, copies = without_copies(vectors, k)
+    near = with_dense(kept, neighbours(kept, plant(kept), k, least), k, least)
+    return near if copies is None else near.unionByName(copies)
 
-def indexed(embeddings: DataFrame, trees: int = TREES) -> tuple[DataFrame, Forest]:
-    """Current vectors, written to the shared folder, and their forest."""
-    vectors = cut_lineage(current_vectors(embeddings))
-    return vectors, plant(vectors, trees)
+
+def exact_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, least: float = -1.0) -> DataFrame:
+    """(id, other, cosine, rank) of every query, or every vector, copies included, compared with all."""
+    kept, copies = without_copies(vectors, k)
+    asked = kept if queries is None else queries.join(kept.select("id"), "id", "left_semi") if copies is not None else queries
+    near = all_neighbours(kept, asked, k, least)
+    if copies is None:
+        return near
+    return near.unionByName(copies if queries is None else copies.join(queries.select("id"), "id", "left_semi"))

@@ -104,14 +104,12 @@ def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks that are each among the other's 5 most similar, with cosine at least 0.90."""
-    vectors, forest = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
-    return neighbours.mutual_pairs(neighbours.with_dense(vectors, neighbours.neighbours(vectors, forest)))
+    return neighbours.mutual_pairs(neighbours.forest_neighbours(neighbours.stored_vectors(table(spark, sf, "chunk_embeddings"))))
 
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 most similar other chunks of every chunk, however similar."""
-    vectors = cut_lineage(neighbours.current_vectors(table(spark, sf, "chunk_embeddings")))
-    return neighbours.all_neighbours(vectors, vectors)
+    return neighbours.exact_neighbours(neighbours.stored_vectors(table(spark, sf, "chunk_embeddings")))
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
@@ -120,17 +118,23 @@ def _asked(vectors: DataFrame) -> DataFrame:
 
 
 def p5_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The 5 most similar chunks, however similar, of the stated query set, against all rows in blocks."""
-    vectors, _ = neighbours.indexed(table(spark, sf, "chunk_embeddings"))
+    """The 5 most similar chunks, however similar, of the stated query set, against all rows."""
+    vectors = neighbours.stored_vectors(table(spark, sf, "chunk_embeddings"))
     return neighbours.exact_neighbours(vectors, _asked(vectors))
 
 
 def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall of `p5_neighbours`, without a cut by cosine, against brute force over the ids whose hash is divisible by 100.
-
-    The neighbours of an id don't depend on which other ids are asked for, so only those of these ids are made."""
-    vectors = cut_lineage(neighbours.current_vectors(table(spark, sf, "chunk_embeddings")))
-    return neighbours.recall(vectors, neighbours.all_neighbours(vectors, _asked(vectors)), _asked(vectors), least=-1.0)
+    """Recall of the forest against brute force over the ids whose hash is divisible by 100: of neighbours with cosine at
+    least 0.90, which is what `p5_found` asks it for, and of the 5 nearest however similar."""
+    vectors = neighbours.stored_vectors(table(spark, sf, "chunk_embeddings"))
+    found = []
+    for least in (neighbours.MIN_COSINE, -1.0):
+        kept, _ = neighbours.without_copies(vectors)
+        near = neighbours.neighbours(kept, neighbours.plant(kept), least=least)
+        asked = _asked(kept)
+        exact = neighbours.all_neighbours(kept, asked, least=least)
+        found.append(neighbours.recall(near.join(asked.select("id"), "id", "left_semi"), exact).withColumn("least", F.lit(least)))
+    return found[0].unionByName(found[1])
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
