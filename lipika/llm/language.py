@@ -5,7 +5,7 @@ language whose ranks are nearest to its own by out-of-place distance. Profiles a
 of labelled documents, cleaned once of documents that its own first profiles assign to another language.
 
 Lines get a first language from the distances of their words (each distinct word is measured once), neighbouring
-lines of one language join to a stretch, and a stretch of at least MIN_WORDS words is measured as a whole. The
+lines of one language join to a stretch, and every stretch is measured as a whole. The
 headword of a glossary line is a stretch of its own. A language written in two scripts has two profiles.
 
 Blank and null texts have no segments. A label names the code before its first `-` or `_`. Texts are read in
@@ -32,10 +32,10 @@ SAMPLE_DOCUMENTS, SAMPLE_CHARS = 2500, 20_000
 PROFILE, LONGEST, SCRIPT_SHARE = 400, 3, 0.12
 #: A second script's documents this near (as a ratio) to another language's profile are wrongly labelled.
 ALIKE = 1.2
-MIN_WORDS, WORD_CACHE = 6, 200_000
+WORD_CACHE = 200_000
 FOUND_SHARE = 0.20
 
-_HEADWORD = re.compile(r"^(\s*[^\s—–][^—–;.]{0,60}?) [—–] (?=[^;]*; )")
+_HEADWORD = re.compile(r"^(\s*[^\s—–][^—–;.]*?) [—–] (?=[^;]*; )")
 _EDGE = re.compile(r"^[^\wऀ-෿]+|[^\wऀ-෿]+$")
 _INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2070), 0xFEFF])
 
@@ -172,10 +172,8 @@ class Profiles:
                 members.append([k])
         for row, ks in zip(out, members, strict=True):
             words = [i for k in ks for i in indices[k] if i]
-            if len(words) >= MIN_WORDS:
+            if words:
                 row[2], row[3] = self.nearest(self.distance(np.array(words)))
-            elif words:
-                row[2], row[3] = self.nearest(far[ks].sum(axis=0))
         return [row[:5] for row in out]
 
 
