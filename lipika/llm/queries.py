@@ -24,6 +24,11 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("item_kind", F.lit("document")).unionByName(chunks.withColumn("item_kind", F.lit("chunk")))
 
 
+def p1_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the pieces end: kinds of cuts, and the depth of the valleys at them beside that of their windows."""
+    return splitting.cut_quality(p1_pieces(spark, sf), "item_kind")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Items that had to be split, and the verses the pieces of verse chunks hold."""
     docs = splitting.split_items(table(spark, sf, "documents", "doc_id", "text"), splitting.DOCUMENT_LIMIT, 200, "doc_id")
@@ -104,12 +109,12 @@ def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks that are each among the other's 5 most similar, with cosine at least 0.90."""
-    return neighbours.mutual_pairs(neighbours.forest_neighbours(neighbours.stored_vectors(table(spark, sf, "chunk_embeddings"))))
+    return neighbours.mutual_pairs(neighbours.forest_neighbours(neighbours.current_vectors(table(spark, sf, "chunk_embeddings"))))
 
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 most similar other chunks of every chunk, however similar."""
-    return neighbours.exact_neighbours(neighbours.stored_vectors(table(spark, sf, "chunk_embeddings")))
+    return neighbours.exact_neighbours(neighbours.current_vectors(table(spark, sf, "chunk_embeddings")))
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
@@ -119,14 +124,14 @@ def _asked(vectors: DataFrame) -> DataFrame:
 
 def p5_search(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 most similar chunks, however similar, of the stated query set, against all rows."""
-    vectors = neighbours.stored_vectors(table(spark, sf, "chunk_embeddings"))
+    vectors = neighbours.current_vectors(table(spark, sf, "chunk_embeddings"))
     return neighbours.exact_neighbours(vectors, _asked(vectors))
 
 
 def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of the forest against brute force over the ids whose hash is divisible by 100: of neighbours with cosine at
     least 0.90, which is what `p5_found` asks it for, and of the 5 nearest however similar."""
-    vectors = neighbours.stored_vectors(table(spark, sf, "chunk_embeddings"))
+    vectors = neighbours.current_vectors(table(spark, sf, "chunk_embeddings"))
     found = []
     for least in (neighbours.MIN_COSINE, -1.0):
         kept, _ = neighbours.without_copies(vectors)
@@ -219,4 +224,4 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_budget, p3_found, p3_classes, p3_canonical, p4_found, p4_incremental, p4_cleaned, p5_found, p5_neighbours, p5_search, p5_recall, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_cuts, p2_budget, p3_found, p3_classes, p3_canonical, p4_found, p4_incremental, p4_cleaned, p5_found, p5_neighbours, p5_search, p5_recall, p6_found, p6_documents, p6_segments, p7_found, p7_repaired, p8_found, p8_pack, p8_usage, p9_found, p9_mix, p9_shares, p10_found, p10_rates)}

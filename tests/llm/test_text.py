@@ -217,6 +217,32 @@ def test_word_cuts_fall_into_the_valley():
     assert t[: splitting.split_text(t, 800, 0)[0][1]].endswith("stone. ")
 
 
+def test_prose_on_one_line_ends_at_sentences():
+    rng = random.Random(4)
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    text = " ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(6, 18))).capitalize() + rng.choice([".", "?", ".”"]) for _ in range(200))
+    cuts = splitting.cut_text(text, 800, 100)
+    assert len(cuts) > 20 and {c[2] for c in cuts[:-1]} == {"sentence"} and cuts[-1][2] == "end"
+    assert all(text[: c[1]].rstrip()[-1] in ".?”" for c in cuts[:-1])
+
+
+def test_a_deep_valley_goes_before_a_line_end():
+    old, new = "river stone water bank ", "planet star comet moon "
+    t = old * 25 + "river stone. " + new * 4 + "\n" + new * 40
+    assert t[: splitting.split_text(t, 800, 0)[0][1]].endswith("stone. ")
+    t = "\n".join(["river stone water bank"] * 60)
+    assert {c[2] for c in splitting.cut_text(t, 800, 0)[:-1]} == {"line"}
+
+
+def test_valleys_are_deeper_at_cuts(spark):
+    rng = random.Random(9)
+    topics = [[f"{w}{chr(97 + k)}" for k in range(12)] for w in "pqrstuvw"]
+    text = "\n".join(" ".join(rng.choice(t) for _ in range(9)) + "." for t in topics for _ in range(9))
+    df = spark.createDataFrame([("x", text)], "doc_id string, text string").withColumn("depth", F.lit(0))
+    row = splitting.cut_quality(splitting.split_items(df, 800, 0, "doc_id").withColumn("item_kind", F.lit("document")), "item_kind").first()
+    assert row.cut == "line" and row.depth > 2 * row.typical
+
+
 @pytest.mark.parametrize("style", ["[{n}] text of it goes on", "{n}. text of it goes on", "8.{n} text of it goes on", "पाठः सत्यम् धर्मः ॥{n}॥", "pāṭhaḥ satyam // 3.{n} //", "पाठः सत्यम् धर्मः ।।3.{n}।।"])
 def test_verses_in_pieces(spark, style):
     text = "\n".join(style.format(n=n) + (" word" * 12 + " (see 12.5)\n827 wanderers" if "text" in style else "") for n in range(5, 60) if n != 30)
