@@ -36,6 +36,8 @@ TREES, BITS, SAMPLE, RANGE_ROWS = 4, 62, 20_000, 65_536
 CANDIDATES = 16_384
 #: Queries and vectors compared at a time; rows of a range held at a time; vectors of a group of `all_neighbours`.
 BLOCK, STEP, HELD, GROUP = 256, 2_048, 262_144, 98_304
+#: Most ids or keys that are broadcast; about 4 MB.
+BROADCAST = 100_000
 _SCALE = 32_000.0
 #: Cosine from which two vectors are copies; floats leave them this far from 1.
 COPY = 1 - 1e-6
@@ -76,7 +78,9 @@ def _binary(x: np.ndarray, width: int) -> pa.Array:
 
 
 def current_vectors(embeddings: DataFrame, model: str = MODEL, size: int = DIMENSIONS) -> DataFrame:
-    """(id, vector): the current usable vector of each chunk as packed 16-bit integers."""
+    """(id, vector): the current usable vector of each chunk as packed 16-bit integers, written to the shared folder.
+
+    Only the vectors of ids with several rows are shuffled to find the latest; the others stay where they were read."""
     rows = embeddings.where((F.col("model_name") == model) & F.col("embedding").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "created_at", F.col("embedding").cast("array<float>"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +90,16 @@ def current_vectors(embeddings: DataFrame, model: str = MODEL, size: int = DIMEN
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _binary(_unit16(x), 2 * size)], names=["id", "created_at", "vector"])
 
-    packed = rows.mapInArrow(pack, "id string, created_at timestamp, vector binary")
-    return packed.groupBy("id").agg(F.max(F.struct("created_at", "vector"))["vector"].alias("vector"))
+    packed = cut_lineage(rows.mapInArrow(pack, "id string, created_at timestamp, vector binary"))
+    several = _checked(packed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    latest = packed.join(several, "id", "left_semi").groupBy("id").agg(F.max(F.struct("created_at", "vector"))["vector"].alias("vector"))
+    return packed.join(several, "id", "left_anti").select("id", "vector").unionByName(cut_lineage(latest))
+
+
+def _checked(keys: DataFrame) -> DataFrame:
+    """Keys, written; to be broadcast in joins if there are at most BROADCAST of them, else to be shuffled."""
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
 
 
 class Forest:
@@ -164,16 +176,17 @@ class _Best:
         here = np.flatnonzero(own >= 0)
         s[here, own[here]] = -2
         mark = np.maximum(self.score[:, -1] - np.float32(1e-6), self.least)
-        if (s >= mark[:, None]).sum() > 4 * self.k * len(s):  # many at once: the best of them suffice
+        good = s >= mark[:, None]
+        if not (many := np.count_nonzero(good)):
+            return
+        if many > 4 * self.k * len(s):  # many at once: the best of them suffice
             most = min(2 * self.k, s.shape[1])
             j = np.argpartition(-s, most - 1, axis=1)[:, :most]
             i, j = np.repeat(np.arange(len(s)), most), j.ravel()
             keep = s[i, j] >= mark[i]
             i, j = i[keep], j[keep]
         else:
-            i, j = np.nonzero(s >= mark[:, None])
-        if not len(i):
-            return
+            i, j = np.divmod(np.flatnonzero(good), s.shape[1])
         rows = np.unique(i)
         a = np.concatenate([np.repeat(rows, self.k), i])
         score = np.concatenate([self.score[rows].ravel(), np.round(s[i, j], 6)])
@@ -312,12 +325,12 @@ def without_copies(vectors: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame
     large = cut_lineage(large)
     if large.isEmpty():
         return vectors, None
-    members = cut_lineage(keyed.join(large, ["k1", "k2"]))
+    members = cut_lineage(keyed.join(_checked(large), ["k1", "k2"]))
     rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
     first = cut_lineage(members.withColumn("rank", rank).where(F.col("rank") <= k + 1))
     rest = members.join(first.select("id"), "id", "left_anti")
     near = rest.join(first.where(F.col("rank") <= k).select("k1", "k2", F.col("id").alias("other"), "rank"), ["k1", "k2"])
-    return vectors.join(rest.select("id"), "id", "left_anti"), near.select("id", "other", F.lit(1.0).cast("float").alias("cosine"), "rank")
+    return vectors.join(_checked(rest.select("id")), "id", "left_anti"), near.select("id", "other", F.lit(1.0).cast("float").alias("cosine"), "rank")
 
 
 def with_dense(vectors: DataFrame, near: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
@@ -326,11 +339,12 @@ def with_dense(vectors: DataFrame, near: DataFrame, k: int = K, least: float = M
     Better ones than the k it found over `least` may stand outside a run. Unless the k-th already is a copy, which none can
     exceed, such a vector is compared with all."""
     near = cut_lineage(near)
-    dense = near.where((F.col("rank") == k) & (F.col("cosine") < COPY)).select("id")
-    asked = cut_lineage(vectors.join(dense, "id", "left_semi"))
-    if asked.isEmpty():
+    dense = cut_lineage(near.where((F.col("rank") == k) & (F.col("cosine") < COPY)).select("id"))
+    if dense.isEmpty():
         return near
-    return near.join(asked.select("id"), "id", "left_anti").unionByName(all_neighbours(vectors, asked, k, least))
+    dense = _checked(dense)
+    asked = cut_lineage(vectors.join(dense, "id", "left_semi"))
+    return near.join(dense, "id", "left_anti").unionByName(all_neighbours(vectors, asked, k, least))
 
 
 def mutual_pairs(near: DataFrame) -> DataFrame:
@@ -379,11 +393,6 @@ def recall(near: DataFrame, exact: DataFrame) -> DataFrame:
     return sums.withColumn("recall", F.col("found") / F.nullif(F.col("expected"), F.lit(0)))
 
 
-def stored_vectors(embeddings: DataFrame) -> DataFrame:
-    """Current vectors, written to the shared folder."""
-    return cut_lineage(current_vectors(embeddings))
-
-
 def forest_neighbours(vectors: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
     """(id, other, cosine, rank) of every vector, copies included, by the forest; exact for members of dense groups."""
     kept, copies = without_copies(vectors, k)

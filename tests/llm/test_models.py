@@ -23,7 +23,7 @@ def _vectors(spark, n=3000, copies=0):
 
 def test_forest_recall(spark):
     df = _vectors(spark)
-    vectors = neighbours.stored_vectors(df)
+    vectors = neighbours.current_vectors(df)
     assert vectors.count() == 3300
     near = neighbours.neighbours(vectors, neighbours.plant(vectors, candidates=2_000))
     r = neighbours.recall(near, neighbours.all_neighbours(vectors, vectors, least=0.9)).first()
@@ -45,7 +45,7 @@ def test_levels_are_those_of_the_runs():
 
 def test_runs_cross_the_borders_of_ranges(spark, monkeypatch):
     """With ranges of a few rows every run crosses borders; still every vector finds what its runs hold, or better."""
-    vectors = neighbours.stored_vectors(_vectors(spark, 1000))
+    vectors = neighbours.current_vectors(_vectors(spark, 1000))
     monkeypatch.setattr(neighbours, "RANGE_ROWS", 120)
     forest = neighbours.plant(vectors, candidates=400)
     assert forest.ranges == 10
@@ -63,7 +63,7 @@ def test_runs_cross_the_borders_of_ranges(spark, monkeypatch):
 
 def test_forest_with_many_copies(spark):
     """A third of all rows are one vector: everyone still gets neighbours, and no task holds the pairs."""
-    vectors = neighbours.stored_vectors(_vectors(spark, 2000, copies=1200))
+    vectors = neighbours.current_vectors(_vectors(spark, 2000, copies=1200))
     kept, copies = neighbours.without_copies(vectors)
     assert kept.count() == 2200 - 1 + 6 and copies.select("id").distinct().count() == 1201 - 6
     of_copies = neighbours.forest_neighbours(vectors).where("cosine > 0.9999").groupBy("id").count().collect()
@@ -72,13 +72,13 @@ def test_forest_with_many_copies(spark):
 
 
 def test_forest_of_nothing(spark):
-    vectors = neighbours.stored_vectors(_vectors(spark, 100).where("false"))
+    vectors = neighbours.current_vectors(_vectors(spark, 100).where("false"))
     assert neighbours.forest_neighbours(vectors).count() == 0 and neighbours.exact_neighbours(vectors).count() == 0
     assert neighbours.recall(neighbours.forest_neighbours(vectors), neighbours.exact_neighbours(vectors)).first().expected == 0
 
 
 def test_every_chunk_gets_k(spark):
-    vectors = neighbours.stored_vectors(_vectors(spark, 300))
+    vectors = neighbours.current_vectors(_vectors(spark, 300))
     counts = neighbours.neighbours(vectors, neighbours.plant(vectors), least=-1.0).groupBy("id").count().collect()
     assert len(counts) == 330 and all(r["count"] == 5 for r in counts)
 
