@@ -59,13 +59,15 @@ def _ranges(points: list[int]) -> str:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
+def _tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
+    """(what a code point folds to; patterns of code points of the first plane that may change, of unstable segments in the
+    first plane, and in all). A class that reaches beyond the first plane is searched much more slowly."""
     fold: dict[int, str | None] = {p: None for a, b in INVISIBLE for p in range(a, b + 1)}
     fold |= dict.fromkeys(map(ord, HYPHENS), "-")
     fold |= {ord(c): "".join(chr(int(x, 16)) for x in unicodedata.decomposition(c).split()[1:]) for c in LIGATURES}
     unstable, marks = set(fold), []
     for p in range(0x80, sys.maxunicode + 1):
-        if 0xAC00 <= p <= 0xD7A3 or 0xD800 <= p <= 0xDFFF or 0x3400 <= p <= 0x9FFF or p >= 0x20000 and p < 0xE0000:
+        if 0xAC00 <= p <= 0xD7A3 or 0xD800 <= p <= 0xDFFF or 0x3400 <= p <= 0x9FFF or 0x20000 <= p < 0xE0000 and not 0x2F800 <= p < 0x2FA20:
             continue
         c = chr(p)
         category = unicodedata.category(c)
@@ -88,9 +90,13 @@ def _tables() -> tuple[dict[int, str | None], re.Pattern[str], re.Pattern[str]]:
         if unicodedata.combining(c):
             marks.append(p)
     unstable |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals
-    u, m = _ranges(sorted(unstable)), _ranges(marks)
     folding = sorted({p for p in unstable if unicodedata.is_normalized("NFC", chr(p)) and unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(p)).translate(fold)) != chr(p)} | set(fold))
-    return fold, re.compile(f"[{_ranges(folding)}]"), re.compile(f"[^{u}\\n]?[{u}][{u}{m}]*|[^\\n][{m}]{{2,}}")
+
+    def segments(last: int) -> re.Pattern[str]:
+        u, m = (_ranges(sorted(p for p in points if p <= last)) for points in (unstable, marks))
+        return re.compile(f"[^{u}\\n]?[{u}][{u}{m}]*|[^\\n][{m}]{{2,}}")
+
+    return fold, re.compile(f"[{_ranges([p for p in folding if p < 0x10000])}\u200c\u200d{''.join(BLOCKS.values())}]"), segments(0xFFFF), segments(sys.maxunicode)
 
 
 @lru_cache(maxsize=1)
@@ -106,6 +112,7 @@ _LATIN = {ord(a): b for letters, latin in LOOKALIKES.values() for a, b in zip(le
 #: From Latin back to each script, the first letter of a shape.
 _BACK = {script: {b: a for a, b in reversed(list(zip(letters, latin, strict=True)))} for script, (letters, latin) in LOOKALIKES.items()}
 _OTHER = re.compile(f"[{''.join(BLOCKS.values())}]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _OWN = {script: re.compile(f"(?![{LOOKALIKES[script][0]}])[{block}]") for script, block in BLOCKS.items()}
 _WORD = re.compile(f"(?:[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ{''.join(BLOCKS.values())}][\u0300-\u036f\u0483-\u0487]*)+")
 
@@ -153,12 +160,16 @@ def canonical_text(text: str | None) -> str | None:
     """The one form of `text`."""
     if text is None or text.isascii():
         return text
-    fold, folding, segments = _tables()
-    if folding.search(text) or not unicodedata.is_normalized("NFC", text):
-        text = segments.sub(lambda s: unicodedata.normalize("NFC", unicodedata.normalize("NFD", s[0]).translate(fold)), text)
-    if "\u200c" in text or "\u200d" in text:
+    fold, changing, segments, everywhere = _tables()
+    may_change = changing.search(text)
+    if _BEYOND.search(text):
+        may_change, segments = True, everywhere
+    if not may_change and unicodedata.is_normalized("NFC", text):
+        return text
+    text = segments.sub(lambda s: unicodedata.normalize("NFC", unicodedata.normalize("NFD", s[0]).translate(fold)), text)
+    if may_change and ("\u200c" in text or "\u200d" in text):
         text = segments.sub(lambda s: unicodedata.normalize("NFC", s[0]), _joiners().sub(lambda m: m[1] or "", text))
-    return _fold_letters(text) if _OTHER.search(text) else text
+    return _fold_letters(text) if may_change and _OTHER.search(text) else text
 
 
 @F.pandas_udf(StringType())
