@@ -18,7 +18,8 @@ from lipika.tables import table
 class Engine:
     """Queries over `<folder>/documents.parquet` and `<folder>/index.parquet`.
 
-    The index holds chunk columns, tokens and embedding in the same row, so they can't fall apart."""
+    The index holds chunk columns and embedding in the same row, so they can't fall apart; postings by term and their
+    statistics stand beside it."""
 
     spark: SparkSession
     folder: str
@@ -40,9 +41,10 @@ class Engine:
         """Chunk, tokenise and embed the corpus; replaces the index and returns its rows."""
         if not 100 <= size <= 4000 or not 0 <= overlap < size:
             raise ValueError("chunk size must be within 100..4000 and the overlap below it")
-        chunks = lexical.with_tokens(chunking.chunk_documents(self.documents(), size, overlap))
+        chunks = chunking.chunk_documents(self.documents(), size, overlap)
         chunks = chunks.withColumn("ord", F.col("doc_id") * 100_000 + F.col("chunk_index")).withColumn("embedding", vectors.embed_col(F.col("text"), self.embedder))
         corpus.rewrite(chunks, f"{self.folder}/index.parquet")
+        lexical.write_postings(self.index(), f"{self.folder}/lexical")
         return self.index().count()
 
     def dedupe(self) -> DataFrame:
@@ -66,7 +68,9 @@ class Engine:
         first = F.row_number().over(Window.partitionBy("chunk_id").orderBy("query_id", "rank"))
         dense = batch.withColumn("n", first).where("n = 1")
         dense = dense.withColumn("rank", F.row_number().over(Window.orderBy("query_id", "rank"))).select("chunk_id", F.round("score", 4).alias("score"), "rank")  # 3 x 36 rows at most
-        return hybrid.search(index, dense, query, top_k)
+        # the statistics of stored postings are those of the whole index
+        scores = None if tradition or language else lexical.bm25_stored(self.spark, f"{self.folder}/lexical", lexical.query_terms(self.spark, {"q": query}))
+        return hybrid.search(index, dense, query, top_k, scores=scores)
 
     def ask(self, query: str, top_k: int = 8) -> dict:
         """Extractive answer with its citations."""

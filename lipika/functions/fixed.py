@@ -132,3 +132,10 @@ VERSE_PHRASES = {
 }
 # Hymns in each of the ten books of the Rigveda.
 HYMNS_PER_BOOK = (191, 43, 62, 58, 87, 75, 104, 103, 114, 191)
+
+# The public collections that structured payloads come from; titles, addresses and credits of their records.
+COLLECTION_URL = "https://github.com/bhavykhatri/DharmicData"
+SHEET_URL = "https://github.com/VedaWebProject/vedaweb-data/blob/main/rigveda/versions/zurich.xlsx"
+COLLECTION_ATTRIBUTION = "Contains information from DharmicData (https://github.com/bhavykhatri/DharmicData), available under the Open Database License (ODbL). Sanskrit slokas/mantras only; modern commentaries and translations omitted."
+COLLECTION_SANSKRIT, COLLECTION_GRIFFITH, COLLECTION_HEADING, SAMHITA = "Sanskrit, DharmicData", "Griffith, DharmicData", "Sanskrit (DharmicData)", "vajasaneyi-madhyandina"
+PAYLOAD_TITLES = {"bhagavad-gita": "Bhagavad-gītā ", "rigveda": "Rigveda RV ", "yajurveda": "Yajurveda VS ", "atharvaveda": "Atharvaveda AV ", "samaveda": "Sāmaveda SV "}

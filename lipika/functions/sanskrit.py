@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lipika.functions import fixed
+from lipika.functions.text import meta_line
 
 _UNITS = re.compile(f"([{''.join(fixed.CONSONANTS)}])([{fixed.VIRAMA}{''.join(fixed.VOWEL_SIGNS)}{''.join(fixed.SIGNS)}])?|[ऀ-ॿ]")
 _PLAIN = fixed.VOWELS | fixed.VOWEL_SIGNS | fixed.SIGNS | {fixed.VIRAMA: ""}
@@ -125,13 +126,17 @@ def spellings_col(c: Column) -> Column:
     return _mapped(lambda t: spellings(t or ""), ArrayType(StringType()))(c)
 
 
+def chunk_tokens(meta: str | None, text: str | None) -> list[str]:
+    """Tokens of a chunk: its metadata line, that in ASCII, its text; so metadata counts twice."""
+    return tokenize(f"{meta}\n{to_ascii(meta)}\n{text or ''}" if meta else text)
+
+
 def chunk_tokens_col(title: Column, work: Column, locator: Column, heading: Column, text: Column) -> Column:
-    """Tokens of a chunk: metadata, metadata in ASCII, text; metadata counts twice."""
+    """Column form of `chunk_tokens`."""
 
     @F.pandas_udf(StringType())
     def column(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for meta, body in batches:
-            yield pd.Series([" ".join(tokenize(f"{m}\n{to_ascii(m)}\n{t or ''}" if m else t)) for m, t in zip(meta, body, strict=True)], dtype=object)
+            yield pd.Series([" ".join(chunk_tokens(m, t)) for m, t in zip(meta, body, strict=True)], dtype=object)
 
-    parts = F.array_compact(F.array(*(F.nullif(x, F.lit("")) for x in (title, work, locator, heading))))
-    return _split(column(F.trim(F.array_join(parts, " ")), text))
+    return _split(column(meta_line(title, work, locator, heading), text))

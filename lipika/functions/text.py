@@ -128,9 +128,25 @@ def metadata_blob(*parts: Column) -> Column:
     return F.concat_ws(" ", *(F.coalesce(p, F.lit("")) for p in parts))
 
 
+def meta_line(*parts: Column) -> Column:
+    """The parts that are neither null nor '' joined by single spaces."""
+    return F.trim(F.array_join(F.array_compact(F.array(*(F.nullif(x, F.lit("")) for x in parts))), " "))
+
+
 def vector_literal(v: Column) -> Column:
-    """`[x.xxxxxxxx,...]` with eight decimals; null for null."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    """`[x.xxxxxxxx,...]` with eight decimals, exact halves to the even digit; null for null.
+
+    Exact halves end in 5 in the ninth place and hold nothing beyond it; `format_string` takes those up."""
+
+    def literal(x: Column) -> Column:
+        d = x.cast("double")
+        text = F.format_string("%.8f", d)
+        scaled = F.abs(d) * F.lit(1e9)
+        half = (scaled == F.floor(scaled)) & (F.pmod(F.floor(scaled), F.lit(10)) == 5) & (F.pmod(F.floor(scaled / 10), F.lit(2)) == 0)
+        down = F.format_string("%.8f", F.signum(d) * (F.abs(d) - F.lit(2e-9)))
+        return F.when(half & (F.abs(d) < 1e6), down).otherwise(text)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(v, literal), ","), F.lit("]"))
 
 
 def slices(text: Column, size: int = 48) -> Column:

@@ -55,28 +55,24 @@ def window_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataF
     return docs.select("doc_id", "text").mapInArrow(cut, schema).withColumn("char_count", F.length("text"))
 
 
-def unit_chunks(docs: DataFrame, size: int = 800, most: int = 2) -> DataFrame:
-    """Chunks of documents that have verse units: text `[locator] text` joined by blank lines, with structural columns."""
+def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 120, most: int = 2) -> DataFrame:
+    """Chunks of every document: verse units where a structure is recognised, as `[locator] text` joined by blank lines and
+    with structural columns; character windows elsewhere. One pass: a text is parsed once and its row carries the parent's
+    columns along.
+
+    `docs` needs doc_id, id, text, title, source_url, tradition, language, license, work, book, hymn."""
     from lipika.functions import refs
 
-    rows = parse_groups(docs, size, most)
+    columns = ("doc_id", "id", "text", *PARENT, "work", "book", "hymn")
+    rows = parse_groups(docs.select(*columns), size, most, lambda text: pieces(text, size, overlap))
     first, last = F.element_at("g", 1), F.element_at("g", -1)
-    text = F.array_join(F.transform("g", lambda u: F.concat(F.lit("["), u["locator"], F.lit("] "), u["text"])), "\n\n")
+    structured = first["work"].isNotNull()
+    joined = F.array_join(F.transform("g", lambda u: F.concat(F.lit("["), u["locator"], F.lit("] "), u["text"])), "\n\n")
+    text = F.when(structured, joined).otherwise(first["text"])
     end = F.coalesce(last["verse"], first["verse"])
-    return rows.select(
-        "doc_id", "chunk_index", text.alias("text"), F.length(text).alias("char_count"), *(first[c].alias(c) for c in ("work", "book", "hymn", "verse", "verse_id", "heading")), end.alias("verse_end"),
-        refs.locator(first["work"], first["book"], first["hymn"], first["verse"], end).alias("locator"),
+    locator = F.when(structured, refs.locator(first["work"], first["book"], first["hymn"], first["verse"], end))
+    rows = rows.select(
+        "doc_id", "id", *PARENT, "chunk_index", text.alias("text"), *(first[c].alias(c) for c in ("work", "book", "hymn", "verse")), F.when(structured, first["verse_id"]).alias("verse_id"), first["heading"].alias("heading"),
+        end.alias("verse_end"), locator.alias("locator"),
     )
-
-
-def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
-    """Chunks of every document: verse units where a structure is recognised, character windows elsewhere.
-
-    `docs` needs doc_id, id, text, title, source_url, tradition, language, license, work, book, hymn."""
-    units = unit_chunks(docs, size)
-    plain = window_chunks(docs.join(units.select("doc_id").distinct(), "doc_id", "left_anti"), size, overlap)
-    both = units.unionByName(plain, allowMissingColumns=True)
-    both = both.join(docs.select("doc_id", "id", *PARENT), "doc_id")
-    return both.withColumn("chunk_id", chunk_id(F.col("id"), F.col("chunk_index"), F.col("text"))).drop("id")
-
-
+    return rows.withColumn("char_count", F.length("text")).withColumn("chunk_id", chunk_id(F.col("id"), F.col("chunk_index"), F.col("text"))).drop("id")

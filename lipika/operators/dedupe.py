@@ -16,13 +16,57 @@ SAMPLE_WORKS = (
 )
 
 
-def greedy(records: DataFrame, order: str, keys: tuple[str, str], existing: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each connected component of the undirected `pairs` (u, v).
+
+    Alternating stars: every node first hands its larger neighbours to its smallest one, then the smaller ones; the
+    number of rounds grows with the logarithm of a component's length, and pairs never outgrow the nodes and pairs given."""
+    edges = cut_lineage(pairs.select("u", "v").where("u <> v").distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut_lineage(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    found = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _walked(undecided: DataFrame, order: str, keys: tuple[str, str]) -> DataFrame:
+    """(order, keys) of the rows that walking in order keeps, component by component of rows that share keys."""
+    a, b = keys
+    firsts = [undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias("v")) for k in keys]
+    links = [undecided.select(F.col(order).alias("u"), k).join(first, k).select("u", "v") for k, first in zip(keys, firsts, strict=True)]
+    roots = components(links[0].unionByName(links[1]))
+    rows = undecided.join(roots.withColumnRenamed("node", order), order, "left").withColumn("root", F.coalesce("root", F.col(order)))
+
+    def walk(group):
+        seen, keep = (set(), set()), []
+        for row in group.sort_values(order)[[order, a, b]].itertuples(index=False):
+            own = [(s, k) for s, k in zip(seen, row[1:], strict=True) if isinstance(k, str) and k]
+            if not any(k in s for s, k in own):
+                keep.append(row[0])
+                for s, k in own:
+                    s.add(k)
+        return group[group[order].isin(keep)][[order, a, b]]
+
+    return rows.select("root", order, a, b).groupBy("root").applyInPandas(walk, undecided.select(order, a, b).schema)
+
+
+def greedy(records: DataFrame, order: str, keys: tuple[str, str], existing: DataFrame | None = None, rounds: int = 8) -> DataFrame:
     """Records kept by walking in `order` and dropping a row if either key was seen among rows kept before.
 
     An empty or null key never matches. Not two dropDuplicates: a dropped row does not register its other key. Rounds
     of "keep each undecided row that is first in both its groups, then drop what shares a key with a kept row" reach
     the same set; only (order, keys) take part, and each round's state is cut from its lineage. Duplicates of both
-    keys settle before the rounds, so a third of all rows being copies costs one aggregation.
+    keys settle before the rounds, so a third of all rows being copies costs one aggregation. What `rounds` leave
+    undecided are long chains of shared keys; they are walked within their connected components.
 
     `existing` (same key columns) counts as kept before. Repeated order values are allowed if the rows are equal."""
     a, b = keys
@@ -34,7 +78,7 @@ def greedy(records: DataFrame, order: str, keys: tuple[str, str], existing: Data
             todo = todo.join(seen, k, "left_anti")
     firsts = todo.where(F.col(a).isNotNull() | F.col(b).isNotNull()).groupBy(a, b).agg(F.min(order).alias(order))
     free = todo.where(F.col(a).isNull() & F.col(b).isNull()).select(order)
-    undecided, kept = cut_lineage(firsts), None
+    undecided, kept = cut_lineage(firsts), free
     for _ in range(rounds):
         # a row is first in a group if it is the group's minimum: aggregations combine before the exchange, windows don't
         winners = undecided
@@ -42,7 +86,7 @@ def greedy(records: DataFrame, order: str, keys: tuple[str, str], existing: Data
             first = undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(order)).select(order)
             winners = winners.join(first.unionByName(undecided.where(F.col(k).isNull()).select(order)), order, "left_semi")
         winners = cut_lineage(winners.select(order, a, b))
-        kept = winners if kept is None else kept.unionByName(winners)
+        kept = kept.unionByName(winners.select(order))
         rest = undecided.join(winners.select(order), order, "left_anti")
         for k in keys:
             rest = rest.join(winners.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
@@ -50,8 +94,19 @@ def greedy(records: DataFrame, order: str, keys: tuple[str, str], existing: Data
         if undecided.isEmpty():
             break
     else:
-        raise RuntimeError(f"not settled after {rounds} rounds")
-    return records.join(kept.select(order).unionByName(free), order, "left_semi")
+        kept = kept.unionByName(_walked(undecided, order, keys).select(order))
+    return records.join(kept, order, "left_semi")
+
+
+def preferred(rows: DataFrame, keys: list[str], url: str, order: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """One row per keys, of several the one with the longest address, then the first; addresses in `drop` go first.
+    Rows without keys stay. Sorted by keys and address."""
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    rows = rows.where(~F.coalesce(F.col(url).isin(*drop), F.lit(False))) if drop else rows
+    best = first_per_key(rows.where(named), keys, [F.desc(F.length(url)), F.col(order)])
+    return best.unionByName(rows.where(~named)).orderBy(*keys, url)
 
 
 def superseded_samples(docs: DataFrame, order: str = "doc_id") -> DataFrame:

@@ -103,22 +103,25 @@ def injections(chunks: DataFrame, intent: Intent, exclude: DataFrame, per: int =
     return found
 
 
-def search(chunks: DataFrame, semantic: DataFrame, query: str, top_k: int = 8, per_document: int = fixed.PER_DOCUMENT) -> DataFrame:
+def search(chunks: DataFrame, semantic: DataFrame, query: str, top_k: int = 8, per_document: int = fixed.PER_DOCUMENT, scores: DataFrame | None = None) -> DataFrame:
     """Ranked hits of one query.
 
-    `chunks` needs chunk_id, doc_id, ord (corpus order), title, locator, heading, work, text and tokens; `semantic` is
-    (chunk_id, score, rank) of the dense candidates. Empty inputs give no hits."""
+    `chunks` needs chunk_id, doc_id, ord (corpus order), title, locator, heading, work and text; `semantic` is (chunk_id,
+    score, rank) of the dense candidates; `scores` are the query's lexical ones where an index has them, else one pass
+    over the texts makes them. Empty inputs give no hits."""
     spark = chunks.sparkSession
     intent = Intent.of(query)
     terms = lexical.query_terms(spark, {"q": query})
-    lexical_top = lexical.top(lexical.bm25(chunks, terms), max(4 * top_k, 20)).select("chunk_id", F.lit(1).alias("source"), "rank")
+    if scores is None:
+        scores = lexical.bm25(cut_lineage(lexical.with_hits(chunks, terms).select("chunk_id", "dl", "hits")), terms)
+    lexical_top = lexical.top(scores, max(4 * top_k, 20)).select("chunk_id", F.lit(1).alias("source"), "rank")
     first = semantic.select("chunk_id", F.lit(0).alias("source"), "rank").unionByName(lexical_top)
-    ids = cut_lineage(ranking.union_first(first.withColumn("query_id", F.lit("q")), ["source", "rank"]).select("chunk_id", "source", "rank"))
+    ids = cut_lineage(ranking.union_first(first.withColumn("query_id", F.lit("q")), ["source", "rank"]).select("chunk_id", "source", "rank").repartition(1))  # over-fetch rows
     pool = chunks.join(F.broadcast(ids), "chunk_id")  # at most over-fetch rows
     if (more := injections(chunks, intent, ids)) is not None:
         pool = pool.unionByName(more.select(pool.columns))
     pool = pool.join(semantic.select("chunk_id", F.col("score").alias("dense"), F.col("rank").alias("dense_rank")), "chunk_id", "left")
-    pool = cut_lineage(pool)  # some dozens of rows that scoring reads again and again
+    pool = cut_lineage(lexical.with_hits(pool.repartition(1), terms))  # some dozens of rows that scoring reads again and again
     return ranking.diversify(score(pool, intent, terms).withColumn("query_id", F.lit(query)), top_k, per_document, "pool_ord")
 
 

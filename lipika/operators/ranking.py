@@ -27,15 +27,15 @@ def union_first(lists: DataFrame, order: list[str], id_col: str = "chunk_id") ->
     return lists.withColumn("_first", rank).where("_first = 1").drop("_first")
 
 
-def windows_by_first(events: DataFrame, key: list[str], ts: str, seconds: int, limit: int) -> DataFrame:
+def windows_by_first(events: DataFrame, key: list[str], ts: str, seconds: int, limit: int, tie: tuple[str, ...] = ()) -> DataFrame:
     """`events` with window_start and allowed: fixed windows per key anchored at the key's first event, at most `limit` each.
 
     Windows are sequential per key (the next begins with the first event after the last ended), so each key is folded
-    in time order; a key's events stream through one task in Arrow batches and are not held together."""
+    in time order (`tie` columns order events of one moment); a key's events stream through one task in Arrow batches and are not held together."""
     import pandas as pd
 
     schema = events.schema.add("window_start", "timestamp").add("allowed", "boolean")
-    rows = events.repartition(*key).sortWithinPartitions(*key, ts)
+    rows = events.repartition(*key).sortWithinPartitions(*key, ts, *tie)
 
     def walk(batches):
         last, start, count = None, None, 0

@@ -1,12 +1,16 @@
-"""Corpus digest, profile checks and a lock record."""
+"""Corpus digest, profile checks, data expectations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lipika.functions.text import content_fingerprint
+
 
 def _line() -> Column:
-    return F.concat(F.coalesce(F.col("id"), F.lit("")), F.lit("|"), F.coalesce("fingerprint", F.lit("")))
+    """"id|fingerprint"; a missing id is the address or the title, a missing fingerprint is made from the text."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.concat(F.coalesce(some("id"), some("source_url"), some("title"), F.lit("")), F.lit("|"), F.coalesce(some("fingerprint"), content_fingerprint(F.coalesce("text", F.lit("")))))
 
 
 def corpus_fingerprint(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ numbered line (opens a verse), a blank line, other text. The dialects differ in
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -258,8 +258,8 @@ def grouped(units: list[dict], size: int = 900, most: int = 2) -> list[list[dict
 _RAW = StructType([f for f in UNIT.fields if f.name not in ("verse_id", "locator")])
 
 
-def _parsed(docs: DataFrame, kind: ArrayType, finish) -> DataFrame:
-    """(doc_id, raw): units of every document as `finish` arranges them."""
+def _parsed(docs: DataFrame, kind: ArrayType, finish: Callable, *carried: str) -> DataFrame:
+    """(doc_id, carried, raw): units of every document as `finish` arranges them and the text."""
     work = F.coalesce(F.nullif("work", F.lit("")), refs.detect_work(F.col("title"), F.col("source_url"), F.col("tradition")))
     rows = docs.withColumn("work", work).withColumn("ref", refs.work_reference(F.col("work"), F.col("title"), F.col("source_url")))
 
@@ -269,9 +269,9 @@ def _parsed(docs: DataFrame, kind: ArrayType, finish) -> DataFrame:
             return None if x is None or x != x else int(x)
 
         for columns in batches:
-            yield pd.Series([finish(document_units(w, whole(b), whole(h), (whole(rb), whole(rh)), t)) for w, b, h, rb, rh, t in zip(*columns, strict=True)], dtype=object)
+            yield pd.Series([finish(document_units(w, whole(b), whole(h), (whole(rb), whole(rh)), t), t) for w, b, h, rb, rh, t in zip(*columns, strict=True)], dtype=object)
 
-    return rows.select("doc_id", parsed("work", F.col("book").cast("int"), F.col("hymn").cast("int"), F.col("ref.book"), F.col("ref.hymn"), "text").alias("raw"))
+    return rows.select("doc_id", *carried, parsed("work", F.col("book").cast("int"), F.col("hymn").cast("int"), F.col("ref.book"), F.col("ref.hymn"), "text").alias("raw"))
 
 
 def _named(u):
@@ -284,10 +284,17 @@ def _named(u):
 
 def parse_units(docs: DataFrame) -> DataFrame:
     """(doc_id, units): array of verse units with ids and locators for every document; empty where there is no structure."""
-    return _parsed(docs, ArrayType(_RAW), list).select("doc_id", F.transform("raw", _named).alias("units"))
+    return _parsed(docs, ArrayType(_RAW), lambda units, _: units).select("doc_id", F.transform("raw", _named).alias("units"))
 
 
-def parse_groups(docs: DataFrame, size: int = 900, most: int = 2) -> DataFrame:
-    """(doc_id, chunk_index, g): groups of units of the documents that have a structure."""
-    rows = _parsed(docs, ArrayType(ArrayType(_RAW)), lambda units: grouped(units, size, most))
-    return rows.select("doc_id", F.posexplode("raw").alias("chunk_index", "g")).select("doc_id", "chunk_index", F.transform("g", _named).alias("g"))
+def parse_groups(docs: DataFrame, size: int = 900, most: int = 2, otherwise: Callable[[str | None], list[str]] = lambda _: []) -> DataFrame:
+    """(columns of `docs` but text, chunk_index, g): groups of units of the documents that have a structure; of the others
+    the pieces that `otherwise` makes of the text, each a group of one unit without work. One pass over the texts."""
+    blank = {f.name: None for f in _RAW.fields}
+
+    def finish(units: list[dict], text: str | None) -> list[list[dict]]:
+        return grouped(units, size, most) or [[blank | {"text": piece}] for piece in otherwise(text)]
+
+    rows = _parsed(docs, ArrayType(ArrayType(_RAW)), finish, *(c for c in docs.columns if c not in ("doc_id", "text", "work", "book", "hymn")))
+    rows = rows.select("*", F.posexplode("raw").alias("chunk_index", "g")).drop("raw")
+    return rows.withColumn("g", F.transform("g", _named))

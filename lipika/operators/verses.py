@@ -9,20 +9,31 @@ from lipika.functions import refs, text as T
 ROLES = ("sa", "iast", "en", "pt")
 
 
+#: Ranges up to this many verses are taken apart and joined verse by verse.
+SHORT_RANGE = 64
+
+
 def cover(requests: DataFrame, chunks: DataFrame, most: int = 60) -> DataFrame:
     """Chunks that cover the requested verse ids: the exact id, or same work, book and hymn with the verse in range.
 
-    A request without verse takes the whole hymn. `requests` has verse_id; at most `most` rows each, in corpus order.
-    Exact and range matches are two equi-joins (the second null-safe with a range residual), so neither is a nested loop."""
+    A request without verse takes the whole hymn. `requests` has verse_id; at most `most` rows each, in corpus order. All
+    joins are by key: ids, verses of short ranges, hymns for whole hymns; only the rare longer ranges (wrong `verse_end`s
+    among them) are compared within their hymn."""
     parsed = requests.select("verse_id", refs.parse_verse_id(F.col("verse_id")).alias("p")).where("p is not null")
-    want = parsed.select(F.col("verse_id").alias("asked"), "p.work", "p.book", "p.hymn", F.col("p.verse").alias("target"))
+    want = parsed.select(F.col("verse_id").alias("asked"), F.col("p.work").alias("w"), F.col("p.book").alias("b"), F.col("p.hymn").alias("h"), F.col("p.verse").alias("target"))
     rows = chunks.where("work is not null")
     exact = rows.join(want.select("asked"), F.col("verse_id") == F.col("asked")).withColumn("exact", F.lit(True))
-    c, w = rows.alias("c"), want.alias("w")
-    keys = (F.col("c.work") == F.col("w.work")) & F.col("c.book").eqNullSafe(F.col("w.book")) & F.col("c.hymn").eqNullSafe(F.col("w.hymn"))
-    in_range = F.col("target").isNull() | F.col("target").between(F.col("c.verse"), F.coalesce("c.verse_end", "c.verse"))
-    ranged = c.join(w, keys & in_range).select("c.*", "asked").withColumn("exact", F.col("verse_id").eqNullSafe(F.col("asked")))
-    both = exact.unionByName(ranged.where("not exact"))
+    same = (F.col("work") == F.col("w")) & F.col("book").eqNullSafe(F.col("b")) & F.col("hymn").eqNullSafe(F.col("h"))
+    last = F.coalesce("verse_end", "verse")
+    short = F.coalesce((last >= F.col("verse")) & (last - F.col("verse") < SHORT_RANGE), F.lit(False))
+    verse, hymn = want.where("target is not null"), want.where("target is null")
+    parts = (
+        rows.where(short).withColumn("_v", F.explode(F.sequence(F.col("verse"), last))).join(verse, same & (F.col("_v") == F.col("target"))),
+        rows.where(last - F.col("verse") >= SHORT_RANGE).withColumn("_v", F.lit(0)).join(verse, same & F.col("target").between(F.col("verse"), last)),
+        rows.withColumn("_v", F.lit(0)).join(hymn, same),
+    )
+    ranged = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*chunks.columns, "asked")
+    both = exact.unionByName(ranged.where(~F.col("verse_id").eqNullSafe(F.col("asked"))).withColumn("exact", F.lit(False)))
     rank = F.row_number().over(Window.partitionBy("asked").orderBy("doc_id", "chunk_index", "chunk_id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= most)
 

@@ -54,8 +54,12 @@ def _wide(x: str) -> str:
     return narrow
 
 
+def _folded(x: str) -> str:
+    return _FOLD.format(x=_wide(x))
+
+
 def _tokens(x: str) -> str:
-    return "regexp_extract_all(" + _FOLD.format(x=_wide(x)) + ", '[\\p{L}\\p{N}_]+')"
+    return "regexp_extract_all(" + _folded(x) + ", '[\\p{L}\\p{N}_]+')"
 
 
 def _terms() -> str:
@@ -69,19 +73,30 @@ def _terms() -> str:
     return f"terms(query_id, pos, alt, term) AS (VALUES {', '.join(rows)})"
 
 
-_BM25 = f"""WITH {_terms()},
+_TOKENIZED = f"""WITH {_terms()},
 one AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at, doc_id) = 1),
 tok AS (SELECT chunk_id, doc_id, title, locator, heading, text, CASE WHEN {_META} <> '' THEN list_concat(list_concat({_tokens(_META)}, {_tokens(_META)}), {_tokens("coalesce(text, '')")}) ELSE {_tokens("coalesce(text, '')")} END AS t FROM one),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 tf AS (SELECT chunk_id, greatest(len(t), 1) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-part AS (SELECT query_id, pos, alt, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS part FROM tf JOIN df USING (term) JOIN terms USING (term), stats),
-best AS (SELECT query_id, chunk_id, pos, arg_min(part, alt) AS part FROM part GROUP BY ALL),
-scores AS (SELECT query_id, chunk_id, sum(part) AS score FROM best GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores)
 """
 
 
+def _ranked(b: float = 0.75, name: str = "ranked") -> str:
+    """Ranks by BM25 with the given regard to length."""
+    return f"""{name}_part AS (SELECT query_id, pos, alt, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * ({1 - b} + {b} * dl / avgdl)) AS part FROM tf JOIN df USING (term) JOIN terms USING (term), stats),
+{name}_best AS (SELECT query_id, chunk_id, pos, arg_min(part, alt) AS part FROM {name}_part GROUP BY ALL),
+{name}_scores AS (SELECT query_id, chunk_id, round(sum(part), 6) AS score FROM {name}_best GROUP BY ALL),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {name}_scores)"""
+
+
+_BM25 = f"{_TOKENIZED}{_ranked()}"
+# Two rankings, with and without regard to length.
+_LISTS = f"""{_BM25}, {_ranked(0.0, "flat")},
+l AS (SELECT query_id, 0 AS list, chunk_id, rank::INT AS rank FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, 1, chunk_id, rank::INT FROM flat WHERE rank <= 50)"""
+_LINE = f"concat(coalesce(nullif(id, ''), nullif(source_url, ''), nullif(title, ''), ''), '|', coalesce(nullif(fingerprint, ''), sha256({_flat("lower(coalesce(text, ''))")})))"
+
+
 def _verse_cover() -> str:
     return f"""WITH req AS (SELECT DISTINCT verse_id AS asked, string_split({_strip('verse_id')}, '.') AS p FROM chunks WHERE verse_id IS NOT NULL),
 num AS (SELECT asked, upper(p[1]) AS prefix, list_transform(p[2:], lambda t: TRY_CAST(regexp_replace(t, '^[pP]', '') AS INT)) AS n FROM req WHERE len(p) >= 2 AND list_bool_and(list_transform(p[2:], lambda t: regexp_full_match(t, '[pP]?[0-9]+')))),
@@ -138,12 +153,13 @@ FROM (SELECT DISTINCT verse_id FROM chunks WHERE verse_id IS NOT NULL) c LEFT JO
     sql["agg_table_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in ("documents", "chunks", "chunk_embeddings"))
     summary = f"SELECT count(*) AS documents, coalesce(sum({_SIZE}), 0)::BIGINT AS characters, {', '.join(f'count(DISTINCT lower({c})) AS {c}s' for c in ('tradition', 'language', 'work'))} FROM documents"
     sql["agg_summary"] = summary
-    sql["agg_fingerprint"] = """WITH l AS (SELECT concat(coalesce(id, ''), '|', coalesce(fingerprint, '')) AS line FROM documents),
+    sql["agg_fingerprint"] = f"SELECT CASE WHEN count(*) > 0 THEN sha256(string_agg({_LINE}, chr(10) ORDER BY {_LINE})) ELSE '' END AS fingerprint FROM documents"
+    sql["agg_bucket_fingerprint"] = f"""WITH l AS (SELECT {_LINE} AS line FROM documents),
 b AS (SELECT md5(line)[1:4] AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1)
 SELECT CASE WHEN count(*) > 0 THEN sha256(string_agg(digest, chr(10) ORDER BY bucket)) ELSE '' END AS fingerprint FROM b"""
     checks = {"id missing": "coalesce(id, '') = ''", "text missing": "coalesce(text, '') = ''", "size wrong": "coalesce(n_chars, -1) <> length(coalesce(text, ''))", "license missing": "coalesce(license, '') = ''", "language missing": "coalesce(language, '') = ''"}
     sql["agg_expectations"] = " UNION ALL ".join(f"SELECT '{k}' AS \"check\", count(*) FILTER ({c}) AS failures FROM documents" for k, c in checks.items())
-    sql["agg_profiles"] = """WITH n AS (SELECT count(*) AS d FROM documents), b(profile, low, high, expected) AS (VALUES ('tiny', NULL, 100, NULL), ('some', 101, NULL, NULL), ('exact', NULL, NULL, 1000)),
+    sql["agg_profiles"] = """WITH n AS (SELECT count(*) AS d FROM documents), b(profile, low, high, expected) AS (VALUES ('tiny', NULL, 100, NULL), ('some', 101, NULL, NULL), ('many', 5000, NULL, NULL), ('exact', NULL, NULL, 1054)),
 i AS (SELECT profile, CASE WHEN d < low THEN 'too few documents' WHEN d > high THEN 'too many documents' WHEN d <> expected THEN 'not the expected number' END AS issue FROM n, b)
 SELECT profile, issue IS NULL AS ok, coalesce(issue, '') AS issue FROM i"""
     sql["agg_embedding_quality"] = f"SELECT model_name, count(*) AS rows, count(*) FILTER (coalesce({_USABLE}, false)) AS usable FROM chunk_embeddings GROUP BY 1"
@@ -163,31 +179,32 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS
 b AS (SELECT w, l, max(n) AS best FROM d WHERE NOT s AND w IS NOT NULL GROUP BY 1, 2)
 SELECT doc_id FROM d LEFT JOIN b USING (w, l) WHERE NOT (s AND w IS NOT NULL AND coalesce(best, 0) >= 3 * greatest(n, 1))"""
     sql["joi_cascade"] = """WITH d AS (SELECT doc_id FROM documents WHERE retrieved_at IS NOT NULL), c AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM d))
-SELECT 'chunks' AS "table", count(*) AS rows FROM c UNION ALL SELECT 'embeddings', count(*) FROM chunk_embeddings WHERE chunk_id IN (SELECT chunk_id FROM c)"""
+SELECT chunk_id, '' AS model_name FROM c UNION ALL SELECT chunk_id, model_name FROM chunk_embeddings WHERE chunk_id IN (SELECT chunk_id FROM c)"""
     sql["snk_upsert"] = """WITH t AS (SELECT url, title, language, attribution FROM manifest_sources QUALIFY row_number() OVER (PARTITION BY url ORDER BY title NULLS FIRST, language NULLS FIRST) = 1)
 SELECT url, CASE WHEN language = 'en' THEN upper(title) ELSE title END AS title, language, attribution FROM t"""
-    sql["joi_current_vectors"] = f"WITH {_CURRENT} SELECT chunk_id, min(doc_id) AS doc_id, max(len(v))::INT AS size FROM chunks JOIN vec USING (chunk_id) GROUP BY 1"
+    sql["joi_current_vectors"] = f"WITH {_CURRENT} SELECT chunk_id, min(doc_id) AS doc_id, max(len(v))::INT AS size, round(any_value(v[1]), 5) AS first FROM chunks JOIN vec USING (chunk_id) GROUP BY 1"
     sql["top_vectors"] = f"WITH {_CURRENT}, q AS (SELECT v AS qv FROM vec ORDER BY chunk_id LIMIT 1) SELECT chunk_id, round(s, 4) AS score FROM (SELECT chunk_id, list_dot_product(v, qv) AS s FROM vec, q) ORDER BY s DESC, chunk_id LIMIT 20"
     sql["top_vectors_batch"] = f"""WITH {_CURRENT}, q AS (SELECT chunk_id AS query_id, v AS qv FROM vec ORDER BY chunk_id LIMIT 5)
 SELECT query_id, chunk_id, round(s, 4) AS score FROM (SELECT query_id, chunk_id, list_dot_product(v, qv) AS s FROM vec, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) <= 10"""
-    sql["agg_bm25"] = f"{_BM25} SELECT query_id, rank::INT AS rank, round(score, 3) AS score FROM ranked WHERE rank <= 10"
+    sql["agg_bm25"] = f"{_BM25} SELECT query_id, rank::INT AS rank, chunk_id, round(score, 3) AS score FROM ranked WHERE rank <= 10"
     sql["win_diversified"] = f"""{_BM25}, h AS (SELECT query_id, r.chunk_id, score, doc_id FROM ranked r JOIN tok USING (chunk_id) WHERE rank <= 200),
-k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) <= 2), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10)
-SELECT query_id, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM f GROUP BY 1"""
-    sql["win_fused"] = f"""{_BM25}, l AS (SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, r FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS r FROM scores) WHERE r <= 50),
-f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM l GROUP BY ALL) SELECT query_id, count(*) AS chunks, round(sum(s), 6) AS mass FROM f GROUP BY 1"""
+k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) <= 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, doc_id FROM k QUALIFY rank <= 10"""
+    sql["win_fused"] = f"{_LISTS} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM l GROUP BY ALL"
+    sql["set_union"] = f"{_LISTS} SELECT query_id, list, chunk_id, rank FROM l QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list, rank) = 1"
     gold = ", ".join(f"('{i}', {_quote(q)}, {m}, {e!r})" for i, q, m, e in GOLD)
     match = "list_bool_or(list_transform(expect, lambda p: contains(lower(coalesce(title, '')), lower(p))))"
     sql["evl_suite"] = f"""{_BM25}, gold(id, query, min_hits, expect) AS (VALUES {gold}), h AS (SELECT query_id AS id, title FROM ranked JOIN tok USING (chunk_id) WHERE rank <= 10)
 SELECT id, count(title) AS hits, coalesce(bool_or({match}), false) AS matched, count(title) >= min_hits AND coalesce(bool_or({match}), false) AS ok FROM gold LEFT JOIN h USING (id) GROUP BY id, min_hits"""
-    sql["evl_pairs"] = f"""{_BM25}, gold(query_id, query, min_hits, expect) AS (VALUES {gold}), h AS (SELECT query_id, rank, coalesce({match}, false) AS pos FROM ranked JOIN tok USING (chunk_id) JOIN gold USING (query_id) WHERE rank <= 40 AND {_strip("coalesce(text, '')")} <> ''),
-p AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY rank) AS n FROM h QUALIFY pos OR n <= 8)
-SELECT unnest(['train', 'all']) AS split, count(*) AS pairs, count(*) FILTER (pos) AS positives, count(*) FILTER (NOT pos) AS negatives, count(DISTINCT query_id) AS queries FROM p"""
+    pairs = f"""{_BM25}, gold(query_id, query, min_hits, expect) AS (VALUES {gold}), h AS (SELECT query_id, rank, coalesce({match}, false) AS pos, title, text FROM ranked JOIN tok USING (chunk_id) JOIN gold USING (query_id) WHERE rank <= 40 AND {_strip("coalesce(text, '')")} <> ''),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY rank) AS n FROM h QUALIFY pos OR n <= 8)"""
+    sql["evl_pairs"] = f"""{pairs} SELECT query_id, rank::INT AS rank, pos::INT AS label, CASE WHEN pos THEN 'positive' ELSE 'negative' END AS pair_kind, 'train' AS split, coalesce(title, '') AS doc_title, md5(text) AS digest FROM p"""
+    sql["evl_pair_summary"] = f"""{pairs} SELECT unnest(['train', 'all']) AS split, count(*) AS pairs, count(*) FILTER (pos) AS positives, count(*) FILTER (NOT pos) AS negatives, count(DISTINCT query_id) AS queries FROM p"""
     sql["evl_splits"] = """WITH i AS (SELECT DISTINCT url AS query_id FROM manifest_sources WHERE url IS NOT NULL), n AS (SELECT count(*) AS n FROM i), r AS (SELECT query_id, row_number() OVER (ORDER BY query_id DESC) AS rn, n FROM i, n)
 SELECT query_id, CASE WHEN n >= 2 AND rn <= greatest(1, round_even(n * 0.2, 0)) THEN 'eval' ELSE 'train' END AS split FROM r"""
     books = ", ".join(f"({i}, {n})" for i, n in enumerate(fixed.HYMNS_PER_BOOK, 1))
     sql["src_hymn_manifest"] = f"SELECT 'mandala-' || b AS book, n::BIGINT AS hymns, printf('https://archive.sacred-texts.com/hin/rigveda/rv%02d%03d.htm', b, n) AS last FROM (VALUES {books}) t(b, n)"
-    sql["joi_verse_cover"] = f"{_verse_cover()} SELECT asked, count(*) AS chunks, count(*) FILTER (exact) AS exact FROM top GROUP BY 1"
+    sql["joi_verse_cover"] = f"{_verse_cover()} SELECT asked, rank::INT AS rank, chunk_id, exact FROM top"
     sql["agg_witnesses"] = f"""{_verse_cover()}, r AS (SELECT *, CASE WHEN regexp_matches(lower(coalesce(title, '')), 'vedaweb|zürich|zurich|iso-15919') THEN 'iast' WHEN lower(language) = 'sa' THEN 'sa' WHEN lower(language) IN ('en', 'eng') THEN 'en' WHEN lower(language) LIKE 'pt%' THEN 'pt' WHEN coalesce(language, '') = '' THEN 'other' ELSE lower(language) END AS role FROM top),
 f AS (SELECT asked, role, rank, coalesce(nullif(list_position(['sa', 'iast', 'en', 'pt'], role), 0), 99) AS place, language FROM r QUALIFY row_number() OVER (PARTITION BY asked, role ORDER BY exact DESC, rank) = 1)
 SELECT asked, string_agg(role, ',' ORDER BY place, role, language NULLS FIRST) AS roles, bool_or(role = 'sa') AS has_sanskrit FROM f GROUP BY 1"""
@@ -205,11 +222,13 @@ w(rn, fs, us, kept) AS (
 SELECT kept AS doc_id FROM w WHERE kept IS NOT NULL"""
     sql["set_greedy"] = walk.format(middle="-1")
     sql["joi_new_records"] = walk.format(middle="(SELECT quantile_disc(doc_id, 0.5) FROM documents)")
-    sql["str_rate_limit"] = """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-w(user_id, rn, start, n) AS (
-  SELECT user_id, 1::BIGINT, ts, 1 FROM e WHERE rn = 1
+    sql["str_rate_limit"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w(user_id, event_id, rn, start, n) AS (
+  SELECT user_id, event_id, 1::BIGINT, ts, 1 FROM e WHERE rn = 1
   UNION ALL
-  SELECT e.user_id, e.rn, CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN e.ts ELSE w.start END, CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
-SELECT n <= 2 AS allowed, count(*) AS events FROM w GROUP BY 1"""
-    sql["ml_packed_blocks"] = f"SELECT source, sum(len(regexp_extract_all(text, '[^\\s\\x{{0b}}]+')))::BIGINT AS words, sum(len(regexp_extract_all(text, '[^\\s\\x{{0b}}]+')))::BIGINT // 512 AS blocks FROM documents GROUP BY 1"
+  SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN e.ts ELSE w.start END, CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT event_id, user_id, epoch_us(start) AS started, n <= 2 AS allowed FROM w"""
+    words = f"len(regexp_extract_all(text, '[^{_WS}]+'))"
+    sql["ml_compression"] = f"SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters, sum({words})::BIGINT AS tokens, round(sum(length(text))::DOUBLE / sum({words}), 3) AS ratio, round(sum({words})::DOUBLE / count(*), 2) AS average FROM documents WHERE text <> ''"
+    sql["txt_folded"] = f"SELECT doc_id, md5({_folded('text')}) AS digest FROM documents WHERE text IS NOT NULL"
     return sql

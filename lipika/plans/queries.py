@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lipika.functions import refs, text as T
 from lipika.functions.sanskrit import fold_col, iast_col, spellings_col
-from lipika.operators import catalog, chunking, dedupe, evaluation, hybrid, lexical, ranking, records, status, units, vectors, verses
+from lipika.operators import catalog, chunking, dedupe, evaluation, hybrid, ingest, lexical, ranking, records, status, training, units, vectors, verses
 from lipika.session import cut_lineage
+from lipika.sources import scripture
 from lipika.sources.corpus import hymn_manifest
-from lipika.tables import table
+from lipika.streaming import limiter
+from lipika.tables import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -31,6 +34,11 @@ def _docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "documents", *columns)
 
 
+def _texts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Documents whose texts are read in Python."""
+    return spread_table(spark, sf, "documents", *columns)
+
+
 @query
 def flt_source_gate(spark, sf):
     """FLT-01: manifest rows with the first test they fail."""
@@ -65,14 +73,20 @@ def flt_devanagari(spark, sf):
 
 @query
 def txt_iast(spark, sf):
-    """TXT-05: titles in IAST."""
-    return _docs(spark, sf, "doc_id", "title").where(T.has_devanagari(F.col("title"))).select("doc_id", iast_col(F.col("title")).alias("iast"))
+    """TXT-05: digests of the texts with Devanagari in IAST."""
+    return _texts(spark, sf, "doc_id", "text").where(T.has_devanagari(F.col("text"))).select("doc_id", F.md5(iast_col(F.col("text"))).alias("digest"))
 
 
 @query
 def txt_folded(spark, sf):
-    """TXT-04, TXT-07: folded titles and their spellings."""
-    return _docs(spark, sf, "doc_id", "title").where("title is not null").select("doc_id", fold_col(F.col("title")).alias("folded"), F.array_join(spellings_col(F.col("title")), "|").alias("spellings"))
+    """TXT-04: digests of the folded texts."""
+    return _texts(spark, sf, "doc_id", "text").where("text is not null").select("doc_id", F.md5(fold_col(F.col("text"))).alias("digest"))
+
+
+@query
+def txt_spellings(spark, sf):
+    """TXT-06, TXT-07: titles and their spellings, as a search tries them."""
+    return _docs(spark, sf, "doc_id", "title").where("title is not null").select("doc_id", F.array_join(spellings_col(F.col("title")), "|").alias("spellings"))
 
 
 @query
@@ -99,7 +113,7 @@ def txt_parsed_ids(spark, sf):
 
 @query
 def txt_citations(spark, sf):
-    """PRJ-11, PRJ-12: citation labels."""
+    """PRJ-12: citation labels."""
     return table(spark, sf, "chunks", "locator", "title").groupBy(T.citation_label(F.col("locator"), F.col("title")).alias("label")).agg(F.count("*").alias("chunks"))
 
 
@@ -156,8 +170,14 @@ def agg_summary(spark, sf):
 
 @query
 def agg_fingerprint(spark, sf):
-    """AGG-05: order-independent digest of the corpus."""
-    return status.corpus_fingerprint(_docs(spark, sf, "id", "fingerprint"))
+    """AGG-05: order-independent digest of the corpus, as the stored locks have it."""
+    return status.stored_fingerprint(_docs(spark, sf, "id", "fingerprint", "source_url", "title", "text"))
+
+
+@query
+def agg_bucket_fingerprint(spark, sf):
+    """A digest of the same lines that no task has to sort whole."""
+    return status.corpus_fingerprint(_docs(spark, sf, "id", "fingerprint", "source_url", "title", "text"))
 
 
 @query
@@ -170,12 +190,12 @@ def agg_expectations(spark, sf):
 def agg_profiles(spark, sf):
     """FLT-23, AGG-14: which profiles the corpus meets."""
     facts = status.summary(_docs(spark, sf, "n_chars", "text", "tradition", "language", "work"))
-    return status.matching_profiles(facts, {"tiny": {"max_documents": 100}, "some": {"min_documents": 101}, "exact": {"expected_documents": 1000}})
+    return status.matching_profiles(facts, {"tiny": {"max_documents": 100}, "some": {"min_documents": 101}, "many": {"min_documents": 5_000}, "exact": {"expected_documents": 1054}})
 
 
 @query
 def agg_embedding_quality(spark, sf):
-    """SNK-07 (size check), SNK-09: usable vectors per model."""
+    """SNK-07 (size check): usable vectors per model."""
     rows = table(spark, sf, "chunk_embeddings", "model_name", "embedding")
     return rows.groupBy("model_name").agg(F.count("*").alias("rows"), F.count_if(vectors.usable(F.col("embedding"), SIZE)).alias("usable"))
 
@@ -183,8 +203,8 @@ def agg_embedding_quality(spark, sf):
 @query
 def agg_metrics(spark, sf):
     """AGG-07, AGG-08: counts and sums by type and user group."""
-    rows = table(spark, sf, "events", "event_type", "user_id", "value")
-    return rows.groupBy("event_type", (F.col("user_id") % 10).alias("user_group")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+    rows = table(spark, sf, "events", "event_type", "user_id", "value").withColumn("user_group", F.col("user_id") % 10)
+    return limiter.counters(rows, "event_type", "user_group", value="value").withColumn("total", F.round("total", 4))
 
 
 @query
@@ -204,7 +224,7 @@ def top_lookup(spark, sf):
 @query
 def win_chunks(spark, sf):
     """WIN-04: character windows."""
-    rows = chunking.window_chunks(_docs(spark, sf, "doc_id", "text"))
+    rows = chunking.window_chunks(_texts(spark, sf, "doc_id", "text"))
     return rows.select("doc_id", "chunk_index", F.md5("text").alias("digest"), "char_count")
 
 
@@ -214,14 +234,14 @@ DOCUMENT = ("doc_id", "id", "text", "title", "source_url", "tradition", "languag
 @query
 def par_units(spark, sf):
     """PAR-01..07: verse units of the documents that have a structure."""
-    rows = units.parse_units(_docs(spark, sf, *DOCUMENT)).select("doc_id", F.posexplode("units").alias("pos", "u"))
+    rows = units.parse_units(_texts(spark, sf, *DOCUMENT)).select("doc_id", F.posexplode("units").alias("pos", "u"))
     return rows.select("doc_id", "pos", "u.verse_id", "u.locator", "u.verse", "u.heading", F.md5("u.text").alias("digest"))
 
 
 @query
 def win_documents_chunked(spark, sf):
     """WIN-03, WIN-05, PRJ-04, PRJ-05: chunks of all documents."""
-    rows = chunking.chunk_documents(_docs(spark, sf, *DOCUMENT))
+    rows = chunking.chunk_documents(_texts(spark, sf, *DOCUMENT))
     return rows.select("chunk_id", "doc_id", "chunk_index", "char_count", "work", "verse_id", "verse_end", "locator")
 
 
@@ -250,7 +270,7 @@ def joi_cascade(spark, sf):
     """JOI-06, JOI-07, JOI-12: what stays when undated documents go."""
     docs = _docs(spark, sf, "doc_id", "retrieved_at").where("retrieved_at is not null")
     chunks, embeddings = dedupe.cascade(docs, table(spark, sf, "chunks", "doc_id", "chunk_id"), table(spark, sf, "chunk_embeddings", "chunk_id", "model_name"))
-    return catalog.counts(chunks=chunks, embeddings=embeddings)
+    return chunks.select("chunk_id", F.lit("").alias("model_name")).unionByName(embeddings)
 
 
 @query
@@ -264,10 +284,10 @@ def snk_upsert(spark, sf):
 
 @query
 def joi_current_vectors(spark, sf):
-    """JOI-01, SRC-19: chunks with their current vector."""
+    """JOI-01, SRC-19: chunks with their current vector (its size and first number)."""
     vec = vectors.current(table(spark, sf, "chunk_embeddings"), MODEL, SIZE)
     chunks = table(spark, sf, "chunks", "chunk_id", "doc_id", "language").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
-    return chunks.join(vec, "chunk_id").select("chunk_id", "doc_id", F.size("embedding").alias("size"))
+    return chunks.join(vec, "chunk_id").select("chunk_id", "doc_id", F.size("embedding").alias("size"), F.round(F.get("embedding", F.lit(0)), 5).alias("first"))
 
 
 def _query_vector(vec: DataFrame) -> list[float]:
@@ -285,77 +305,113 @@ def top_vectors(spark, sf):
 @query
 def top_vectors_batch(spark, sf):
     """TOP-04, QRY-01: exact cosine top-k for several vectors."""
-    vec = vectors.current(table(spark, sf, "chunk_embeddings"), MODEL, SIZE)
+    vec = vectors.current(spread_table(spark, sf, "chunk_embeddings", "chunk_id", "model_name", "created_at", "embedding"), MODEL, SIZE)
     rows = vec.orderBy("chunk_id").limit(5).collect()
     hits = vectors.top_k_batch(vec, {r["chunk_id"]: list(r["embedding"]) for r in rows}, 10)
     return hits.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
-def _indexed(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "chunks", "chunk_id", "doc_id", "chunk_index", "created_at", "title", "work", "locator", "heading", "text")
-    chunks = dedupe.first_per_key(chunks, ["chunk_id"], [F.col("created_at"), F.col("doc_id")])
-    chunks = lexical.with_tokens(chunks).withColumn("ord", F.col("doc_id") * 100_000 + F.col("chunk_index"))
-    return cut_lineage(chunks)  # the index: every later step reads tokens, none makes them again
+CHUNK = ("chunk_id", "doc_id", "chunk_index", "created_at", "title", "work", "locator", "heading", "text")
+
+
+def _first(chunks: DataFrame) -> DataFrame:
+    """One row per chunk_id."""
+    return dedupe.first_per_key(chunks, ["chunk_id"], [F.col("created_at"), F.col("doc_id")])
 
 
-def _bm25(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    chunks = _indexed(spark, sf)
-    return chunks, lexical.bm25(chunks, lexical.query_terms(spark, QUESTIONS))
+def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks with the hits of the asked terms, terms): repeated chunks go when the text is gone."""
+    terms = lexical.query_terms(spark, QUESTIONS)
+    rows = lexical.with_hits(spread_table(spark, sf, "chunks", *CHUNK), terms).select("chunk_id", "doc_id", "created_at", "title", "dl", "hits")
+    return cut_lineage(_first(rows)), terms
 
 
 @query
 def agg_bm25(spark, sf):
     """AGG-10, TOP-03, TXT-08, TXT-09: BM25 of a set of queries."""
-    return lexical.top(_bm25(spark, sf)[1], 10).select("query_id", "rank", F.round("score", 3).alias("score"))
+    return lexical.top(lexical.bm25(*_hits(spark, sf)), 10).select("query_id", "rank", "chunk_id", F.round("score", 3).alias("score"))
 
 
 @query
 def win_diversified(spark, sf):
     """WIN-02: at most two hits of a document."""
-    chunks, scores = _bm25(spark, sf)
-    hits = lexical.top(scores, 200).join(chunks.select("chunk_id", "doc_id", "title"), "chunk_id")
-    return ranking.diversify(hits.drop("rank"), 10).groupBy("query_id").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents"))
+    chunks, terms = _hits(spark, sf)
+    hits = lexical.top(lexical.bm25(chunks, terms), 200).join(chunks.select("chunk_id", "doc_id", "title"), "chunk_id")
+    return ranking.diversify(hits.drop("rank"), 10).select("query_id", "rank", "chunk_id", "doc_id")
+
+
+def _two_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rankings of each question: BM25 with and without regard to length."""
+    chunks, terms = _hits(spark, sf)
+    lists = [lexical.top(lexical.bm25(chunks, terms, b=b), 50).select("query_id", F.lit(n).alias("list"), "chunk_id", "rank") for n, b in enumerate((0.75, 0.0))]
+    return lists[0].unionByName(lists[1])
 
 
 @query
 def win_fused(spark, sf):
-    """WIN-01, SET-03: reciprocal rank fusion of the lexical and a length ranking."""
-    chunks, scores = _bm25(spark, sf)
-    a = lexical.top(scores, 50).select("query_id", F.lit(0).alias("list"), "chunk_id", "rank")
-    b = lexical.top(scores.withColumn("score", -F.col("score")), 50).select("query_id", F.lit(1).alias("list"), "chunk_id", "rank")
-    fused = ranking.reciprocal_rank_fusion(a.unionByName(b))
-    return fused.groupBy("query_id").agg(F.count("*").alias("chunks"), F.round(F.sum("score"), 6).alias("mass"))
+    """WIN-01: reciprocal rank fusion of two rankings."""
+    return ranking.reciprocal_rank_fusion(_two_lists(spark, sf)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def set_union(spark, sf):
+    """SET-03: ordered union of two rankings, the first occurrence of a chunk counts."""
+    return ranking.union_first(_two_lists(spark, sf), ["list", "rank"])
+
+
+#: One question of each kind: none named, a hymn, a work, a deity.
+ASKED = {"plain": "silent ocean of knowledge", "hymn": "rigveda 1.1", "work": "yoga sutra practice", "deity": "agni"}
 
 
 @query
 def qry_hybrid(spark, sf):
-    """SCO-01..07, SET-04, TOP-10..12, QRY-01: hybrid search."""
-    chunks = _indexed(spark, sf)
+    """SCO-01..07, SET-04, TOP-10..12, QRY-01: hybrid search, one question of each kind."""
+    chunks = spread_table(spark, sf, "chunks", *CHUNK).withColumn("ord", F.col("doc_id") * 100_000 + F.col("chunk_index"))
+    terms = lexical.query_terms(spark, ASKED)
+    # the lexical scores of all questions in one pass
+    scores = lexical.bm25(cut_lineage(_first(lexical.with_hits(chunks, terms).select("chunk_id", "doc_id", "created_at", "dl", "hits"))), terms)
+    scores = cut_lineage(lexical.top(scores, 36))
+    chunks = _first(chunks)
     vec = vectors.current(table(spark, sf, "chunk_embeddings"), MODEL, SIZE)
-    dense = vectors.top_k(vec, _query_vector(vec), 36)
-    from pyspark.sql import Window
-
+    dense = cut_lineage(vectors.top_k(vec, _query_vector(vec), 36))
     dense = dense.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # 36 rows
-    hits = hybrid.search(chunks, dense, "silent ocean of knowledge", 8)
-    return hits.select("rank", "chunk_id", "score", "fused", "shape", "phrase_boost")
+    out = None
+    for name, question in ASKED.items():
+        mine = scores.where(F.col("query_id") == name).select(F.lit("q").alias("query_id"), "chunk_id", "score")
+        hits = hybrid.search(chunks, dense, question, 8, scores=mine)
+        hits = hits.select(F.lit(name).alias("question"), "rank", "chunk_id", "score", "fused", "shape", "hymn_boost", "work_boost", "deity_boost", "phrase_boost", "demotion")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 @query
 def evl_suite(spark, sf):
     """AGG-11, AGG-12, FLT-22: a gold suite over the lexical hits."""
-    chunks, scores = _bm25(spark, sf)
-    hits = lexical.top(scores, 10).join(chunks.select("chunk_id", "title"), "chunk_id")
+    chunks, terms = _hits(spark, sf)
+    hits = lexical.top(lexical.bm25(chunks, terms), 10).join(chunks.select("chunk_id", "title"), "chunk_id")
     gold = spark.createDataFrame([(i, m, e) for i, _, m, e in GOLD], "id string, min_hits int, expect_title_any array<string>")
     return evaluation.suite(gold, hits).select("id", "hits", "matched", "ok")
 
 
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, terms = _hits(spark, sf)
+    gold = spark.createDataFrame([(i, q, e) for i, q, _, e in GOLD], "query_id string, query string, expect_title_any array<string>")
+    hits = cut_lineage(lexical.top(lexical.bm25(chunks, terms), 40))  # 40 rows a question
+    texts = _first(table(spark, sf, "chunks", *CHUNK).join(F.broadcast(hits.select("chunk_id").distinct()), "chunk_id", "left_semi"))
+    hits = hits.join(texts.select("chunk_id", "title", "locator", "heading", "text"), "chunk_id").join(F.broadcast(gold), "query_id").withColumn("split", F.lit("train"))
+    return evaluation.pairs(hits)
+
+
 @query
 def evl_pairs(spark, sf):
-    """WIN-07, JOI-11, PRJ-08: weak training pairs, counted by kind."""
-    chunks, scores = _bm25(spark, sf)
-    gold = spark.createDataFrame([(i, q, e) for i, q, _, e in GOLD], "query_id string, query string, expect_title_any array<string>")
-    hits = lexical.top(scores, 40).join(chunks.select("chunk_id", "title", "locator", "heading", "text"), "chunk_id").join(F.broadcast(gold), "query_id").withColumn("split", F.lit("train"))
-    return evaluation.pair_summary(evaluation.pairs(hits))
+    """WIN-07, JOI-11, PRJ-08: weak training pairs."""
+    return _pairs(spark, sf).select("query_id", "rank", "label", "pair_kind", "split", "doc_title", F.md5("text").alias("digest"))
+
+
+@query
+def evl_pair_summary(spark, sf):
+    """AGG-06: weak training pairs, counted by split."""
+    return evaluation.pair_summary(_pairs(spark, sf))
 
 
 @query
@@ -379,7 +435,7 @@ def joi_verse_cover(spark, sf):
     """JOI-03, JOI-04, FLT-11: chunks that cover each stored verse id."""
     cols = ("chunk_id", "doc_id", "chunk_index", "verse_id", "work", "book", "hymn", "verse", "verse_end", "title", "language", "locator", "text")
     found = verses.cover(_requests(spark, sf), table(spark, sf, "chunks", *cols))
-    return found.groupBy("asked").agg(F.count("*").alias("chunks"), F.count_if("exact").alias("exact"))
+    return found.select("asked", "rank", "chunk_id", "exact")
 
 
 @query
@@ -392,7 +448,7 @@ def agg_witnesses(spark, sf):
 
 @query
 def par_padas(spark, sf):
-    """PAR-08, TXT-29: padas of Sanskrit chunks."""
+    """PAR-08: padas of Sanskrit chunks."""
     rows = table(spark, sf, "chunks", "chunk_id", "text", "verse_id", "language").where(F.lower("language") == "sa").groupBy("chunk_id").agg(F.min("text").alias("text"))
     return rows.select("chunk_id", F.posexplode(verses.pada_array(F.col("text"))).alias("pos", "pada")).select("chunk_id", "pos", "pada")
 
@@ -400,20 +456,59 @@ def par_padas(spark, sf):
 @query
 def str_rate_limit(spark, sf):
     """WIN-08, STR-02 (batch form): one-day windows anchored at each user's first event, two allowed."""
-    rows = ranking.windows_by_first(table(spark, sf, "events", "event_id", "ts", "user_id"), ["user_id"], "ts", 86_400, 2)
-    return rows.groupBy("allowed").agg(F.count("*").alias("events"))
+    rows = ranking.windows_by_first(table(spark, sf, "events", "event_id", "ts", "user_id"), ["user_id"], "ts", 86_400, 2, ("event_id",))
+    return rows.select("event_id", "user_id", F.unix_micros("window_start").alias("started"), "allowed")
+
+
+def _words() -> training.Encode:
+    """The words of a text, numbered by their digest: an encoder that needs no file."""
+    return lambda texts: [[zlib.crc32(w.encode()) & 0x7FFFFFFF for w in t.split()] for t in texts]
 
 
 @query
 def ml_packed_blocks(spark, sf):
-    """ML-02 (data part): token blocks of fixed size a corpus fills, per source."""
-    words = F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)))
-    rows = _docs(spark, sf, "source", "text").groupBy("source").agg(F.sum(words).alias("words"))
-    return rows.select("source", "words", F.floor(F.col("words") / 512).alias("blocks"))
+    """ML-02 (data part): token blocks of fixed size, over the documents of each partition in turn."""
+    return training.blocks(_texts(spark, sf, "text"), lambda: _words(), 512).select(F.size("block").alias("tokens"), F.md5(F.array_join("block", ",")).alias("digest"))
+
+
+@query
+def ml_compression(spark, sf):
+    """AGG-13: code points per token of a tokenizer."""
+    return training.compression(_texts(spark, sf, "text"), lambda: _words())
+
+
+def _fetched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(sources with their place, pages): a source's page is the first document of its host."""
+    host = lambda c: F.regexp_replace(F.lower(F.try_parse_url(c, F.lit("HOST"))), r"^www\.", "")
+    sources = table(spark, sf, "manifest_sources", "title", "url", "tradition", "language", "license", "download", "source_class", "attribution")
+    place = F.row_number().over(Window.orderBy("url", F.col("title").asc_nulls_first(), F.col("language").asc_nulls_first(), F.col("tradition").asc_nulls_first()))  # a manifest
+    pages = _docs(spark, sf, "doc_id", "source_url", "text").withColumn("host", host(F.col("source_url"))).where("host is not null and text is not null").groupBy("host").agg(F.min_by("text", "doc_id").alias("text"))
+    urls = sources.select("url", host(F.col("url")).alias("host")).where("host is not null").distinct()
+    return sources.withColumn("ord", place.cast("bigint")), urls.join(pages, "host").select("url", "text", F.lit(None).cast("string").alias("error"))
+
+
+@query
+def qry_ingest(spark, sf):
+    """QRY-06: a manifest run's counters, over pages found by host."""
+    return ingest.ingest(*_fetched(spark, sf))[1]
+
+
+@query
+def jsn_records(spark, sf):
+    """JSN-01..06, JSN-10, SRC-15, PRJ-02: hymns and chapters of the structured chunks, written as payloads and expanded."""
+    cols = ("chunk_id", "work", "book", "hymn", "verse", "text")
+    rows = table(spark, sf, "chunks", *cols).where("work in ('rigveda', 'atharvaveda', 'bhagavad-gita') and book is not null and verse is not null and text is not null").distinct()
+    rows = rows.where("work = 'bhagavad-gita' or hymn is not null").groupBy("work", "book", "hymn", "verse").agg(F.min(T.normalize_whitespace(F.col("text"))).alias("text")).where("text <> ''")
+    verse = F.transform(F.array_sort(F.collect_list(F.struct("verse", "text"))), lambda v: F.struct(v["verse"].alias("n"), v["text"].alias("text")))
+    hymns = rows.groupBy("work", "book", "hymn").agg(verse.alias("verses"))
+    item = F.struct("hymn", F.col("hymn").alias("sukta"), "verses")
+    chapter = F.to_json(F.struct("work", F.col("book").alias("chapter"), F.transform("verses", lambda v: F.struct(v["n"].alias("verse"), v["text"].alias("text"))).alias("verses")))
+    volume = F.to_json(F.struct("work", F.col("book").alias("mandala"), F.array(item).alias("suktas")))
+    payload = F.when(F.col("work") == "bhagavad-gita", chapter).otherwise(volume)
+    payloads = hymns.select(F.xxhash64("work", "book", "hymn").alias("ord"), F.lit(None).cast("string").alias("tradition"), F.lit("cc0").alias("license"), F.lit(None).cast("string").alias("attribution"), payload.alias("payload"))
+    return scripture.expand(payloads).select("id", "title", "source_url", "tradition", "language", "license", "char_count", "fingerprint")
 
 
 def queries() -> dict[str, Query]:
     """Name to query."""
     return dict(REGISTRY)
-
-

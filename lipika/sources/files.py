@@ -21,8 +21,10 @@ MAX_BYTES = 26_214_400
 
 
 def scan(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
-    """(path, length, content) of the files under a folder; larger files are left out before they are read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most).select("path", "length", "content")
+    """(path, length, content) of the files under a folder; the content of a file over `most` bytes is null and not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= most).select("path", "length", "content").unionByName(large)
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -145,6 +147,9 @@ def extract(files: DataFrame) -> DataFrame:
             rows = []
             for e, data in zip(ext, content, strict=True):
                 try:
+                    if data is None:
+                        rows.append((None, "file too large"))
+                        continue
                     rows.append((EXTRACTORS[e](data), None) if e in EXTRACTORS else (None, f"no reader for {e}"))
                 except Exception as problem:  # noqa: BLE001 - one bad file must not end the job
                     rows.append((None, str(problem)[:160]))

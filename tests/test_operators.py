@@ -35,6 +35,31 @@ def test_greedy_matches_walk(spark):
     assert dedupe.greedy(df.where("false"), "ord", ("fp", "url")).count() == 0
 
 
+def test_greedy_long_chain(spark):
+    """Row n shares one key with row n - 1 and the other with row n + 1: every second row stays, beyond any number of rounds."""
+    rows = [(i, f"f{i // 2}", f"u{(i + 1) // 2}") for i in range(200)]
+    df = spark.createDataFrame(rows, "ord long, fp string, url string")
+    assert sorted(r.ord for r in dedupe.greedy(df, "ord", ("fp", "url"), rounds=3).collect()) == list(range(0, 200, 2))
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 130), (130, 115), (200, 200)]
+    got = dict(map(tuple, dedupe.components(spark.createDataFrame(pairs, "u long, v long")).collect()))
+    assert got == {i: 0 for i in range(61)} | {100: 100, 130: 100, 115: 100}
+    assert dedupe.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_preferred_address(spark):
+    df = spark.createDataFrame([(1, 1, 2, "a/rv"), (2, 1, 2, "a/rv-long"), (3, 1, 3, "bad"), (4, None, None, "x"), (5, 1, 3, "ok")], "ord long, book int, hymn int, url string")
+    assert [r.url for r in dedupe.preferred(df, ["book", "hymn"], "url", "ord", ("bad",)).collect()] == ["x", "a/rv-long", "ok"]
+
+
+def test_superseded_samples_go(spark):
+    long = "word " * 100
+    df = docs(spark, {"doc_id": 1, "title": "Bhagavad Gita", "source_url": "fixtures/bg.txt", "text": "short", "language": "en"}, {"doc_id": 2, "title": "The Bhagavad-Gita", "source_url": "https://a.org", "text": long, "language": "en"}, {"doc_id": 3, "title": "Bhagavad Gita", "source_url": "fixtures/bg_sa.txt", "text": "short", "language": "sa"})
+    assert sorted(r.doc_id for r in dedupe.superseded_samples(df).collect()) == [2, 3]
+
+
 def test_greedy_against_existing(spark):
     df = spark.createDataFrame([(1, "a", "u"), (2, "b", "v"), (3, "c", "w")], "ord long, fp string, url string")
     old = spark.createDataFrame([("a", None), (None, "w")], "fp string, url string")
@@ -106,19 +131,24 @@ def _bm25(query, rows):
             if w:
                 s += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * max(len(v), 1) / avg))
         if s > 0:
-            out[i] = round(s, 9)
+            out[i] = round(s, 6)
     return out
 
 
-def test_bm25_brute_force(spark):
+def test_bm25_brute_force(spark, tmp_path):
+    """Over tokens, in one pass over the texts, and from stored postings."""
     rows = [("a", "Agni", "fire fire burns"), ("b", None, "duty and action"), ("c", "", None), ("d", "Karma", "karma karma work"), ("e", None, "")]
     df = spark.createDataFrame([(i, t, None, None, None, x) for i, t, x in rows], "chunk_id string, title string, work string, locator string, heading string, text string").withColumn("term", F.lit("clash"))
     asked = {"1": "agni agni duty", "2": "karma dharma", "3": ""}
-    got = lexical.bm25(lexical.with_tokens(df), lexical.query_terms(spark, asked)).collect()
-    for q, text in asked.items():
-        assert {r.chunk_id: round(r.score, 9) for r in got if r.query_id == q} == _bm25(text, rows)
-    empty = lexical.with_tokens(df.where("false"))
-    assert lexical.bm25(empty, lexical.query_terms(spark, asked)).count() == 0
+    terms = lexical.query_terms(spark, asked)
+    lexical.write_postings(df, str(tmp_path))
+    for scores in (lexical.bm25(lexical.with_tokens(df), terms), lexical.bm25(lexical.with_hits(df, terms), terms), lexical.bm25_stored(spark, str(tmp_path), terms)):
+        got = scores.collect()
+        for q, text in asked.items():
+            assert {r.chunk_id: r.score for r in got if r.query_id == q} == _bm25(text, rows)
+    assert "bucket" in lexical.bm25_stored(spark, str(tmp_path), terms)._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    for empty in (lexical.with_tokens(df.where("false")), lexical.with_hits(df.where("false"), terms)):
+        assert lexical.bm25(empty, terms).count() == 0
 
 
 def test_vectors(spark):
@@ -204,7 +234,7 @@ def test_catalog_and_status(spark):
     assert {r.tradition: r.documents for r in catalog.tradition_table(d).collect()}["vedic"] == 2
     assert catalog.stats(d.where("false")).count() == 0
     assert status.stored_fingerprint(d.where("false")).first()[0] == "" == status.corpus_fingerprint(d.where("false")).first()[0]
-    assert status.stored_fingerprint(d).first()[0] == hashlib.sha256(b"a|\na|\nb|").hexdigest()
+    assert status.stored_fingerprint(d).first()[0] == hashlib.sha256("\n".join(sorted(f"{i}|{hashlib.sha256(t.encode()).hexdigest()}" for i, t in (("b", "abc"), ("a", ""), ("a", "ocean")))).encode()).hexdigest()
     assert status.corpus_fingerprint(d).first()[0] == status.corpus_fingerprint(d.orderBy(F.desc("doc_id"))).first()[0]
     assert {r.check: r.failures for r in status.expectations(d).collect()}["text missing"] == 1
     p = {r.profile: r.ok for r in status.matching_profiles(status.summary(d), {"a": {"min_documents": 4}, "b": {"expected_documents": 3}}).collect()}

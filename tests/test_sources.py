@@ -77,7 +77,9 @@ def test_files(spark, tmp_path):
     assert rows["d.epub"].text == "first\n\nsecond"
     assert rows["e.epub"].text is None and rows["e.epub"].error
     assert "no reader" in rows["f.bin"].error
-    assert files.scan(spark, str(tmp_path), 1).count() == 1
+    small = files.scan(spark, str(tmp_path), 1)
+    assert small.count() == len(rows) and small.where("content is not null").count() == 1
+    assert files.extract(small).where("error = 'file too large'").count() == len(rows) - 1
     assert files.html_title("<title>T | Vedic Portal</title>") == "T"
     assert files.html_title("<h1>Head</h1>") == "Head"
     page = '<header>x</header><div id="videotext"><p>अग्नि॑</p><br><p>latin</p></div><div class="modal">अग्नि</div>'
@@ -116,3 +118,56 @@ def test_generated(spark):
     assert corpus.hymn_manifest(spark, "1,9-10").count() == 191 + 114 + 191
     maps = spark.createDataFrame([("<loc> https://A.org/2 </loc><loc>https://a.org/1</loc><loc>https://b.org/1</loc>",)], "value string")
     assert [r.url for r in corpus.sitemap_urls(maps, "a.org").collect()] == ["https://A.org/2", "https://a.org/1"]
+
+
+def _payloads(spark, *payloads):
+    import json
+
+    rows = [(i, None, None, None, p if isinstance(p, str) else json.dumps(p, ensure_ascii=False)) for i, p in enumerate(payloads)]
+    return spark.createDataFrame(rows, "ord long, tradition string, license string, attribution string, payload string")
+
+
+def test_payloads_expand(spark):
+    from lipika.sources import scripture
+
+    gita = {"BhagavadGitaChapter": [{"chapter": 2, "verse": 3, "text": "c "}, {"chapter": 2, "verse": 1, "text": "a"}, {"chapter": 2, "verse": 2, "text": " "}]}
+    hymns = [{"veda": "rigveda", "mandala": 10, "sukta": 129, "text": "७ ऋषिः। छन्दः।\nपूर्वम् ॥१॥\nपरम् ॥२॥"}, {"mandala": 10, "sukta": 90, "text": "none"}]
+    four = {"veda": "Samaveda", "verses": [{"part": "SECOND PART", "book": "Book IV", "chapter": "Chapter I", "hymn": 1, "deity": "Agni", "verse": v, "text": f"v{v}"} for v in (2, 1)]}
+    chapters = {"work": "yajurveda", "samhita": "vs", "license": "CC0", "adhyayas": [{"adhyaya": 1, "verses": [{"n": 1, "text": "x"}]}, {"adhyaya": 2, "verses": []}]}
+    kaanda = {"work": "atharvaveda", "kaanda": 1, "suktas": [{"sukta": n, "heading": "h", "verses": [{"n": 1, "text": "y"}]} for n in (2, 1)]}
+    got = scripture.expand(_payloads(spark, gita, hymns, four, chapters, kaanda, "no json", "{}", None)).orderBy("ord", "pos").collect()
+    assert [(r.ord, r.pos, r.title) for r in got] == [
+        (0, 1, "Bhagavad-gītā 2 (Sanskrit, DharmicData)"), (1, 1, "Rigveda RV 10.129 (Sanskrit, DharmicData)"), (2, 1, "Sāmaveda SV 2.4.1.1 (Griffith, DharmicData)"), (3, 1, "Yajurveda VS 1 (Sanskrit, DharmicData)"),
+        (4, 1, "Atharvaveda AV 1.1 (Sanskrit, DharmicData)"), (4, 2, "Atharvaveda AV 1.2 (Sanskrit, DharmicData)"),
+    ]
+    text = [r.text for r in got]
+    assert text[0] == "CHAPTER 2 — Sanskrit (DharmicData)\n\n2.1 a\n\n2.3 c\n"
+    assert text[1] == "HYMN 10.129 — ऋषिः। छन्दः\n\n1. पूर्वम्\n\n2. परम्\n"
+    assert text[2] == "HYMN 2.4.1.1 — Agni\n\n1. v1\n\n2. v2\n" and got[2].language == "en"
+    assert text[3] == "ADHYAYA 1 — vs\n\n1. x\n" and got[3].license == "cc0" and got[0].license == "odbl"
+    assert text[4] == "HYMN 1.1 — h\n\n1. y\n" and got[4].source_url.endswith("atharvaveda_kaanda_1.json#sukta-1")
+    assert scripture.expand(_payloads(spark, "[]")).count() == 0
+
+
+def test_manifest_run(spark):
+    """Each way a source can go, in one run."""
+    from lipika.operators import ingest
+
+    body = "a text that is long enough to be kept, " * 4
+    page = "<html><title>Isha</title><div id='videotext'>ईशा वास्यम्<br>द्वितीयम्</div></html>"
+    rows = [
+        ("one", "https://a.org/1", "public-domain", None, None), ("copy", "https://a.org/2", "public-domain", None, None), ("short", "https://a.org/3", "cc0", None, None), ("gone", "https://a.org/4", "cc0", None, None),
+        ("closed", "https://a.org/5", "all rights", None, None), ("listed", "https://a.org/6", "cc0", False, None), ("portal", "https://v.org/isha", "gov-ind", True, "vedicheritage"), ("empty", "https://v.org/x", "gov-ind", True, "vedicheritage"),
+        ("json", "https://a.org/7.json", "odbl", True, None), ("known", "https://a.org/8", "cc0", None, None),
+    ]
+    sources = spark.createDataFrame([(i, t, u, "Vedic", "EN", lic, d, k, None) for i, (t, u, lic, d, k) in enumerate(rows)], "ord long, title string, url string, tradition string, language string, license string, download boolean, source_class string, attribution string")
+    texts = {"https://a.org/1": body, "https://a.org/2": body.upper(), "https://a.org/3": "short", "https://a.org/5": body, "https://v.org/isha": page, "https://v.org/x": "<p>none</p>", "https://a.org/7.json": '{"work":"atharvaveda","kaanda":1,"suktas":[{"sukta":1,"verses":[{"n":1,"text":"y"}]}]}', "https://a.org/8": body + "other"}
+    fetched = spark.createDataFrame([(u, t, None) for u, t in texts.items()] + [("https://a.org/4", None, "timeout")], "url string, text string, error string")
+    known = spark.createDataFrame([("f", "https://a.org/8")], "fingerprint string, source_url string")
+    new, counters, errors = ingest.ingest(sources, fetched, known)
+    assert {r.counter: r.value for r in counters.collect()} == {"total_sources": 10, "accepted": 8, "skipped_license": 1, "skipped_download_flag": 1, "failed": 1, "empty_or_short": 2, "duplicates": 2, "added": 3}
+    assert sorted(r.title for r in new.collect()) == ["Atharvaveda AV 1.1 (Sanskrit, DharmicData)", "one", "portal"]
+    portal = new.where("language = 'sa' and license = 'gov-ind'").first()
+    assert portal.text == "ईशा वास्यम्\nद्वितीयम्" and portal.char_count == len(portal.text)
+    assert [tuple(r) for r in errors.collect()] == [("https://a.org/4", "timeout")]
+    assert {r.value for r in ingest.ingest(sources.where("false"), fetched)[1].collect()} == {0}
