@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +41,7 @@ _STYLES = tuple(
 )
 _CUTS = re.compile(r"\n+|[^\S\n]+")
 _SENTENCE = re.compile(r"(?:[^\W\d][.!?]|[.!?।॥]{2,}|[!?।॥]|[)\]”’\"'»][.])[\"'”’»)\]]*$")
+_STOPS = frozenset(".!?।॥\"'”’»)]")
 #: What the kind of a cut adds to the depth of its valley.
 WEIGHTS = {"verse": 4.0, "line": 0.5, "sentence": 0.25, "word": 0.0}
 
@@ -86,23 +87,33 @@ def _positions(text: str, form: str):
 
 
 def _cohesion(words: list[tuple[int, str]], cuts: list[int]) -> dict[int, float]:
-    """Cosine similarity of the blocks of BLOCK words before and after each cut, by sliding both blocks."""
-    starts = [p for p, _ in words]
-    left, right = Counter(), Counter(w for _, w in words[:BLOCK])
-    out, i = {}, 0
+    """Cosine similarity of the blocks of BLOCK words before and after each cut, by sliding both blocks: their product and
+    norms change with each word that enters or leaves."""
+    left, right = defaultdict(int), defaultdict(int)
+    for _, w in words[:BLOCK]:
+        right[w] += 1
+    dot, norm_left, norm_right = 0, 0, sum(c * c for c in right.values())
+    out, i, n = {}, 0, len(words)
     for cut in cuts:
-        while i < len(words) and starts[i] < cut:
+        while i < n and words[i][0] < cut:
             w = words[i][1]
+            dot += right[w] - left[w] - 1
+            norm_left += 2 * left[w] + 1
+            norm_right -= 2 * right[w] - 1
             left[w] += 1
-            if i >= BLOCK:
-                left[words[i - BLOCK][1]] -= 1
             right[w] -= 1
-            if i + BLOCK < len(words):
-                right[words[i + BLOCK][1]] += 1
+            if i >= BLOCK:
+                w = words[i - BLOCK][1]
+                dot -= right[w]
+                norm_left -= 2 * left[w] - 1
+                left[w] -= 1
+            if i + BLOCK < n:
+                w = words[i + BLOCK][1]
+                dot += left[w]
+                norm_right += 2 * right[w] + 1
+                right[w] += 1
             i += 1
-        dot = sum(c * right[w] for w, c in left.items() if c)
-        norm = sum(c * c for c in left.values()) * sum(c * c for c in right.values())
-        out[cut] = dot / norm**0.5 if norm else 0.0
+        out[cut] = dot / (norm_left * norm_right) ** 0.5 if norm_left and norm_right else 0.0
     return out
 
 
@@ -132,7 +143,9 @@ def cut_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str, f
     kinds: dict[str, list[int]] = {"verse": sorted(verse_starts), "line": [], "sentence": [], "word": []}
     for m in _CUTS.finditer(text, first, last):
         if m.end() not in verse_starts:
-            kinds["line" if m[0][0] == "\n" else "sentence" if _SENTENCE.search(text, max(first, m.start() - 6), m.start()) else "word"].append(m.end())
+            at = m.start()
+            ends = text[at - 1] in _STOPS and _SENTENCE.search(text, max(first, at - 6), at)
+            kinds["line" if text[at] == "\n" else "sentence" if ends else "word"].append(m.end())
     words = [(m.start(), m[0].lower()) for m in re.finditer(r"\S+", text)]
     kind_of = {c: k for k in ("verse", "line", "sentence") for c in kinds[k]}
     natural = sorted(kind_of)
