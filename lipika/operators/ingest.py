@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lipika.functions import refs, text as T
 from lipika.operators import dedupe, records
@@ -16,7 +17,7 @@ COUNTERS = ("total_sources", "accepted", "skipped_license", "skipped_download_fl
 RECORD = ("id", "text", "source_url", "title", "tradition", "language", "license", "fingerprint", "char_count", "attribution", "work", "book", "hymn")
 
 
-@F.pandas_udf("struct<text:string,title:string>")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("title", StringType())]))
 def _page(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Scripture and title of portal pages."""
     for s in pages:
