@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lipika.llm import canonical, language, lines, mixture, neighbours, packing, scans, splitting, tokens, truncation
 from lipika.session import cut_lineage
-from lipika.tables import table
+from lipika.tables import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,8 @@ def _pieces(spark: SparkSession, sf: str) -> tokens.Pieces:
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of the documents over 4 000 and the chunks over 800 code points."""
-    docs = splitting.split_items(table(spark, sf, "documents", "doc_id", "text"), splitting.DOCUMENT_LIMIT, 200, "doc_id")
-    chunks = splitting.split_items(table(spark, sf, "chunks", "chunk_id", "text"), splitting.CHUNK_LIMIT, 100, "chunk_id")
+    docs = splitting.split_items(spread_table(spark, sf, "documents", "doc_id", "text"), splitting.DOCUMENT_LIMIT, 200, "doc_id")
+    chunks = splitting.split_items(spread_table(spark, sf, "chunks", "chunk_id", "text"), splitting.CHUNK_LIMIT, 100, "chunk_id")
     return docs.withColumn("item_kind", F.lit("document")).unionByName(chunks.withColumn("item_kind", F.lit("chunk")))
 
 
@@ -31,9 +31,9 @@ def p1_cuts(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Items that had to be split, and the verses the pieces of verse chunks hold."""
-    docs = splitting.split_items(table(spark, sf, "documents", "doc_id", "text"), splitting.DOCUMENT_LIMIT, 200, "doc_id")
+    docs = splitting.split_items(spread_table(spark, sf, "documents", "doc_id", "text"), splitting.DOCUMENT_LIMIT, 200, "doc_id")
     # the two stored kinds of chunk go through one split: with a verse column, and without
-    chunks = table(spark, sf, "chunks", "chunk_id", "text", "verse")
+    chunks = spread_table(spark, sf, "chunks", "chunk_id", "text", "verse")
     key = F.concat_ws(":", "chunk_id", F.col("verse").isNotNull().cast("string"))
     parts = splitting.split_items(chunks.withColumn("key", key), splitting.CHUNK_LIMIT, 100, "key")
     item, in_verse = F.split_part("item_id", F.lit(":"), F.lit(1)), F.split_part("item_id", F.lit(":"), F.lit(2)) == "true"
@@ -44,7 +44,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens by source, language and tradition."""
-    docs = table(spark, sf, "documents", "source", "language", "tradition", "text")
+    docs = spread_table(spark, sf, "documents", "source", "language", "tradition", "text")
     return tokens.slice_tokens(docs, _pieces(spark, sf))
 
 
@@ -52,7 +52,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents and of chunks that look the same and are different strings: every row with the representative
     of each other text of its look."""
     found = [
-        canonical.lookalike_pairs(table(spark, sf, name, key, "text"), key, "text").select(F.lit(kind).alias("item_kind"), "item_a", "item_b")
+        canonical.lookalike_pairs(spread_table(spark, sf, name, key, "text"), key, "text").select(F.lit(kind).alias("item_kind"), "item_a", "item_b")
         for kind, name, key in (("document", "documents", "doc_id"), ("chunk", "chunks", "chunk_id"))
     ]
     return found[0].unionByName(found[1])
@@ -60,7 +60,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Every document and chunk that has another text of its look, with its class and the number of its links."""
-    found = [canonical.look_members(table(spark, sf, name, key, "text"), key, "text").withColumn("item_kind", F.lit(kind)) for kind, name, key in (("document", "documents", "doc_id"), ("chunk", "chunks", "chunk_id"))]
+    found = [canonical.look_members(spread_table(spark, sf, name, key, "text"), key, "text").withColumn("item_kind", F.lit(kind)) for kind, name, key in (("document", "documents", "doc_id"), ("chunk", "chunks", "chunk_id"))]
     return found[0].unionByName(found[1])
 
 
@@ -68,7 +68,7 @@ def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and chunks whose text changes, with its canonical form."""
     found = []
     for kind, name, key in (("document", "documents", "doc_id"), ("chunk", "chunks", "chunk_id")):
-        rows = canonical.canonical_column(table(spark, sf, name, key, "text"), "text").where(canonical.changed(F.col("text"), F.col("canonical_text")))
+        rows = canonical.canonical_column(spread_table(spark, sf, name, key, "text"), "text").where(canonical.changed(F.col("text"), F.col("canonical_text")))
         found.append(rows.select(F.lit(kind).alias("item_kind"), F.col(key).cast("string").alias("item_id"), "canonical_text"))
     # a chunk_id may be stored several times with one text
     return found[0].unionByName(found[1].distinct())
@@ -88,7 +88,7 @@ def _retrieved(docs: DataFrame) -> list[DataFrame]:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines repeated on a site, counted in three partitions that arrive one after the other."""
-    docs = table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")
+    docs = spread_table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")
     keyed, counts = lines.keyed(docs, "retrieved_at"), lines.LineCounts()
     for part, new in zip(_retrieved(docs), _retrieved(keyed), strict=True):
         counts.add(part, new)
@@ -97,24 +97,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned documents, reached in three partitions by time of retrieval."""
-    return lines.grown(*_retrieved(table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")))
+    return lines.grown(*_retrieved(spread_table(spark, sf, "documents", "doc_id", "source_url", "text", "retrieved_at")))
 
 
 def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that lose lines, without them."""
-    docs = table(spark, sf, "documents", "doc_id", "source_url", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "source_url", "text")
     keyed = lines.keyed(docs)
     return lines.rebuild(docs, keyed, lines.LineCounts().add(docs, keyed))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks that are each among the other's 5 most similar, with cosine at least 0.90."""
-    return neighbours.mutual_pairs(neighbours.forest_neighbours(neighbours.current_vectors(table(spark, sf, "chunk_embeddings"))))
+    return neighbours.mutual_pairs(neighbours.forest_neighbours(neighbours.current_vectors(spread_table(spark, sf, "chunk_embeddings"))))
 
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 most similar other chunks of every chunk, however similar."""
-    return neighbours.exact_neighbours(neighbours.current_vectors(table(spark, sf, "chunk_embeddings")))
+    return neighbours.exact_neighbours(neighbours.current_vectors(spread_table(spark, sf, "chunk_embeddings")))
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
@@ -124,14 +124,14 @@ def _asked(vectors: DataFrame) -> DataFrame:
 
 def p5_search(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 most similar chunks, however similar, of the stated query set, against all rows."""
-    vectors = neighbours.current_vectors(table(spark, sf, "chunk_embeddings"))
+    vectors = neighbours.current_vectors(spread_table(spark, sf, "chunk_embeddings"))
     return neighbours.exact_neighbours(vectors, _asked(vectors))
 
 
 def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of the forest against brute force over the ids whose hash is divisible by 100: of neighbours with cosine at
     least 0.90, which is what `p5_found` asks it for, and of the 5 nearest however similar."""
-    vectors = neighbours.current_vectors(table(spark, sf, "chunk_embeddings"))
+    vectors = neighbours.current_vectors(spread_table(spark, sf, "chunk_embeddings"))
     found = []
     for least in (neighbours.MIN_COSINE, -1.0):
         kept, _ = neighbours.without_copies(vectors)
@@ -143,7 +143,7 @@ def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents", "doc_id", "language", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "language", "text")
     return language.segments(docs, language.learn(docs))
 
 
@@ -164,17 +164,17 @@ def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of scans with their noise."""
-    return scans.noisy_lines(table(spark, sf, "documents", "doc_id", "source", "text"))
+    return scans.noisy_lines(spread_table(spark, sf, "documents", "doc_id", "source", "text"))
 
 
 def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """Scans as continuous paragraphs."""
-    return scans.repaired(table(spark, sf, "documents", "doc_id", "source", "text"))
+    return scans.repaired(spread_table(spark, sf, "documents", "doc_id", "source", "text"))
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, or its pieces, with its container."""
-    return packing.pack(table(spark, sf, "documents", "doc_id", "text"), _pieces(spark, sf))
+    return packing.pack(spread_table(spark, sf, "documents", "doc_id", "text"), _pieces(spark, sf))
 
 
 def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +188,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sized = mixture.sized_documents(table(spark, sf, "documents", "doc_id", "source", "text"), _pieces(spark, sf))
+    sized = mixture.sized_documents(spread_table(spark, sf, "documents", "doc_id", "source", "text"), _pieces(spark, sf))
     targets = table(spark, sf, "mix_targets")
     return mixture.mix(sized, targets), mixture.budgets(sized, targets)
 
@@ -209,7 +209,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.judged(table(spark, sf, "documents", "doc_id", "source", "n_chars", "text"))
+    return truncation.judged(spread_table(spark, sf, "documents", "doc_id", "source", "n_chars", "text"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
