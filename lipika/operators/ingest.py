@@ -47,9 +47,10 @@ def ingest(sources: DataFrame, fetched: DataFrame, existing: DataFrame | None =
     texts one each if they have `min_chars`. Records are deduplicated in order against the corpus and each other. Counters are
     (counter, value) rows; errors (url, error)."""
     gated = cut_lineage(records.gate(sources).join(fetched.select("url", "text", "error"), "url", "left"))
-    ok = gated.where("reason = 'ok'")
-    failed = ok.where("text is null or error is not null").select("url", F.coalesce("error", F.lit("not fetched")).alias("error"))
-    there = ok.where("text is not null and error is null")
+    broken = F.col("source_class").eqNullSafe("structured-json") & F.try_parse_json("text").isNull()
+    ok = gated.where("reason = 'ok'").withColumn("error", F.coalesce("error", F.when(F.col("text").isNull(), "not fetched").when(broken, "no JSON")))
+    failed = ok.where("error is not null").select("url", "error")
+    there = ok.where("error is null")
     kind = F.when(F.col("source_class").eqNullSafe("vedicheritage"), "portal").when(F.col("source_class").eqNullSafe("structured-json") | scripture.shape(F.col("text")).isNotNull(), "structured").otherwise("plain")
     there = cut_lineage(there.withColumn("kind", kind))
     plain = there.where("kind = 'plain'")

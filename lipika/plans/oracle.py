@@ -230,5 +230,22 @@ w(user_id, event_id, rn, start, n) AS (
 SELECT event_id, user_id, epoch_us(start) AS started, n <= 2 AS allowed FROM w"""
     words = f"len(regexp_extract_all(text, '[^{_WS}]+'))"
     sql["ml_compression"] = f"SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters, sum({words})::BIGINT AS tokens, round(sum(length(text))::DOUBLE / sum({words}), 3) AS ratio, round(sum({words})::DOUBLE / count(*), 2) AS average FROM documents WHERE text <> ''"
-    sql["txt_folded"] = f"SELECT doc_id, md5({_folded('text')}) AS digest FROM documents WHERE text IS NOT NULL"
+    host = lambda c: f"regexp_replace(lower(regexp_extract({c}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '^www\\.', '')"
+    license_ = _strip("lower(coalesce(license, ''))")
+    reason = f"CASE WHEN {license_} NOT IN ('public-domain', 'cc0', 'cc-by', 'cc-by-sa', 'odbl', 'authorized', 'official-api', 'gov-ind') OR {_strip("coalesce(url, '')")} = '' THEN 'license' WHEN download IS NOT DISTINCT FROM false THEN 'download' ELSE 'ok' END"
+    sql["qry_ingest"] = f"""WITH d AS (SELECT {host('source_url')} AS h, arg_min(text, doc_id) AS text FROM documents WHERE text IS NOT NULL AND {host('source_url')} <> '' GROUP BY 1),
+m AS (SELECT url, {reason} AS reason, CASE WHEN source_class IS DISTINCT FROM 'structured-json' OR json_valid(text) THEN text END AS text FROM manifest_sources LEFT JOIN d ON {host('url')} = h),
+ok AS (SELECT *, text IS NOT NULL AND length(text) >= 80 AS long, sha256({_flat('lower(text)')}) AS fp FROM m WHERE reason = 'ok'),
+first AS (SELECT count(*) AS n FROM (SELECT DISTINCT url, fp FROM ok WHERE long))
+SELECT unnest(['total_sources', 'accepted', 'skipped_license', 'skipped_download_flag', 'failed', 'empty_or_short', 'duplicates', 'added']) AS counter,
+ unnest([(SELECT count(*) FROM m), (SELECT count(*) FROM ok), (SELECT count(*) FROM m WHERE reason = 'license'), (SELECT count(*) FROM m WHERE reason = 'download'), (SELECT count(*) FROM ok WHERE text IS NULL),
+  (SELECT count(*) FROM ok WHERE text IS NOT NULL AND NOT long), (SELECT count(*) FROM ok WHERE long) - (SELECT n FROM first), (SELECT n FROM first)]) AS value"""
+    flat = _strip("regexp_replace(regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
+    sql["jsn_records"] = f"""WITH v AS (SELECT work, book, CASE WHEN work <> 'bhagavad-gita' THEN hymn END AS hymn, hymn AS own, verse, min({flat}) AS t FROM chunks WHERE work IN ('rigveda', 'atharvaveda', 'bhagavad-gita') AND book IS NOT NULL AND verse IS NOT NULL AND text IS NOT NULL AND (work = 'bhagavad-gita' OR hymn IS NOT NULL) GROUP BY ALL HAVING min({flat}) <> ''),
+r AS (SELECT work, book, hymn, CASE WHEN work = 'bhagavad-gita' THEN concat('CHAPTER ', book, ' — Sanskrit (DharmicData)', chr(10), chr(10), string_agg(concat(book, '.', verse, ' ', t), chr(10) || chr(10) ORDER BY verse), chr(10))
+ ELSE concat('HYMN ', book, '.', hymn, chr(10), chr(10), string_agg(concat(verse, '. ', t), chr(10) || chr(10) ORDER BY verse), chr(10)) END AS text FROM v GROUP BY work, book, hymn, own),
+n AS (SELECT text, CASE work WHEN 'rigveda' THEN 'Rigveda RV ' WHEN 'atharvaveda' THEN 'Atharvaveda AV ' ELSE 'Bhagavad-gītā ' END || concat_ws('.', book, hymn) || ' (Sanskrit, DharmicData)' AS title,
+ 'https://github.com/bhavykhatri/DharmicData/blob/main/' || CASE work WHEN 'rigveda' THEN concat('Rigveda/rigveda_mandala_', book, '.json#sukta-', hymn) WHEN 'atharvaveda' THEN concat('AtharvaVeda/atharvaveda_kaanda_', book, '.json#sukta-', hymn) ELSE concat('SrimadBhagvadGita/bhagavad_gita_chapter_', book, '.json') END AS source_url,
+ CASE WHEN work = 'bhagavad-gita' THEN 'vaishnava' ELSE 'vedic' END AS tradition, sha256({_flat('lower(text)')}) AS fingerprint FROM r)
+SELECT sha256(concat(source_url, '|', title, '|', fingerprint[1:16]))[1:24] AS id, title, source_url, tradition, 'sa' AS language, 'cc0' AS license, length(text)::INT AS char_count, fingerprint FROM n"""
     return sql
