@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lipika.session import cut_lineage
+
 #: Labels that name no language.
 NO_LANGUAGE = ("", "und", "unknown")
 #: White space as Unicode has it, for Java patterns (Java's own \\s is ASCII only).
@@ -40,3 +42,13 @@ def hash_sample(df: DataFrame, key: str, size: int, rows: int) -> DataFrame:
     No order is taken, so what reaches the driver does not grow with the number of partitions."""
     share = 1.0 if rows <= size else size / rows
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * size)
+
+
+#: Most ids or keys that are broadcast; about 4 MB.
+BROADCAST = 100_000
+
+
+def checked(keys: DataFrame) -> DataFrame:
+    """Keys, written to the shared folder; to be broadcast in joins if there are at most BROADCAST of them, else shuffled."""
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys

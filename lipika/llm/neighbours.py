@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lipika.llm.labels import hash_sample
+from lipika.llm.labels import checked, hash_sample
 from lipika.session import cut_lineage
 
 MODEL, DIMENSIONS, K, MIN_COSINE = "mini-multi-64", 64, 5, 0.90
@@ -36,8 +36,6 @@ TREES, BITS, SAMPLE, RANGE_ROWS = 4, 62, 20_000, 65_536
 CANDIDATES = 16_384
 #: Queries and vectors compared at a time; rows of a range held at a time; vectors of a group of `all_neighbours`.
 BLOCK, STEP, HELD, GROUP = 256, 2_048, 262_144, 98_304
-#: Most ids or keys that are broadcast; about 4 MB.
-BROADCAST = 100_000
 _SCALE = 32_000.0
 #: Cosine from which two vectors are copies; floats leave them this far from 1.
 COPY = 1 - 1e-6
@@ -91,17 +89,11 @@ def current_vectors(embeddings: DataFrame, model: str = MODEL, size: int = DIMEN
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _binary(_unit16(x), 2 * size)], names=["id", "created_at", "vector"])
 
     packed = cut_lineage(rows.mapInArrow(pack, "id string, created_at timestamp, vector binary"))
-    several = _checked(packed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    several = checked(packed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     latest = packed.join(several, "id", "left_semi").groupBy("id").agg(F.max(F.struct("created_at", "vector"))["vector"].alias("vector"))
     return packed.join(several, "id", "left_anti").select("id", "vector").unionByName(cut_lineage(latest))
 
 
-def _checked(keys: DataFrame) -> DataFrame:
-    """Keys, written; to be broadcast in joins if there are at most BROADCAST of them, else to be shuffled."""
-    keys = cut_lineage(keys)
-    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
-
-
 class Forest:
     """Hyperplanes of the trees, the borders of their ranges and the sorted strings of the sample."""
 
@@ -325,12 +317,12 @@ def without_copies(vectors: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame
     large = cut_lineage(large)
     if large.isEmpty():
         return vectors, None
-    members = cut_lineage(keyed.join(_checked(large), ["k1", "k2"]))
+    members = cut_lineage(keyed.join(checked(large), ["k1", "k2"]))
     rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
     first = cut_lineage(members.withColumn("rank", rank).where(F.col("rank") <= k + 1))
     rest = members.join(first.select("id"), "id", "left_anti")
     near = rest.join(first.where(F.col("rank") <= k).select("k1", "k2", F.col("id").alias("other"), "rank"), ["k1", "k2"])
-    return vectors.join(_checked(rest.select("id")), "id", "left_anti"), near.select("id", "other", F.lit(1.0).cast("float").alias("cosine"), "rank")
+    return vectors.join(checked(rest.select("id")), "id", "left_anti"), near.select("id", "other", F.lit(1.0).cast("float").alias("cosine"), "rank")
 
 
 def with_dense(vectors: DataFrame, near: DataFrame, k: int = K, least: float = MIN_COSINE) -> DataFrame:
@@ -342,7 +334,7 @@ def with_dense(vectors: DataFrame, near: DataFrame, k: int = K, least: float = M
     dense = cut_lineage(near.where((F.col("rank") == k) & (F.col("cosine") < COPY)).select("id"))
     if dense.isEmpty():
         return near
-    dense = _checked(dense)
+    dense = checked(dense)
     asked = cut_lineage(vectors.join(dense, "id", "left_semi"))
     return near.join(dense, "id", "left_anti").unionByName(all_neighbours(vectors, asked, k, least))
 

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lipika.llm.labels import checked
 from lipika.session import cut_lineage
 
 SCAN_SHARE = 0.05
@@ -410,15 +411,16 @@ def noise(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     The last are the documents read as scans (doc_id, text): those of the sources and those without source that show it."""
     counts, sources = word_counts(docs)
     frequent = frequent_words(counts)
-    said = docs.where("source is not null").join(sources, "source", "left_semi").select("doc_id", "text", F.lit(1).alias("expected"))
-    other = docs.join(sources, "source", "left_anti").select("doc_id", "text", F.when(F.col("source").isNull(), 0).otherwise(-1).alias("expected"))
-    seen = observed(said.unionByName(other), frequent)
+    # one row per source, so the texts stay where they are read
+    marked = docs.join(checked(sources.withColumn("said", F.lit(True))), "source", "left")
+    marked = marked.select("doc_id", "text", F.when(F.col("said"), 1).when(F.col("source").isNull(), 0).otherwise(-1).alias("expected"))
+    seen = observed(marked, frequent)
     reader = learn(seen, counts, frequent)
     joined = breaks(seen, counts)
     pages = seen.where("kind = 'page'").select("doc_id", "line_no")
     shown = pages.select("doc_id").union(joined.select("doc_id")).distinct()
-    not_scans = other.where("expected = 0").select("doc_id").join(shown, "doc_id", "left_anti")
-    scans = said.drop("expected").unionByName(other.drop("expected").join(shown, "doc_id", "left_semi"))
+    not_scans = docs.where("source is null").select("doc_id").join(shown, "doc_id", "left_anti")
+    scans = marked.where("expected = 1").select("doc_id", "text").unionByName(marked.where("expected < 1").select("doc_id", "text").join(shown, "doc_id", "left_semi"))
     return pages, joined, corrections(seen, counts, reader).join(not_scans, "doc_id", "left_anti"), scans
 
 
