@@ -27,6 +27,11 @@ def page(docs: DataFrame, order: str, limit: int = 50, offset: int = 0) -> DataF
     return docs.orderBy(order).offset(offset).limit(limit)
 
 
+def page_total(docs: DataFrame) -> DataFrame:
+    """(total): rows a listing has before it is cut into pages."""
+    return docs.agg(F.count("*").alias("total"))
+
+
 def facets(docs: DataFrame) -> DataFrame:
     """(facet, value, documents) over all documents, spelled as stored; null values are no facet value."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("tradition", "language")))).alias("f")

@@ -140,6 +140,22 @@ def upsert(target: DataFrame, source: DataFrame, key: str, keep: tuple[str, ...]
     return target.join(source.select(key), key, "left_anti").unionByName(new.select(*target.columns))
 
 
+def replace_documents(index: DataFrame, fresh: DataFrame, doc: str = "doc_id", changed: DataFrame | None = None) -> DataFrame:
+    """`index` with all rows of the changed documents replaced by those of `fresh`; without `changed`, of the documents in
+    `fresh`. A changed document without fresh rows is gone from the index; rows of others stay as they are."""
+    gone = (fresh if changed is None else changed).select(doc).distinct()
+    return index.join(gone, doc, "left_anti").unionByName(fresh.select(*index.columns))
+
+
+def synced(target: DataFrame, source: DataFrame, key: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(target after the run, counters): all of `source` merged in, then rows whose key is not in it purged.
+
+    An empty source purges everything. Counters are (counter, value) rows: synced and purged."""
+    kept, purged = purge(upsert(target, source, key, keep), source, key)
+    counts = source.agg(F.count("*").alias("value")).select(F.lit("synced").alias("counter"), "value").unionByName(purged.agg(F.count("*").alias("value")).select(F.lit("purged").alias("counter"), "value"))
+    return kept, counts
+
+
 def purge(target: DataFrame, kept: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is in `kept`, rows whose key is not)."""
     ids = kept.select(key)

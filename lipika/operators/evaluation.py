@@ -38,6 +38,17 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.withColumn("change", change)
 
 
+def gate(comparison: DataFrame) -> bool:
+    """Whether a change may go ahead: no query that was answered before is lost."""
+    return comparison.where("change = 'lost'").isEmpty()
+
+
+def exit_code(results: DataFrame, least: float = 1.0) -> int:
+    """0 if at least that share of the queries passed, 1 if not, 2 if there was none."""
+    row = pass_rate(results).first()
+    return 2 if not row["total"] else 0 if row["rate"] >= least else 1
+
+
 def splits(query_ids: DataFrame, ratio: float = 0.2, pinned: tuple[str, ...] = PINNED_TRAIN) -> DataFrame:
     """(query_id, split): the last round(n * ratio) ids in order that are not pinned are held out; at least one of two or more."""
     ids = query_ids.select("query_id").where("query_id is not null").distinct()

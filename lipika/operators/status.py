@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lipika.functions.text import content_fingerprint
@@ -46,6 +50,26 @@ def stored_fingerprint(docs: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.max("fingerprint"), F.lit("")).alias("fingerprint"))  # no rows have no partition
 
 
+def lock(docs: DataFrame, profile: str | None = None) -> dict:
+    """The lock document of a corpus: its summary, its digest, and the profile it was built for."""
+    facts = summary(docs).first().asDict()
+    return facts | {"fingerprint": stored_fingerprint(docs).first()[0], "profile": profile}
+
+
+def write_json(document: dict, path: str) -> None:
+    """Write a small document in one step, so that a reader sees the old or the new one."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    fresh = target.with_name(f".{target.name}.{os.getpid()}")
+    fresh.write_text(json.dumps(document, ensure_ascii=False, sort_keys=True, default=str), encoding="utf-8")
+    fresh.replace(target)
+
+
+def changed(docs: DataFrame, locked: dict) -> bool:
+    """Whether a corpus is another than its lock says."""
+    return stored_fingerprint(docs).first()[0] != locked.get("fingerprint")
+
+
 def summary(docs: DataFrame) -> DataFrame:
     """(documents, characters, traditions, languages, works) in one row."""
     size = F.coalesce(F.nullif("n_chars", F.lit(0)), F.length("text").cast("bigint"), F.lit(0))

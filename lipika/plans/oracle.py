@@ -164,6 +164,13 @@ i AS (SELECT profile, CASE WHEN d < low THEN 'too few documents' WHEN d > high T
 SELECT profile, issue IS NULL AS ok, coalesce(issue, '') AS issue FROM i"""
     sql["agg_embedding_quality"] = f"SELECT model_name, count(*) AS rows, count(*) FILTER (coalesce({_USABLE}, false)) AS usable FROM chunk_embeddings GROUP BY 1"
     sql["agg_metrics"] = "SELECT event_type, user_id % 10 AS user_group, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+    sql["agg_exposition"] = """SELECT concat('events_total{event_type="', event_type, '"} ', count(*)) AS line FROM events GROUP BY event_type"""
+    sql["top_total"] = "SELECT count(*) AS total FROM documents WHERE lower(language) = 'en' AND contains(lower(concat(coalesce(title, ''), ' ', coalesce(substr(text, 1, 4000), ''), ' ', coalesce(source_url, ''))), 'ocean')"
+    sql["snk_synced"] = """WITH t AS (SELECT url, language FROM manifest_sources QUALIFY row_number() OVER (PARTITION BY url ORDER BY title NULLS FIRST, language NULLS FIRST) = 1)
+SELECT 'synced' AS counter, count(*) FILTER (language = 'en') AS value FROM t UNION ALL SELECT 'purged', count(*) FILTER (language IS DISTINCT FROM 'en') FROM t"""
+    sql["snk_replaced"] = """WITH c AS (SELECT DISTINCT doc_id, chunk_id, chunk_index FROM chunks), g AS (SELECT doc_id FROM documents WHERE retrieved_at >= TIMESTAMP '2025-01-01')
+SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM g) UNION ALL SELECT doc_id, 'new-' || chunk_id, chunk_index FROM c WHERE chunk_index = 0 AND doc_id IN (SELECT doc_id FROM g)"""
+    sql["set_preferred"] = "SELECT doc_id, book, hymn, source_url FROM documents WHERE source_url IS NOT NULL AND book IS NOT NULL AND hymn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book, hymn ORDER BY length(source_url) DESC, doc_id) = 1"
     sql["top_page"] = "SELECT doc_id, title, language FROM documents WHERE lower(language) = 'en' AND contains(lower(concat(coalesce(title, ''), ' ', coalesce(substr(text, 1, 4000), ''), ' ', coalesce(source_url, ''))), 'ocean') ORDER BY doc_id LIMIT 25 OFFSET 10"
     sql["top_lookup"] = "SELECT doc_id, id, title FROM documents WHERE id = (SELECT min(id) FROM documents) ORDER BY doc_id LIMIT 1"
     sql["win_chunks"] = f"""WITH RECURSIVE d AS (SELECT doc_id, {_strip('text')} AS t FROM documents WHERE text IS NOT NULL),

@@ -207,6 +207,41 @@ def agg_metrics(spark, sf):
     return limiter.counters(rows, "event_type", "user_group", value="value").withColumn("total", F.round("total", 4))
 
 
+@query
+def agg_exposition(spark, sf):
+    """AGG-09: counters as sorted text lines."""
+    return limiter.exposition(limiter.counters(table(spark, sf, "events", "event_type"), "event_type"), "events_total", ("event_type",))
+
+
+@query
+def top_total(spark, sf):
+    """TOP-05: how many documents a filtered listing has in all."""
+    return catalog.page_total(catalog.matching(_docs(spark, sf, "title", "text", "language", "source_url"), language="EN", q="ocean"))
+
+
+@query
+def snk_synced(spark, sf):
+    """SNK-05: upsert, then purge of what the source doesn't hold; its counters."""
+    target = dedupe.first_per_key(table(spark, sf, "manifest_sources", "url", "title", "language", "attribution"), ["url"], [F.col("title"), F.col("language")])
+    return dedupe.synced(target, target.where("language = 'en'"), "url", ("attribution",))[1]
+
+
+@query
+def snk_replaced(spark, sf):
+    """SNK-07: the chunks of changed documents in place of their old ones."""
+    chunks = table(spark, sf, "chunks", "doc_id", "chunk_id", "chunk_index").distinct()
+    changed = _docs(spark, sf, "doc_id", "retrieved_at").where("retrieved_at >= timestamp'2025-01-01'").select("doc_id")
+    fresh = chunks.join(changed, "doc_id", "left_semi").where("chunk_index = 0").withColumn("chunk_id", F.concat(F.lit("new-"), "chunk_id"))
+    return dedupe.replace_documents(chunks, fresh, changed=changed)
+
+
+@query
+def set_preferred(spark, sf):
+    """SET-06: one hymn each, the one with the longest address."""
+    rows = _docs(spark, sf, "doc_id", "book", "hymn", "source_url").where("source_url is not null and book is not null and hymn is not null")
+    return dedupe.preferred(rows, ["book", "hymn"], "source_url", "doc_id")
+
+
 @query
 def top_page(spark, sf):
     """TOP-05, FLT-26: one page of a filtered listing."""

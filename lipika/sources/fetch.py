@@ -46,11 +46,15 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         return None
 
 
-def fetch(url: str, folder: str, title: str = "", base: str = ".", most: int = MAX_BYTES, timeout: float = 60.0) -> Path:
-    """Copy a local file under `base`, or download an address, every hop of which is checked; at most `most` bytes."""
+def fetch(url: str, folder: str, title: str = "", base: str = ".", most: int = MAX_BYTES, timeout: float = 60.0, keep: int | None = None) -> Path:
+    """Copy a local file under `base`, or download an address, every hop of which is checked; at most `most` bytes.
+
+    With `keep`, a file already there that is larger than so many bytes is taken as it is."""
     name = "".join(c if c.isalnum() else "_" for c in (title or "source").lower())[:60]
     dest = Path(folder) / f"{name}_{sha256(url.encode()).hexdigest()[:24]}{Path(urlsplit(url).path).suffix or '.bin'}"
     dest.parent.mkdir(parents=True, exist_ok=True)
+    if keep is not None and dest.exists() and dest.stat().st_size > keep:
+        return dest
     if urlsplit(url).scheme in ("", "file"):
         source = safe_path(urlsplit(url).path, base)
         if source.stat().st_size > most:

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lipika.functions import text as T
+from lipika.settings import bounded
 
 DROPPED = frozenset({"script", "style", "noscript", "nav", "footer", "header"})
 BLOCKS = frozenset({"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "blockquote", "title"})
-MAX_BYTES = 26_214_400
+#: Largest file that is read, in bytes; set by LIPIKA_MAX_BYTES, a megabyte at least.
+MAX_BYTES = bounded("LIPIKA_MAX_BYTES", 26_214_400, 1_048_576)
 
 
 def scan(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
@@ -33,13 +35,13 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(data: bytes | None) -> str | None:
-    """Text of bytes: UTF-8, with mark, UTF-16, else Latin-1."""
+    """Text of bytes: UTF-8, with mark, UTF-16 with mark or with every second byte zero, else Latin-1."""
     if data is None:
         return None
-    for encoding in ("utf-8-sig", "utf-16"):
+    zeros = [data[i::2].count(0) * 4 > len(data) for i in (0, 1)] if len(data) > 3 else [False, False]
+    encodings = ["utf-16"] if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ["utf-16-le"] if zeros[1] and not zeros[0] else ["utf-16-be"] if zeros[0] and not zeros[1] else []
+    for encoding in (*encodings, "utf-8-sig"):
         try:
-            if encoding == "utf-16" and not data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-                continue
             return data.decode(encoding)
         except UnicodeDecodeError:
             continue

@@ -47,6 +47,13 @@ def counters(events: DataFrame, *keys: str, value: str | None = None) -> DataFra
     return events.groupBy(*keys).agg(*sums)
 
 
+def exposition(counted: DataFrame, name: str, labels: tuple[str, ...], value: str = "events") -> DataFrame:
+    """(line): one counter as lines `name{label="value",...} number`, sorted; quotes, backslashes and line ends escaped."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    parts = [F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels]
+    return counted.select(F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *parts), F.lit("} "), F.col(value).cast("string")).alias("line")).orderBy("line")
+
+
 def windowed_counters(events: DataFrame, width: str, *keys: str, late: str = "10 minutes") -> DataFrame:
     """Counts by tumbling window and key; a window is final once the watermark passes it."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("events"))

@@ -63,4 +63,11 @@ def test_engine(spark, tmp_path):
     assert e.listing(q="fire").count() == 1
     with pytest.raises(ValueError):
         e.search(" ")
+    assert e.index_stats()["documents"] == 2
+    df.where("doc_id <> 2").withColumn("text", F.when(F.col("doc_id") == 3, "a new text about the moon").otherwise(F.col("text"))).write.mode("overwrite").parquet(str(tmp_path / "other.parquet"))
+    spark.read.parquet(str(tmp_path / "other.parquet")).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    changed = spark.createDataFrame([(2,), (3,)], "doc_id long")
+    assert e.update_index(changed) == 2 and 3 in {r.doc_id for r in e.search("moon", 2).collect()}
+    said = e.explain("RV.10.129.1", lambda p: '{"words": [{"word": "a", "lemma": "b", "meaning": "c"}]}' if "existent" in p["user"] else "", "Explain")
+    assert said["words"][0]["lemma"] == "b" and e.explain("RV.1.1.1", lambda p: "", "Explain") is None
     assert list(e.ask_events(""))[0]["event"] == "error"

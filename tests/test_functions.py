@@ -102,3 +102,20 @@ def test_expand_query_keeps_order():
     assert all(x == x.strip() and x for x in got)
     assert len({x.lower() for x in got}) == len(got)
     assert re.search("action", " ".join(got))
+
+
+def test_settings(monkeypatch):
+    from lipika.settings import bounded, flag
+
+    monkeypatch.setenv("LIPIKA_T", " Yes ")
+    assert flag("LIPIKA_T") and not flag("LIPIKA_NONE") and flag("LIPIKA_NONE", True)
+    monkeypatch.setenv("LIPIKA_T", "900")
+    assert bounded("LIPIKA_T", 5, 1, 100) == 100 and bounded("LIPIKA_T", 5, 1000) == 1000 and bounded("LIPIKA_NONE", 5, 1) == 5
+
+
+def test_exact_halves_go_to_the_even_digit(spark):
+    from lipika.functions import text as T
+
+    values = [0.001953125, 0.005859375, -0.001953125, 0.5, 1e-9]
+    got = spark.createDataFrame([(values,)], "v array<float>").select(T.vector_literal(F.col("v"))).first()[0]
+    assert got == "[" + ",".join(f"{v:.8f}" for v in values) + "]"

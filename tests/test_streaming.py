@@ -49,3 +49,34 @@ def test_jobs(spark):
     bad = jobs.submit("fail", lambda s: 1 / 0)
     assert jobs.wait(ok) == 5 and jobs.wait(bad) is None
     assert {r.job_id: r.status for r in jobs.table().collect()} == {ok: "done", bad: "error"}
+
+
+def test_jobs_outlive_the_process(spark, tmp_path):
+    import json
+
+    jobs = Jobs(spark, folder=str(tmp_path))
+    done = jobs.submit("count", lambda s: s.range(5).count())
+    jobs.wait(done)
+    (tmp_path / "abc.json").write_text(json.dumps({"job_id": "abc", "kind": "k", "status": "running", "created_at": "2025-01-01T00:00:00+00:00", "finished_at": None, "error": None}))
+    (tmp_path / "bad.json").write_text("{")
+    again = Jobs(spark, folder=str(tmp_path))
+    assert again.get(done)["status"] == "done" and again.get("abc")["error"] == "interrupted" and again.get("bad") is None
+    assert again.table(0).count() == 1
+    assert json.loads((tmp_path / "abc.json").read_text())["status"] == "error"
+
+
+def test_exposition(spark):
+    df = spark.createDataFrame([("b", 2), ('a"\n\\', 1)], "k string, events long")
+    assert [r.line for r in limiter.exposition(df, "n", ("k",)).collect()] == ['n{k="a\\"\\n\\\\"} 1', 'n{k="b"} 2']
+
+
+def test_large_files_are_told(spark, tmp_path, monkeypatch):
+    from lipika.sources import files
+
+    src, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    src.mkdir()
+    (src / "a.txt").write_text("A text long enough to be kept. " * 5)
+    (src / "b.txt").write_text("x" * 5_000)
+    monkeypatch.setattr(files, "MAX_BYTES", 1_000)
+    ingest.ingest_folder(spark, str(src), out, cp).awaitTermination()
+    assert spark.read.parquet(out).count() == 1 and [r.error for r in spark.read.parquet(f"{out}.errors").collect()] == ["file too large"]
