@@ -139,3 +139,6 @@ SHEET_URL = "https://github.com/VedaWebProject/vedaweb-data/blob/main/rigveda/ve
 COLLECTION_ATTRIBUTION = "Contains information from DharmicData (https://github.com/bhavykhatri/DharmicData), available under the Open Database License (ODbL). Sanskrit slokas/mantras only; modern commentaries and translations omitted."
 COLLECTION_SANSKRIT, COLLECTION_GRIFFITH, COLLECTION_HEADING, SAMHITA = "Sanskrit, DharmicData", "Griffith, DharmicData", "Sanskrit (DharmicData)", "vajasaneyi-madhyandina"
 PAYLOAD_TITLES = {"bhagavad-gita": "Bhagavad-gītā ", "rigveda": "Rigveda RV ", "yajurveda": "Yajurveda VS ", "atharvaveda": "Atharvaveda AV ", "samaveda": "Sāmaveda SV "}
+
+# Classes of sources that are read in a way of their own, the portal's licence, a title where a page has none.
+PORTAL_CLASS, STRUCTURED_CLASS, PORTAL_LICENSE, PORTAL_TITLE = "vedicheritage", "structured-json", "gov-ind", "Vedic Heritage text"

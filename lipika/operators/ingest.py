@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lipika.functions import refs, text as T
+from lipika.functions import fixed, refs, text as T
 from lipika.operators import dedupe, records
 from lipika.session import cut_lineage
 from lipika.sources import files, scripture
@@ -28,12 +28,12 @@ def portal_records(rows: DataFrame) -> DataFrame:
     """Records of portal pages (ord, url, title, tradition, attribution, text): their Devanagari lines; pages without any give none."""
     stem = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"([^/_.-]+)[^/]*/?$", 1)
     rows = rows.withColumn("page", _page("text")).where(F.coalesce("page.text", F.lit("")) != "")
-    title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("page.title", F.lit("")), F.nullif(F.initcap(stem), F.lit("")), F.lit("Vedic Heritage text"))
+    title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("page.title", F.lit("")), F.nullif(F.initcap(stem), F.lit("")), F.lit(fixed.PORTAL_TITLE))
     body = F.regexp_replace("page.text", "\n{3,}", "\n\n")
     made = rows.select("ord", "url", title.alias("title"), "tradition", "attribution", body.alias("text"), T.content_fingerprint(body).alias("fingerprint"), refs.portal_reference(F.col("url")).alias("ref"))
     return made.select(
         "ord", F.lit(1).alias("pos"), T.stable_id(F.col("url"), F.col("title"), F.substring("fingerprint", 1, 16)).alias("id"), "text", F.col("url").alias("source_url"), "title",
-        F.lower(T.or_default(F.col("tradition"), "vedic")).alias("tradition"), F.lit("sa").alias("language"), F.lit("gov-ind").alias("license"), "fingerprint", F.length("text").alias("char_count"), "attribution",
+        F.lower(T.or_default(F.col("tradition"), "vedic")).alias("tradition"), F.lit("sa").alias("language"), F.lit(fixed.PORTAL_LICENSE).alias("license"), "fingerprint", F.length("text").alias("char_count"), "attribution",
         refs.detect_work(F.col("title"), F.col("url")).alias("work"), "ref.book", "ref.hymn",
     )
 
@@ -47,11 +47,11 @@ def ingest(sources: DataFrame, fetched: DataFrame, existing: DataFrame | None =
     texts one each if they have `min_chars`. Records are deduplicated in order against the corpus and each other. Counters are
     (counter, value) rows; errors (url, error)."""
     gated = cut_lineage(records.gate(sources).join(fetched.select("url", "text", "error"), "url", "left"))
-    broken = F.col("source_class").eqNullSafe("structured-json") & F.try_parse_json("text").isNull()
+    broken = F.col("source_class").eqNullSafe(fixed.STRUCTURED_CLASS) & F.try_parse_json("text").isNull()
     ok = gated.where("reason = 'ok'").withColumn("error", F.coalesce("error", F.when(F.col("text").isNull(), "not fetched").when(broken, "no JSON")))
     failed = ok.where("error is not null").select("url", "error")
     there = ok.where("error is null")
-    kind = F.when(F.col("source_class").eqNullSafe("vedicheritage"), "portal").when(F.col("source_class").eqNullSafe("structured-json") | scripture.shape(F.col("text")).isNotNull(), "structured").otherwise("plain")
+    kind = F.when(F.col("source_class").eqNullSafe(fixed.PORTAL_CLASS), "portal").when(F.col("source_class").eqNullSafe(fixed.STRUCTURED_CLASS) | scripture.shape(F.col("text")).isNotNull(), "structured").otherwise("plain")
     there = cut_lineage(there.withColumn("kind", kind))
     plain = there.where("kind = 'plain'")
     long = plain.where(F.length("text") >= min_chars)
