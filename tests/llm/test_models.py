@@ -304,3 +304,29 @@ def test_a_closed_ending_at_an_overfull_limit():
     e = truncation.Endings.prior()
     closed = np.array([truncation.STATES.index("closed")])
     assert e.odds(np.array([0.5]), closed, np.array([0]))[0] < 1 < e.odds(np.array([0.999]), closed, np.array([0]))[0]
+
+
+def test_more_values_do_not_turn_cuts_into_style():
+    """Values at lengths wrongly taken for limits are a misfit that grows with the values; marks and open ends stay cut."""
+    at = {s: truncation.STATES.index(s) for s in truncation.STATES}
+    state = np.array([at["open"], at["marked"], at["closed"], at["closed"], at["known"]])
+    censored, more = np.array([0.0, 0.0, 0.0, 0.2, 0.0]), np.zeros(5, dtype=np.int64)
+    for size in (1, 50, 1000):
+        n = size * np.array([30.0, 60.0, 6000.0, 300.0, 4000.0])
+        odds = truncation.Endings.fit(truncation.Endings.prior(), censored, state, more, n).odds(censored, state, more)
+        assert odds[0] > 1 and odds[1] > 1 and max(odds[2:]) < 1
+
+
+def test_a_misfit_of_the_density_is_no_limit():
+    x = np.arange(200, 4000)
+    n = 1e6 * (np.exp(-(((x - 600) / 150) ** 2)) + np.exp(-(((x - 1900) / 300) ** 2)))
+    n = (n / n.sum() * 1e6).astype(int) + 1
+    n[x == 1000] += 5000
+    found = truncation.fit_lengths(x.tolist(), n.tolist())
+    assert found[1000] > 0.8 and max(v for k, v in found.items() if k != 1000) < 0.25
+
+
+def test_frames_met_by_chance_are_not_known():
+    counts = {(0, 0): 1000, (0, 1): 90, (0, 3): 45, (0, 9): 50, (3, 0): 9000, (3, 1): 850, (3, 3): 90, (3, 9): 9}
+    assert truncation.known_levels(counts) == [3, 9]
+    assert truncation.known_levels({}) == [] and truncation.known_levels({(0, 0): 3, (0, 5): 2, (3, 0): 45}) == [5]
